@@ -12,8 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from probita import fixed_values as V
 from probita.functions.scalars import column, known, words
 
 
@@ -38,7 +38,7 @@ def _lcs_words(left: list[str], right: list[str]) -> np.ndarray:
         letter = b[:, at]
         hits = ((a == letter[:, None]) & (letter[:, None] != 0)) @ powers & state
         state = ((state + hits) | (state - hits)) & full
-    return np.array([int(f ^ s).bit_count() for f, s in zip(full, state)], dtype=np.int64)
+    return np.bitwise_count(full ^ state).astype(np.int64)
 
 
 def _lcs_long(left: str, right: str) -> int:
@@ -53,57 +53,74 @@ def _lcs_long(left: str, right: str) -> int:
     return len(left) - state.bit_count()
 
 
-def indel_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Similarity of two text columns; a pair with a NULL side stays NULL."""
-    out = np.full(len(left), np.nan)
-    filled = (left.notna() & right.notna()).to_numpy()
-    pairs = pd.DataFrame({"a": left[filled].to_numpy(), "b": right[filled].to_numpy()})
-    if pairs.empty:
-        return pd.Series(out)
-    codes, distinct = pd.factorize(pd.MultiIndex.from_frame(pairs))
-    lefts, rights = [p[0] for p in distinct], [p[1] for p in distinct]
+def _ratios(lefts: list[str], rights: list[str]) -> np.ndarray:
+    """Ratio of each pair; short pairs go through the array version in groups of like length."""
     scores = np.zeros(len(lefts))
-    vector = []
+    grouped = []
     for row, (a, b) in enumerate(zip(lefts, rights)):
         if a == b:
             scores[row] = 1.0
         elif a and b:
             if min(len(a), len(b)) <= 64 and max(len(a), len(b)) <= 512:
-                vector.append(row)
+                grouped.append(row)
             else:
                 scores[row] = 2.0 * _lcs_long(a, b) / (len(a) + len(b))
-    vector.sort(key=lambda row: max(len(lefts[row]), len(rights[row])))
-    for start in range(0, len(vector), 4096):
-        rows = vector[start: start + 4096]
+    grouped.sort(key=lambda row: max(len(lefts[row]), len(rights[row])))
+    for start in range(0, len(grouped), 4096):
+        rows = grouped[start: start + 4096]
         short = [min(lefts[r], rights[r], key=len) for r in rows]
-        long = [rights[r] if lefts[r] is s else lefts[r] for r, s in zip(rows, short)]
-        common = _lcs_words(short, long)
-        total = np.array([len(s) + len(t) for s, t in zip(short, long)])
-        scores[rows] = 2.0 * common / total
+        long = [max(lefts[r], rights[r], key=len) if len(lefts[r]) != len(rights[r]) else rights[r] for r in rows]
+        short = [lefts[r] if len(lefts[r]) == len(rights[r]) else s for r, s in zip(rows, short)]
+        total = np.array([len(a) + len(b) for a, b in zip(short, long)])
+        scores[rows] = 2.0 * _lcs_words(short, long) / total
+    return scores
+
+
+def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each pair, and for every code a row it occurs in."""
+    first, second = pd.factorize(left)[0].astype(np.int64), pd.factorize(right)[0].astype(np.int64)
+    _, rows, codes = np.unique(first * (second.max() + 1) + second, return_index=True, return_inverse=True)
+    return codes, rows
+
+
+def best_ratio(left: pd.Series, right: pd.Series, left_sorted: pd.Series, right_sorted: pd.Series) -> pd.Series:
+    """Greater of the plain and the sorted-word ratio; NULL where a side is NULL.
+
+    Equal pairs of a batch are compared once.
+    """
+    out = np.full(len(left), np.nan)
+    filled = np.flatnonzero((left.notna() & right.notna()).to_numpy())
+    if not len(filled):
+        return pd.Series(out)
+    columns = [c.to_numpy(dtype=object)[filled] for c in (left, right, left_sorted, right_sorted)]
+    codes, rows = _distinct(columns[0], columns[1])
+    a, b, a_sorted, b_sorted = ([c[r] for r in rows] for c in columns)
+    scores = _ratios(a, b)
+    again = [r for r in range(len(a)) if scores[r] < 1.0 and (a_sorted[r] != a[r] or b_sorted[r] != b[r])]
+    if again:
+        scores[again] = np.maximum(scores[again], _ratios([a_sorted[r] for r in again], [b_sorted[r] for r in again]))
     out[filled] = scores[codes]
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _best_ratio(left: pd.Series, right: pd.Series, left_sorted: pd.Series, right_sorted: pd.Series) -> pd.Series:
-    return pd.Series(np.fmax(indel_ratio(left, right).to_numpy(), indel_ratio(left_sorted, right_sorted).to_numpy()))
+    return best_ratio(left, right, left_sorted, right_sorted)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _best_alias_ratio(name: pd.Series, name_sorted: pd.Series, aliases: pd.Series, aliases_sorted: pd.Series) -> pd.Series:
     sizes = np.array([0 if a is None else len(a) for a in aliases])
-    if not sizes.sum():
-        return pd.Series(np.where(name.isna(), np.nan, 0.0))
-    owner = np.repeat(np.arange(len(name)), sizes)
+    out = np.zeros(len(name))
+    if sizes.sum():
+        owner = np.repeat(np.arange(len(name)), sizes)
 
-    def flat(lists: pd.Series) -> pd.Series:
-        return pd.Series(np.concatenate([np.asarray(l, dtype=object) for l in lists if l is not None and len(l)]))
+        def flat(lists: pd.Series) -> pd.Series:
+            return pd.Series([text for texts in lists if texts is not None for text in texts], dtype=object)
 
-    names, sorted_names = name.to_numpy(dtype=object)[owner], name_sorted.to_numpy(dtype=object)[owner]
-    best = np.fmax(indel_ratio(pd.Series(names), flat(aliases)).to_numpy(),
-                   indel_ratio(pd.Series(sorted_names), flat(aliases_sorted)).to_numpy())
-    out = np.zeros(len(name))
-    np.maximum.at(out, owner, np.nan_to_num(best))
+        best = best_ratio(pd.Series(name.to_numpy(dtype=object)[owner]), flat(aliases),
+                          pd.Series(name_sorted.to_numpy(dtype=object)[owner]), flat(aliases_sorted))
+        np.maximum.at(out, owner, np.nan_to_num(best.to_numpy()))
     return pd.Series(np.where(name.isna(), np.nan, out))
 
 
@@ -111,41 +128,42 @@ def sorted_words(value: Column | str) -> Column:
     return F.array_join(F.array_sort(words(F.lower(column(value)))), " ")
 
 
-def similarity(left: Column | str, right: Column | str) -> Column:
-    """0 where a side is missing, else the greater ratio."""
-    left, right = known(left), known(right)
-    both = left.isNotNull() & right.isNotNull()
-    def given(text: Column) -> Column:
-        return F.when(both, text)
-    return F.coalesce(
-        _best_ratio(given(F.lower(left)), given(F.lower(right)), given(sorted_words(left)), given(sorted_words(right))),
-        F.lit(0.0),
-    )
+def prepared(prefix: str, name: str, value: Column | str) -> dict[str, Column]:
+    """The two forms a text is compared in, NULL where it is empty: made once per row, not once per pair."""
+    text = known(value)
+    return {f"{prefix}{name}_low": F.lower(text), f"{prefix}{name}_words": sorted_words(text)}
+
+
+def prepared_similarity(left: str, right: str) -> Column:
+    """Similarity of two prepared texts; 0 where a side is missing."""
+    columns = [F.col(f"{side}_{form}") for form in ("low", "words") for side in (left, right)]
+    return F.coalesce(_best_ratio(*columns), F.lit(0.0))
+
+
+def prepared_bound(left: str, right: str) -> Column:
+    """A value the similarity of two prepared texts cannot exceed, from their lengths alone."""
+    def bound(form: str) -> Column:
+        a, b = F.length(f"{left}_{form}"), F.length(f"{right}_{form}")
+        return 2.0 * F.least(a, b) / F.greatest(a + b, F.lit(1))
+    # Two texts without any word count as equal in their sorted form.
+    wordless = (F.length(f"{left}_words") == 0) & (F.length(f"{right}_words") == 0)
+    return F.coalesce(F.when(wordless, 1.0).otherwise(F.greatest(bound("low"), bound("words"))), F.lit(0.0))
 
 
-def similarity_or_unknown(left: Column | str, right: Column | str) -> Column:
-    return F.when(known(left).isNull() | known(right).isNull(), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(similarity(left, right))
+def prepared_aliases(prefix: str, aliases: Column | str) -> dict[str, Column]:
+    listed = F.filter(column(aliases), lambda a: a.isNotNull() & (a != ""))
+    return {f"{prefix}aliases_low": F.transform(listed, F.lower), f"{prefix}aliases_words": F.transform(listed, sorted_words)}
 
 
-def alias_similarity(name: Column | str, aliases: Column | str) -> Column:
+def prepared_alias_similarity(name: str, aliases: str) -> Column:
     """Best similarity of the name to any alias; 0 where there is no alias."""
-    name, aliases = known(name), column(aliases)
-    listed = F.filter(aliases, lambda a: a.isNotNull() & (a != ""))
-    return F.coalesce(
-        _best_alias_ratio(F.lower(name), sorted_words(name), F.transform(listed, F.lower), F.transform(listed, sorted_words)),
-        F.lit(0.0),
-    )
-
-
-def length_bound(left: Column | str, right: Column | str) -> Column:
-    """A value the similarity of two texts cannot exceed, from their lengths alone."""
-    def bound(a: Column, b: Column) -> Column:
-        total = F.length(a) + F.length(b)
-        return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.least(F.length(a), F.length(b)) / total)
+    return F.coalesce(_best_alias_ratio(f"{name}_low", f"{name}_words", f"{aliases}_low", f"{aliases}_words"), F.lit(0.0))
+
+
+def similarity(left: Column | str, right: Column | str) -> Column:
+    """Similarity of two plain text columns; 0 where a side is missing, else the greater ratio."""
     left, right = known(left), known(right)
-    return F.coalesce(
-        F.greatest(bound(F.lower(left), F.lower(right)), bound(sorted_words(left), sorted_words(right))), F.lit(0.0)
-    )
+    return F.coalesce(_best_ratio(F.lower(left), F.lower(right), sorted_words(left), sorted_words(right)), F.lit(0.0))
 
 
 def vector_similarity(left: Column | str, right: Column | str) -> Column:
@@ -158,7 +176,3 @@ def vector_similarity(left: Column | str, right: Column | str) -> Column:
 
     size = F.sqrt(dot(left, left)) * F.sqrt(dot(right, right))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(left, right) / F.nullif(size, F.lit(0.0))))
-
-
-def context_similarity(left: Column | str, right: Column | str) -> Column:
-    return F.when(known(left).isNull() | known(right).isNull(), F.lit(V.UNKNOWN_CONTEXT)).otherwise(similarity(left, right))

@@ -35,12 +35,14 @@ def skew_join(
     both: bool = False,
     share: int = SHARE,
     floor: int = FLOOR,
+    spread: bool = False,
 ) -> DataFrame:
     """Equi-join whose heavy keys are spread over many tasks.
 
     Rows of the left side with a heavy key are scattered over that key's parts by a hash of the
     row, and the right side's rows of the key are repeated once per part. With ``both`` the right
-    side is scattered as well (inner joins only). The result is the plain join's, row for row.
+    side is scattered as well (inner joins only). ``spread`` keeps the session's full number of
+    partitions where a join of few bytes makes much work. The result is the plain join's, row for row.
     """
     if both and how != "inner":
         raise ValueError("both sides can only be split for an inner join")
@@ -59,6 +61,9 @@ def skew_join(
     scattered_right = right.withColumn("_rs", F.pmod(right_hash, F.col("_rp"))).withColumn(
         "_ls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lp").cast("long") - 1))
     ).drop("_lp", "_rp")
+    if spread:
+        partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        scattered_left = scattered_left.repartition(partitions, *keys, "_ls", "_rs")
     return scattered_left.join(scattered_right, [*keys, "_ls", "_rs"], how).drop("_ls", "_rs")
 
 

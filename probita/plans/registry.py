@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from probita.plans import catalog
-from probita.plans import risk_queries  # noqa: F401
+from probita.plans.catalog import QUERIES, SQL, Query
+from probita.plans import (  # noqa: F401  (importing registers)
+    ingest_queries,
+    match_queries,
+    risk_queries,
+)
 
 
-def queries() -> dict[str, catalog.Query]:
-    return dict(catalog.QUERIES)
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalog.SQL)
+    return dict(SQL)

@@ -102,7 +102,7 @@ def sub_factors(spark, d):
 @query("r2_component_scores", with_views(
     "SELECT client_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in risk.COMPONENTS) + " FROM components", "components"))
 def component_scores(spark, d):
-    scored, _ = risk.component_scores(payloads(spark, d))
+    scored = risk.component_scores(payloads(spark, d))
     return scored.select(F.col("customer_id").cast("long").alias("client_id"), *[F.round(c, 6).alias(c) for c in risk.COMPONENTS])
 
 
@@ -115,8 +115,8 @@ ON f.client_id = p.client_id""", "payload", "components", "scored_factors")
 
     @query(name, sql)
     def run(spark, d):
-        scored, factors = risk.component_scores(payloads(spark, d))
-        names = [F.when(F.col(f"c_{f.name}").isNotNull(), F.lit(f.name)) for f in factors if f.component == component]
+        scored = risk.component_scores(payloads(spark, d))
+        names = [F.when(F.col(f"c_{f.name}").isNotNull(), F.lit(f.name)) for f in risk.FACTORS if f.component == component]
         return scored.select(F.col("customer_id").cast("long").alias("client_id"), F.round(component, 6).alias("score"), F.concat_ws(",", *names).alias("factors"))
 
 
@@ -262,13 +262,13 @@ def velocity(spark, d):
         F.max_by("score", at).alias("current_score"), F.min_by("score", at).alias("earliest_score"),
         F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
     seconds = F.unix_seconds(F.col("end").cast("timestamp")) - F.unix_seconds(F.col("start").cast("timestamp"))
-    timed = ends.withColumn("days", F.greatest(seconds / F.lit(86400.0), F.lit(1.0)))
-    per_day = (F.col("current_score") - F.col("earliest_score")) / F.col("days")
+    timed = ends.withColumn("days", F.greatest(seconds / F.lit(86400.0), F.lit(1.0))).withColumn(
+        "per_day", (F.col("current_score") - F.col("earliest_score")) / F.col("days"))
     return timed.select(
         "customer_id", "current_score", "earliest_score", S.half_even("days", 2).alias("window_days"),
-        S.half_even(per_day, 4).alias("points_per_day"),
-        risk.days_to(F.col("current_score"), per_day, 61).alias("days_to_high"),
-        risk.days_to(F.col("current_score"), per_day, 81).alias("days_to_critical"))
+        S.half_even("per_day", 4).alias("points_per_day"),
+        F.expr(risk.days_to("current_score", "per_day", 61)).alias("days_to_high"),
+        F.expr(risk.days_to("current_score", "per_day", 81)).alias("days_to_critical"))
 
 
 @query("w8_score_velocity", f"SELECT customer_id, current_score, earliest_score, window_days, points_per_day FROM ({_velocity_sql})")

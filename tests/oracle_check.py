@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import time
 
 import duckdb
 
+TIMES: dict[str, float] = {}
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -39,7 +42,9 @@ def compare(spark, connection, name: str, folder: str) -> str | None:
     """None where both agree, else what differs."""
     from probita.plans import registry
     df = registry.queries()[name](spark, folder)
+    start = time.time()
     mine = [tuple(r) for r in df.collect()]
+    TIMES[name] = time.time() - start
     result = connection.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in result.description]
     theirs = result.fetchall()
@@ -62,7 +67,6 @@ def compare(spark, connection, name: str, folder: str) -> str | None:
 
 def main() -> None:
     import sys
-    import time
 
     from probita.plans import registry
     from probita.session import build_session
@@ -82,7 +86,7 @@ def main() -> None:
         except Exception as error:
             problem = f"ERROR {type(error).__name__}: {str(error)[:700]}"
         bad += bool(problem and not problem.startswith("(no SQL)"))
-        print(f"{name:36s} {time.time() - start:6.2f}s {problem or 'ok'}", flush=True)
+        print(f"{name:36s} {time.time() - start:6.2f}s (collect {TIMES.get(name, 0):.2f}s) {problem or 'ok'}", flush=True)
     print(f"{bad} bad of {len(names)}")
 
 
