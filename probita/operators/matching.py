@@ -296,11 +296,11 @@ def light_search(queries: DataFrame, entries: DataFrame, threshold: int = 40, li
     texts = lists.select("_n", "_a").distinct()
     named, aliased = texts.withColumn("haystack", F.col("_n")), texts.withColumn("haystack", F.col("_a"))
 
-    inside_names = contains_join(names, texts.select(F.col("_n").alias("haystack")).distinct(), **skew)
-    inside_aliases = contains_join(names, texts.select(F.col("_a").alias("haystack")).where("haystack <> ''").distinct(), **skew)
-    by_name = skew_join(named, inside_names, ["haystack"], both=True, **skew).select(
+    inside_names = contains_join(names, texts.select(F.col("_n").alias("haystack")).distinct())
+    inside_aliases = contains_join(names, texts.select(F.col("_a").alias("haystack")).where("haystack <> ''").distinct())
+    by_name = named.join(inside_names, "haystack").select(
         "needle", "_n", "_a", F.when(F.col("needle") == F.col("_n"), 100).otherwise(80).alias("score"))
-    by_alias = skew_join(aliased, inside_aliases, ["haystack"], both=True, **skew).select("needle", "_n", "_a", F.lit(80).alias("score"))
+    by_alias = aliased.join(inside_aliases, "haystack").select("needle", "_n", "_a", F.lit(80).alias("score"))
 
     words = names.withColumn("_tokens", S.alphanumeric_tokens("needle")).where(F.size("_tokens") > 0)
     filed = texts.withColumn("_words", F.array_union(S.alphanumeric_tokens("_n"), S.alphanumeric_tokens("_a")))
@@ -312,12 +312,12 @@ def light_search(queries: DataFrame, entries: DataFrame, threshold: int = 40, li
     enough = F.ceil(F.lit(float(threshold)) * n / 60.0 - 1e-9)
     probes = ranked.withColumn("_take", (n - enough + 1).cast("int")).where("_take > 0").select(
         "needle", F.transform("_rare", lambda r: r["_word"]).alias("_tokens"), F.explode(F.slice("_rare", F.lit(1), F.col("_take"))).alias("_probe"))
-    shared = skew_join(probes.select("needle", "_tokens", F.col("_probe._word").alias("_word")), postings, ["_word"], both=True, **skew)
+    shared = probes.select("needle", "_tokens", F.col("_probe._word").alias("_word")).join(postings, "_word")
     overlap = F.size(F.array_intersect("_tokens", "_words")) / F.size("_tokens") * 60
     by_words = shared.select("needle", "_n", "_a", F.floor(overlap).cast("int").alias("score"))
 
     scored = by_name.unionByName(by_alias).unionByName(by_words).where(F.col("score") >= threshold)
     best = scored.groupBy("needle", "_n", "_a").agg(F.max("score").alias("score"))
-    hits = skew_join(best, lists, ["_n", "_a"], both=True, **skew).select("needle", "row_id", "name", "score")
+    hits = best.join(lists, ["_n", "_a"]).select("needle", "row_id", "name", "score")
     kept = top_n(hits, ["needle"], [F.col("score").desc(), F.col("name"), F.col("row_id")], limit)
     return skew_join(asked, kept, ["needle"], **skew).select("query_id", "row_id", "name", "score", "rank")

@@ -16,10 +16,10 @@ FLOOR = 50_000  # below this many rows a key is never worth splitting
 
 def heavy_keys(df: DataFrame, keys: list[str], share: int = SHARE, floor: int = FLOOR) -> DataFrame:
     """Keys with too many rows for one task, and the number of ``parts`` to split each into."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    share_size = counts.select((F.sum("_n") / F.lit(share)).alias("s")).scalar()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    share_size = counts.select((F.sum("_rows") / F.lit(share)).alias("s")).scalar()
     chunk = F.greatest(F.coalesce(share_size, F.lit(0.0)), F.lit(float(floor)))
-    return counts.where(F.col("_n") > chunk).select(*keys, F.ceil(F.col("_n") / chunk).cast("int").alias("_parts"))
+    return counts.where(F.col("_rows") > chunk).select(*keys, F.ceil(F.col("_rows") / chunk).cast("int").alias("_parts"))
 
 
 def _parts(df: DataFrame, heavy: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -36,19 +36,22 @@ def skew_join(
     share: int = SHARE,
     floor: int = FLOOR,
     spread: bool = False,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose heavy keys are spread over many tasks.
 
     Rows of the left side with a heavy key are scattered over that key's parts by a hash of the
     row, and the right side's rows of the key are repeated once per part. With ``both`` the right
     side is scattered as well (inner joins only). ``spread`` keeps the session's full number of
-    partitions where a join of few bytes makes much work. The result is the plain join's, row for row.
+    partitions where a join of few bytes makes much work. ``keys_from`` is a cheaper frame to find
+    the left side's heavy keys in, where the left side itself is the result of a shuffle. The
+    result is the plain join's, row for row.
     """
     if both and how != "inner":
         raise ValueError("both sides can only be split for an inner join")
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     right_hash = F.xxhash64(*[F.col(c) for c in right.columns])
-    left_heavy = heavy_keys(left, keys, share, floor)
+    left_heavy = heavy_keys(left if keys_from is None else keys_from, keys, share, floor)
     left, right = _parts(left, left_heavy, keys, "_lp"), _parts(right, left_heavy, keys, "_lp")
     if both:
         right_heavy = heavy_keys(right.drop("_lp"), keys, share, floor)
@@ -84,9 +87,9 @@ def dense_position(df: DataFrame, keys: list[str], slot: Column, order: list[Col
     within each slot; the slots' sizes, a small table, are summed up per key and added.
     """
     slotted = df.withColumn("_slot", slot)
-    sizes = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = slotted.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
     before = F.coalesce(
-        F.sum("_n").over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+        F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     offsets = sizes.select(*keys, "_slot", before.alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_slot").orderBy(*order))
@@ -100,7 +103,7 @@ def dense_position(df: DataFrame, keys: list[str], slot: Column, order: list[Col
 
 def contains_join(
     needles: DataFrame, haystacks: DataFrame, by: list[str] | None = None,
-    needle: str = "needle", haystack: str = "haystack", share: int = SHARE, floor: int = FLOOR,
+    needle: str = "needle", haystack: str = "haystack",
 ) -> DataFrame:
     """Pairs in which the haystack text holds the needle text, as an equi-join.
 
@@ -134,5 +137,5 @@ def contains_join(
         .where(F.col("_found") == F.col("_pieces"))
         .select(*by, needle, F.col("_best._piece").alias("_piece"))
     )
-    pairs = skew_join(filed, rarest, [*by, "_piece"], both=True, share=share, floor=floor)
+    pairs = filed.join(rarest, [*by, "_piece"])
     return pairs.where(F.contains(F.col(haystack), F.col(needle))).select(*by, needle, haystack)

@@ -84,7 +84,8 @@ def client_transfers(transfers: DataFrame, mapping: DataFrame, **skew) -> DataFr
     sides = F.array_distinct(F.array(F.trim("Sender_account"), F.trim("Receiver_account")))
     by_account = single.select("*", F.explode(sides).alias("account"))
     pairs = mapping.select("client_id", F.trim("account").alias("account")).distinct()
-    found = skew_join(by_account, pairs, ["account"], **skew)
+    accounts = transfers.select(F.explode(sides).alias("account"))
+    found = skew_join(by_account, pairs, ["account"], keys_from=accounts, **skew)
     return found.groupBy("client_id", *TRANSFER_KEYS).agg(F.min("_rest").alias("_rest")).select(
         "client_id", *TRANSFER_KEYS, "_rest.*"
     )

@@ -7,6 +7,7 @@ from probita.plans import (  # noqa: F401  (importing registers)
     ingest_queries,
     match_queries,
     risk_queries,
+    text_queries,
 )
 
 

@@ -116,7 +116,7 @@ def watchlist(spark: SparkSession, folder: str) -> DataFrame:
         F.when(number % 5 == 0, F.lit(None).cast("string")).otherwise(F.col("p_brand")).alias("company"),
         F.element_at(F.array(F.lit("OFAC SDN"), F.lit("opensanctions"), F.lit("pep register")), (number % 3).cast("int") + 1).alias("source_list"),
         F.when(number % 7 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("dealer in "), name, F.lit(" goods of "), F.col("p_brand"))).alias("context"),
+        .otherwise(F.concat(F.lit("dealer in "), name, F.lit(" goods"))).alias("context"),
     )
 
 
