@@ -151,11 +151,14 @@ def mask_accounts(items: Column | str) -> Column:
 
 def merge_references(existing: Column, log: Column, titles: dict[str, Column]) -> Column:
     """The legal references of a report: the ones it has, then the new ones of the redactions in order."""
-    def reference(article: Column) -> Column:
-        text = F.concat(F.lit("GDPR "), article)
-        for name, title in titles.items():
-            titled = F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(f"GDPR {name} ("), title, F.lit(")")))
-            text = F.when(article == name, F.coalesce(titled, F.lit(f"GDPR {name}"))).otherwise(text)
-        return text
-    cited = F.array_distinct(F.transform(log, lambda entry: reference(entry["article"])))
-    return F.concat(existing, F.sort_array(F.array_except(cited, existing)))
+    cited = []
+    for article in sorted({rule[1] for rule in V.REPORT_RULES}):
+        title = titles.get(article, F.lit(None).cast("string"))
+        reference = F.when(F.coalesce(title, F.lit("")) == "", F.lit(f"GDPR {article}")).otherwise(
+            F.concat(F.lit(f"GDPR {article} ("), title, F.lit(")")))
+        cited.append(F.when(F.exists(log, _cites(article)), reference))
+    return F.concat(existing, F.sort_array(F.array_except(F.array_compact(F.array(*cited)), existing)))
+
+
+def _cites(article: str):
+    return lambda entry: entry["article"] == article

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from probita.plans.catalog import QUERIES, SQL, Query
 from probita.plans import (  # noqa: F401  (importing registers)
+    audit_queries,
+    graph_queries,
     ingest_queries,
     match_queries,
     risk_queries,

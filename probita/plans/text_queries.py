@@ -87,13 +87,21 @@ def all_findings(spark, d):
                                      "injection_attempt_detected", "injection_details")
 
 
-# This engine's word class and boundary know ASCII only, so the mail pattern spells letters out; it has no look-ahead.
-_mail = r"[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+[\p{L}\p{N}_]"
-_plain_kinds = [(k, _mail if k == "email" else p) for k, p in V.EGRESS_PATTERNS if k != "swift"]
+# This engine's word class and boundary know ASCII only and it has no look-ahead, so letters beyond
+# ASCII are spelled as ASCII words while the patterns run.
+_beyond = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_plain_kinds = [(k, p) for k, p in V.EGRESS_PATTERNS if k != "swift"]
+
+
+def _spell(expr: str, back: bool = False) -> str:
+    for at, letter in enumerate(_beyond):
+        word = f"_q{chr(97 + at)}_"
+        expr = f"replace({expr}, '{word}', '{letter}')" if back else f"replace({expr}, '{letter}', '{word}')"
+    return expr
 
 
 @query("t7_identifiers", with_views(" UNION ALL ".join(
-    f"SELECT article_id, '{k}' AS kind, unnest(regexp_extract_all(content, {_quoted(p)})) AS match FROM articles" for k, p in _plain_kinds), "articles"))
+    f"SELECT article_id, '{k}' AS kind, {_spell('m', True)} AS match FROM (SELECT article_id, unnest(regexp_extract_all(spelled, {_quoted(p)})) AS m FROM (SELECT article_id, {_spell('content')} AS spelled FROM articles))" for k, p in _plain_kinds), "articles"))
 def identifiers(spark, d):
     return articles(spark, d).select("article_id", F.inline(tx.identifiers("content"))).where("kind <> 'swift'")
 
@@ -106,7 +114,7 @@ def _redacted(expr: str) -> str:
 
 @query("t8_egress", with_views(f"""
 SELECT article_id, CASE WHEN out = content THEN 'sent' ELSE 'redacted' END AS status, md5(out) AS digest, CASE WHEN out = content THEN 'sent' ELSE 'blocked' END AS strict_status
-FROM (SELECT *, {_redacted("content")} AS out FROM articles)""", "articles"))
+FROM (SELECT *, {_spell(_redacted(_spell("content")), True)} AS out FROM articles)""", "articles"))
 def egress(spark, d):
     out = articles(spark, d).select("article_id", tx.egress("content", "redact").alias("r"), tx.egress("content", "block").alias("b"))
     return out.select("article_id", "r.status", F.md5("r.text").alias("digest"), F.col("b.status").alias("strict_status"))
@@ -116,7 +124,7 @@ def _reports(spark, d):
     largest = tr.largest_transfer(tr.client_transfers(tables.bank_transfers(spark, d), tables.account_mapping(spark, d)))
     made = cases.reports(cases.dispositions(tables.clients(spark, d), largest))
     client = F.col("client_id")
-    extra = F.concat(F.lit(" Born on 1970-01-02, seen 2024-05-06. Mail a"), client.cast("string"), F.lit("@mail.example.com, id 123-45-6789, passport AB1234567, call +44 20 7946 0958, client_id=12345678."))
+    extra = F.concat(F.lit(" Born on 1970-01-02, and first seen at the branch on the harbour road on 2024-05-06. Mail a"), client.cast("string"), F.lit("@mail.example.com, id 123-45-6789, passport AB1234567, call +44 20 7946 0958, client_id=12345678."))
     return made.withColumn("narrative", F.concat("narrative", extra))
 
 
@@ -124,7 +132,7 @@ def _reports(spark, d):
 SELECT r.client_id, 'AI-generated demo SAR draft. The review identified indicators requiring human compliance review. Deciding evidence: '
   || array_to_string(list_filter([CASE WHEN sector_risk = 'High' THEN 'sector_risk=high' END, CASE WHEN sanctions_flag = 1 THEN 'sanctions_flag' END, CASE WHEN pep_flag = 1 THEN 'pep_flag' END,
     CASE WHEN fatf_country_flag = 1 THEN 'fatf_country_flag' END, CASE WHEN sectoral_sanctions_flag = 1 THEN 'sectoral_sanctions_flag' END, CASE WHEN t.client_id IS NOT NULL THEN 'txn:[ACCT_REDACTED]' END], lambda x: x IS NOT NULL), ', ')
-  || '. Born on [DOB_REDACTED], seen 2024-05-06. Mail [EMAIL_REDACTED], id [NATIONAL_ID_REDACTED], passport [PASSPORT_REDACTED], call [PHONE_REDACTED], client_id=12345678.' AS narrative,
+  || '. Born on [DOB_REDACTED], and first seen at the branch on the harbour road on 2024-05-06. Mail [EMAIL_REDACTED], id [NATIONAL_ID_REDACTED], passport [PASSPORT_REDACTED], call [PHONE_REDACTED], client_id=12345678.' AS narrative,
   5 + (t.client_id IS NOT NULL)::INT AS redactions,
   'Generic AML suspicious activity review obligation|GDPR article5 (' || (SELECT arg_min(article_title, position) FROM regulation WHERE article_id = 'article5')
     || ')|GDPR article9 (' || (SELECT arg_min(article_title, position) FROM regulation WHERE article_id = 'article9') || ')' AS regulatory_basis

@@ -179,10 +179,14 @@ PLANTED = [
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
+    return as_articles(table(spark, folder, "documents"))
+
+
+def as_articles(documents: DataFrame) -> DataFrame:
     """Documents as articles; nine of ten end in one of the planted sentences."""
     planted = F.array(*[F.lit(text) for text in PLANTED])
     slot = (F.col("doc_id") % 10).cast("int")
-    return table(spark, folder, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("article_id"),
         F.concat(F.lit("CLIENT-"), (F.col("doc_id") % 97).cast("string")).alias("entity_id"),
         F.concat(F.lit("file://"), F.col("doc_id").cast("string")).alias("source_url"),
@@ -203,8 +207,12 @@ def regulation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def audit_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return as_audit_rows(table(spark, folder, "events"))
+
+
+def as_audit_rows(events: DataFrame) -> DataFrame:
     """Events as audit entries: one chain per user and day."""
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("chain_id"),
         F.concat(F.lit("AUD-"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("event_id"),
         F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("actor"),
@@ -257,21 +265,15 @@ def citations(spark: SparkSession, folder: str) -> DataFrame:
     """Cited sources, one per order: right and wrong ones of every kind."""
     key, client = F.col("o_orderkey"), F.col("o_custkey")
     kinds = ["kyc_profile", "transaction", "sanctions_list", "gdpr", "pep_registry", "llm_analysis"]
-    texts = [
-        "sector_risk=high", "unheard_of=1",
-        "txn:{supplier}", "txn:9{client}77777777", "on {date} paid", "amount|{amount}|x",
-        "ofac:small ring", "opensanctions:zzzz qq", "red", "the old bolt and the hot rod firm",
-        "Article 5", "article 777", "article17", "{client}",
-    ]
     supplier = (F.lit(1000000000) + client % 1000).cast("string")
     # which text goes with which kind: kind = order number % 6
     kind = (key % 6).cast("int")
     pick = F.expr("cast((o_orderkey div 6) % 4 as int)")
     by_kind = [
-        [F.lit(texts[0]), F.lit(texts[1]), client.cast("string"), F.concat((client + 1).cast("string"), F.lit("-00"))],
+        [F.lit("sector_risk=high"), F.lit("unheard_of=1"), client.cast("string"), F.concat((client + 1).cast("string"), F.lit("-00"))],
         [F.concat(F.lit("txn:"), supplier), F.concat(F.lit("txn:9"), client.cast("string"), F.lit("77777777")),
          F.concat(F.lit("on "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" paid")), F.concat(F.lit("TX:a|"), supplier, F.lit(" |b"))],
-        [F.lit(texts[6]), F.lit(texts[7]), F.lit(texts[8]), F.lit(texts[9])],
+        [F.lit("ofac:small ring"), F.lit("opensanctions:zzzz qq"), F.lit("red"), F.lit("the old bolt and the hot rod firm")],
         [F.lit("Article 5"), F.lit("article 777"), F.lit("article17"), F.lit("paragraph 3")],
         [F.lit("registry a")] * 4,
         [F.lit("model note")] * 4,
