@@ -40,8 +40,11 @@ def read_kyc_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder with their sizes; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+    """Files of a folder with their sizes, empty ones too (which the file sources leave out); nothing is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    rows = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile()]
+    return spark.createDataFrame(rows, "path string, length long")
 
 
 def check_files(files: DataFrame, max_mb: float = V.MAX_FILE_MB, kinds: tuple[str, ...] = ("csv",)) -> DataFrame:
