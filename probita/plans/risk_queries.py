@@ -393,3 +393,13 @@ SELECT client_id, CASE WHEN elevated THEN 'high' ELSE 'medium' END AS confidence
 def disposition(spark, d):
     return _dispositions(spark, d).select(
         "client_id", "confidence", "verdict", F.array_join(F.transform("evidence", lambda e: e["source_id"]), ",").alias("cited"))
+
+
+@query("a10_unique_evidence", with_views("""
+SELECT client_id, string_agg(evidence, ',' ORDER BY first_place) AS evidence_ids FROM (
+  SELECT client_id, CASE WHEN component = 'kyc_profile_risk' THEN 'KYC-' WHEN name = 'direct_entity_sanctions_match' THEN 'SAN-' WHEN name = 'ownership_chain_sanctions_hit' THEN 'OWN-'
+    WHEN component = 'transaction_risk' THEN 'TXN-' ELSE 'MEDIA-' END || client_id AS evidence, min(ordinal) AS first_place
+  FROM scored_factors WHERE component <> 'jurisdiction_risk' GROUP BY ALL) GROUP BY client_id""", "scored_factors"))
+def unique_evidence(spark, d):
+    """Evidence ids of each assessment, every id once, in the order of first use."""
+    return assessments(spark, d).select("client_id", F.array_join("evidence_ids", ",").alias("evidence_ids"))
