@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import decontam, secrets, simhash
+from probita.llm import decontam, langid, secrets, simhash
 from probita.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,10 @@ FROM d LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 @query
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
+
+
+@query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
