@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import decontam, langid, secrets, simhash
+from probita.llm import decontam, langid, secrets, simhash, warc
 from probita.llm.common import table
+from probita.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +59,23 @@ def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out())
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
+@query
+def op5_web_archives(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    manifest = warc.write_archives(table(spark, folder, "pages"), path)
+    page = lambda c: F.regexp_extract(c, r"^urn:x-page:(-?\d+)$", 1).try_cast("bigint")
+    return warc.read_archives(spark, path, manifest, payload=False).select(
+        page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "problem")
+
+
+SQL["op5_web_archives"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+     digests AS (SELECT h, max(page_id) AS last, list_transform(range(20), lambda i: (strpos('0123456789abcdef', h[2 * i + 1]) - 1) * 16 + strpos('0123456789abcdef', h[2 * i + 2]) - 1) AS bytes FROM p GROUP BY h),
+     coded AS (SELECT h, last, list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+        1 + (((bytes[1 + (5 * i) // 8] * 256 + coalesce(bytes[2 + (5 * i) // 8], 0)) >> (11 - (5 * i) % 8)) & 31)]) AS letters FROM digests)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, array_to_string(letters, '') AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p JOIN coded USING (h)
+"""
