@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import decontam, langid, secrets, simhash, warc
+from probita.llm import ann, decontam, langid, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -79,3 +79,8 @@ SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, array_to_strin
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, CAST(NULL AS VARCHAR) AS problem
 FROM p JOIN coded USING (h)
 """
+
+
+@query
+def op9_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
