@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import ann, decontam, langid, secrets, simhash, warc
+from probita.llm import ann, decontam, kdshard, langid, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -84,3 +84,9 @@ FROM p JOIN coded USING (h)
 @query
 def op9_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
+    placed = kdshard.assign(table(spark, folder, "documents"), shards=16)
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
