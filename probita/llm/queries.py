@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import ann, decontam, kdshard, langid, secrets, simhash, warc
+from probita.llm import ann, decontam, kdshard, langid, pii, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -15,6 +15,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: For the registered query only; a real run takes its own from a store of secrets.
+PSEUDONYM_KEY = "registered query, not a secret"
+
+
+def _is(name: str) -> Callable[[Column], Column]:
+    return lambda value: value == name
+
+
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[function.__name__] = function
     return function
@@ -90,3 +98,11 @@ def op9_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def op4_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = kdshard.assign(table(spark, folder, "documents"), shards=16)
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query
+def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    kinds = F.col("pii_kinds")
+    return pii.pseudonymized(docs, PSEUDONYM_KEY).select(
+        "doc_id", "text", *[F.size(F.filter(kinds, _is(name))).cast("bigint").alias(f"n_{name}") for name in pii.FORMS])
