@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import ann, decontam, kdshard, langid, pii, secrets, simhash, warc
+from probita.llm import ann, decontam, kdshard, langid, pieces, pii, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -106,3 +106,8 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     kinds = F.col("pii_kinds")
     return pii.pseudonymized(docs, PSEUDONYM_KEY).select(
         "doc_id", "text", *[F.size(F.filter(kinds, _is(name))).cast("bigint").alias(f"n_{name}") for name in pii.FORMS])
+
+
+@query
+def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(table(spark, folder, "documents"), pieces.Model.load(), keep=["doc_id"])
