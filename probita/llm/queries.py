@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import ann, decontam, kdshard, langid, pieces, pii, secrets, simhash, warc
+from probita.llm import ann, decontam, kdshard, langid, licenses, pieces, pii, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -111,3 +111,8 @@ def op10_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(table(spark, folder, "documents"), pieces.Model.load(), keep=["doc_id"])
+
+
+@query
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
