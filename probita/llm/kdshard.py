@@ -164,7 +164,13 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_column: str = "doc_id", text_column: str = "text", **columns: str) -> None:
-    """Writes ``docs`` as Parquet below ``path``, a folder ``shard=n`` for each shard. Rows with equal ids and texts go to one shard."""
-    placed = assign(docs, shards, None, id_column, text_column, **columns).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
+    """Writes ``docs`` as Parquet below ``path``, a folder ``shard=n`` for each shard (``_shard`` where the name is taken).
+
+    Rows with equal ids and texts go to one shard.
+    """
+    name = "shard"
+    while name in docs.columns:
+        name = "_" + name
+    placed = assign(docs, shards, None, id_column, text_column, **columns).groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("_s")).select(F.col("doc_id").alias("_i"), F.col("text_crc32").alias("_c"), "_s")
     key = F.crc32(F.encode(F.coalesce(docs[text_column].cast("string"), F.lit("")), "UTF-8"))
-    docs.join(placed, docs[id_column].eqNullSafe(placed["doc_id"]) & (key == placed["text_crc32"])).select(*[docs[c] for c in docs.columns], "shard").write.partitionBy("shard").parquet(path)
+    docs.join(placed, docs[id_column].eqNullSafe(placed["_i"]) & (key == placed["_c"])).select(*[docs[c] for c in docs.columns], placed["_s"].alias(name)).write.partitionBy(name).parquet(path)
