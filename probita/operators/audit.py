@@ -47,11 +47,6 @@ def validate_events(events: DataFrame) -> DataFrame:
     return events.withColumn("violations", F.array_compact(F.array(*checks)))
 
 
-def _sensitive(key: str) -> bool:
-    lowered = key.strip().lower()
-    return lowered not in V.ALLOWED_KEYS and any(part in lowered for part in V.SENSITIVE_KEY_PARTS)
-
-
 def sensitive_key(key: Column) -> Column:
     lowered = F.lower(F.trim(key))
     hit = F.lit(False)
@@ -75,37 +70,62 @@ def sanitize_map(metadata: Column | str) -> Column:
     return F.coalesce(F.map_from_entries(full), F.create_map().cast("map<string,string>"))
 
 
-def _clean(value, depth: int):
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _part(typed: Column, raw: Column) -> Column:
+    """JSON text of a part: its own text where it has parts itself (their order counts), else as typed."""
+    shown = F.to_json(typed)
+    return F.when(F.left(shown, F.lit(1)).isin("{", "["), raw).otherwise(shown)
+
+
+def _members(value: Column, depth: int) -> Column:
+    """A JSON object with its rules applied, as JSON text."""
+    both = F.array(F.struct(F.from_json(value, "map<string,variant>").alias("typed"), F.from_json(value, "map<string,string>").alias("raw")))
+
+    def of(m: Column) -> Column:
+        shown = F.transform(F.slice(F.map_keys(m["raw"]), 1, V.MAX_KEYS), lambda k: F.concat(
+            _quoted(bounded(k)), F.lit(":"), F.when(sensitive_key(k), _quoted(F.lit(V.REDACTED))).otherwise(
+                F.transform(F.array(_part(m["typed"][k], m["raw"][k])), lambda part: _bounded_json(part, depth + 1))[0])))
+        more = F.when(F.size(m["raw"]) > V.MAX_KEYS, F.array(F.lit(f'"_truncated":"{V.TRUNCATED_ITEMS}"'))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("{"), F.array_join(F.concat(shown, more), ","), F.lit("}"))
+
+    return F.transform(both, of)[0]
+
+
+def _elements(value: Column, depth: int) -> Column:
+    """A JSON list with its rules applied, as JSON text."""
+    parts = F.zip_with(F.from_json(value, "array<variant>"), F.from_json(value, "array<string>"), _part)
+
+    def of(items: Column) -> Column:
+        shown = F.transform(F.slice(items, 1, V.MAX_ITEMS), lambda part: _bounded_json(part, depth + 1))
+        more = F.when(F.size(items) > V.MAX_ITEMS, F.array(F.lit(f'"{V.TRUNCATED_ITEMS}"'))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.lit("["), F.array_join(F.concat(shown, more), ","), F.lit("]"))
+
+    return F.transform(F.array(parts), of)[0]
+
+
+def _bounded_json(value: Column, depth: int) -> Column:
+    """One JSON value as text; the levels are written out, there are few."""
     if depth > V.MAX_DEPTH:
-        return V.TRUNCATED_DEPTH
-    if isinstance(value, str):
-        return value if len(value) <= V.MAX_STRING else value[: V.MAX_STRING] + V.TRUNCATED_TEXT
-    if isinstance(value, dict):
-        out = {}
-        for at, (key, item) in enumerate(value.items()):
-            if at >= V.MAX_KEYS:
-                out["_truncated"] = V.TRUNCATED_ITEMS
-                break
-            out[_clean(key, 0)] = V.REDACTED if _sensitive(key) else _clean(item, depth + 1)
-        return out
-    if isinstance(value, list):
-        kept = [_clean(item, depth + 1) for item in value[: V.MAX_ITEMS]]
-        return kept + [V.TRUNCATED_ITEMS] if len(value) > V.MAX_ITEMS else kept
-    return value
-
-
-def _sanitize_text(text: str | None) -> str:
-    try:
-        body = json.loads(text) if text else {}
-    except ValueError:
-        return '{"_sanitization_error": true}'
-    return json.dumps(_clean(body, 0) if isinstance(body, dict) and body else {})
+        return F.lit(f'"{V.TRUNCATED_DEPTH}"')
+    plain = F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")[0]
+    first = F.left(value, F.lit(1))
+    return F.when(value.isNull(), "null").when(first == "{", _members(value, depth)).when(first == "[", _elements(value, depth)).when(
+        first == '"', _quoted(bounded(plain))).otherwise(value)
 
 
-@F.pandas_udf(T.StringType())
-def sanitize_json(texts: pd.Series) -> pd.Series:
-    """The same rules for nested metadata in JSON, down to four levels and twenty items per list."""
-    return texts.map(_sanitize_text)
+def sanitize_json(text: Column | str) -> Column:
+    """The same rules for nested metadata in JSON, down to four levels and twenty items per list.
+
+    Nothing and what is no object become an empty object; a text that is no JSON, or names a key twice, becomes an error mark.
+    """
+    text = F.trim(F.col(text) if isinstance(text, str) else text)
+    return F.when(F.coalesce(text, F.lit("")) == "", "{}").when(F.try_parse_json(text).isNull(), '{"_sanitization_error": true}').when(
+        F.left(text, F.lit(1)) == "{", _members(text, 0)).otherwise("{}")
 
 
 def number_events(events: DataFrame, chain: list[str] | None = None) -> DataFrame:
@@ -206,7 +226,8 @@ def stored_events(chained: DataFrame) -> DataFrame:
 def verify_json_chain(stored: DataFrame, genesis: str = V.ZERO_GENESIS) -> DataFrame:
     """Verifies stored lines (``chain_id``, ``seq``, ``event_id``, ``line``).
 
-    Where only the last rows of a chain are kept, the chain starts from the oldest of them.
+    Where only the last rows of a chain are kept, the chain starts from the oldest of them. A row whose predecessor is
+    missing breaks the chain there. Rows missing at the end can't be seen from the rows that are left.
     """
     parsed = stored.withColumns({
         "previous_hash": F.get_json_object("line", "$.previous_hash"), "hash": F.get_json_object("line", "$.event_hash"),
@@ -220,13 +241,16 @@ def verify_json_chain(stored: DataFrame, genesis: str = V.ZERO_GENESIS) -> DataF
     reason = (
         F.when(F.col("_canonical").isNull(), "malformed JSON line")
         .when(F.col("previous_hash").isNull() | F.col("hash").isNull(), "missing hash-chain fields")
-        .when(F.col("previous_hash") != expected, "previous_hash mismatch")
+        .when(~F.col("previous_hash").eqNullSafe(expected), "previous_hash mismatch")
         .when(F.col("hash") != F.sha2("_canonical", 256), "content altered"))
     judged = linked.withColumn("_reason", reason)
     broken = F.min(F.when(F.col("_reason").isNotNull(), F.struct("seq", "event_id", "_reason")))
-    return judged.groupBy("chain_id").agg(broken.alias("b"), F.count(F.lit(1)).alias("n"), F.bool_and("_complete").alias("c")).select(
-        "chain_id", F.col("b").isNull().alias("valid"), F.coalesce("b.seq", "n").alias("events_checked"), F.col("b.event_id").alias("broken_at"),
-        F.col("b._reason").alias("reason"), F.col("c").alias("verified_from_genesis"))
+    first = judged.groupBy("chain_id").agg(broken.alias("b"), F.bool_and("_complete").alias("c"))
+    # Rows looked at: those there are up to the first broken one.
+    seen = judged.select("chain_id", F.col("seq").alias("_at")).join(first, "chain_id").groupBy("chain_id").agg(
+        F.count_if(F.col("b").isNull() | (F.col("_at") <= F.col("b.seq"))).alias("events_checked"), F.first("b").alias("b"), F.first("c").alias("c"))
+    return seen.select("chain_id", F.col("b").isNull().alias("valid"), "events_checked", F.col("b.event_id").alias("broken_at"),
+                       F.col("b._reason").alias("reason"), F.col("c").alias("verified_from_genesis"))
 
 
 def verify_lines(lines: DataFrame, genesis: str = V.ZERO_GENESIS) -> DataFrame:
