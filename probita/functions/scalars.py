@@ -14,13 +14,46 @@ def column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+_SPLIT = "134217729.0D"  # 2^27 + 1 halves a double's digits
+
+
+def half_even_sql(value: str, digits: int) -> str:
+    """Correct decimal rounding of a double, as SQL; ``value`` is a name.
+
+    value * 10^digits is rounded itself, so where it seems to lie half-way its rounding error decides. The error comes
+    out exactly in plain arithmetic: 10^digits has few digits, and the value is split in two halves of its digits.
+    """
+    scale = f"1e{digits}D"
+    product, high = f"({value} * {scale})", f"({value} * {_SPLIT} - ({value} * {_SPLIT} - {value}))"
+    error = f"(({high} * {scale} - {product}) + ({value} - {high}) * {scale})"
+    halfway = f"{product} - floor({product}) = 0.5D"
+    return (f"(CASE WHEN {halfway} AND {error} > 0 THEN ceil({product}) WHEN {halfway} AND {error} < 0 THEN floor({product})"
+            f" ELSE rint({product}) END) / {scale}")
+
+
 def half_even(value: Column | str, digits: int = 0) -> Column:
-    """Round to the even neighbour on the binary value, inside generated code."""
+    """Round to the even neighbour on the binary value."""
     value = column(value)
     if digits == 0:
         return F.rint(value)
-    scale = float(10**digits)
-    return F.rint(value * F.lit(scale)) / F.lit(scale)
+    # An array of one binds the value, so that it is worked out once.
+    return F.transform(F.array(value.cast("double")), lambda _v: _rounded(_v, digits))[0]
+
+
+def _rounded(v: Column, digits: int) -> Column:
+    scale, split = F.lit(float(10**digits)), F.lit(float(2**27 + 1))
+    product = v * scale
+    high = v * split - (v * split - v)
+    error = (high * scale - product) + (v - high) * scale
+    halfway = product - F.floor(product) == 0.5
+    return F.when(halfway & (error > 0), F.ceil(product).cast("double")).when(halfway & (error < 0), F.floor(product).cast("double")).otherwise(F.rint(product)) / scale
+
+
+def plain_number(value: Column | str) -> Column:
+    """Text of a double without an exponent: at least one decimal, no more than it takes to tell it from its neighbours."""
+    text = column(value).cast("double").cast("string")
+    decimal = F.rtrim(text.try_cast("decimal(38,17)").cast("string"), F.lit("0"))
+    return F.when(text.contains("E"), F.coalesce(F.when(decimal.endswith("."), F.concat(decimal, F.lit("0"))).otherwise(decimal), text)).otherwise(text)
 
 
 def strip(value: Column | str) -> Column:

@@ -31,12 +31,12 @@ def detection_form(text: Column | str) -> Column:
     odd = text.rlike(STABLE)
     folded = F.when(odd, _compatibility_form(F.when(odd, text))).otherwise(text)
     folded = F.translate(F.lower(F.translate(folded, V.ZERO_WIDTH, "")), V.LOOKALIKE_FROM, V.LOOKALIKE_TO)
-    # A space goes when it stands between single letters and a third single letter is next to them.
-    before = r"(?<=\b[a-z]\s{1,20}[a-z]\s{0,20}) (?=\s*[a-z]\b)"
-    after = r"(?<=\b[a-z]\s{0,20}) (?=\s*[a-z]\s{1,20}[a-z]\b)"
-    # The look-behinds are slow, so only texts with such a run pay for them.
-    spelled = folded.rlike(r"(?U)\b[a-z]\s+[a-z]\s+[a-z]\b")
-    joined = F.when(spelled, F.regexp_replace(folded, f"(?U){before}|{after}", "")).otherwise(folded)
+    # Three and more single letters with blanks between them are one word, however many blanks: what lies between such runs
+    # and the runs without their spaces are put together again.
+    run = r"(?U)\b(?:[a-z]\s+){2,}[a-z]\b"
+    words = F.transform(F.regexp_extract_all(folded, F.lit(run), F.lit(0)), lambda found: F.translate(found, " ", ""))
+    rejoined = F.array_join(F.zip_with(F.split(folded, run, -1), words, lambda between, word: F.concat(between, F.coalesce(word, F.lit("")))), "")
+    joined = F.when(folded.rlike(run), rejoined).otherwise(folded)
     return F.regexp_replace(joined, r"(?U)[^\S\n]+", " ")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probita import fixed_values as V
-from probita.functions.scalars import lenient_flag, number_or, pad_number
+from probita.functions.scalars import lenient_flag, number_or, pad_number, plain_number
 
 TOP_CASES = 30
 OPEN_ROLES = ["compliance", "investigator", "admin"]
@@ -161,7 +161,7 @@ def dispositions(clients: DataFrame, largest: DataFrame) -> DataFrame:
     sector = F.lower(F.coalesce("sector_risk", F.lit("")))
     high = sector.isin("high", "critical")
     traded = F.col("_amount").isNotNull()
-    largest_text = F.concat(F.lit("Largest observed transaction amount is "), F.col("_amount").cast("string"), F.lit("."))
+    largest_text = F.concat(F.lit("Largest observed transaction amount is "), plain_number("_amount"), F.lit("."))
     indicators = [F.when(high, indicator("sector_risk", "high", F.concat(F.lit("Profile sector risk is "), sector, F.lit("."))))]
     evidence = [F.when(high, cited(F.lit("High sector risk on KYC profile."), "kyc_profile", F.lit("sector_risk=high"), "high"))]
     for name, severity, detail in PROFILE_INDICATORS:

@@ -42,7 +42,7 @@ def descendants(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH)
     return best.select("structure", "root_id", "node_id", "b.depth", "b.path")
 
 
-def count_descendants(starts: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def count_descendants(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """All nodes below each start, whatever the depth.
 
     Rounds go on until none finds a new node. Each is written out, so that neither the plan nor the
@@ -51,7 +51,7 @@ def count_descendants(starts: DataFrame, edges: DataFrame, max_rounds: int = 10_
     steps = edges.select("structure", "owner_id", "owned_id").distinct()
     frontier = cut_lineage(starts.select("structure", "root_id", F.col("root_id").alias("node_id")).distinct())
     seen = frontier
-    for _ in range(max_rounds):
+    while True:
         reached = frontier.withColumnRenamed("node_id", "owner_id").join(steps, ["structure", "owner_id"]).select(
             "structure", "root_id", F.col("owned_id").alias("node_id")).distinct()
         frontier = cut_lineage(reached.join(seen, ["structure", "root_id", "node_id"], "left_anti"))

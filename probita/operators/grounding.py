@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probita import fixed_values as V
-from probita.functions.scalars import strip
+from probita.functions.scalars import plain_number, strip
 from probita.operators.skew import contains_join
 
 
 OWN_VALUES = ["Date", "Sender_account", "Receiver_account", "Amount"]
-MAX_VALUE = 64  # dates, accounts and amounts are never longer, so the set of lengths is small
+
+
+def _as_text(transfers: DataFrame, name: str) -> Column:
+    """A value as a citation would write it."""
+    return plain_number(name) if transfers.schema[name].dataType.simpleString() in ("double", "float") else F.col(name).cast("string")
 
 
 def _without_prefix(text: Column, prefixes: list[str]) -> Column:
@@ -47,14 +51,14 @@ def _transaction_citations(cited: DataFrame, transfers: DataFrame, client_transf
                       F.when(F.size(parts) >= 3, parts).otherwise(F.array().cast("array<string>")))
     by_account = cited.select("citation_id", F.explode(F.array_distinct(pieces)).alias("piece")).join(accounts, "piece", "left_semi")
     # The texts are few and short: each is cut into its pieces of the lengths that values have.
-    lengths = transfers.select(F.explode(F.array(*[F.length(F.col(c).cast("string")) for c in OWN_VALUES])).alias("n")).where(
-        F.col("n").between(1, MAX_VALUE)).agg(F.collect_set("n")).scalar()
+    lengths = transfers.select(F.explode(F.array(*[F.length(_as_text(transfers, c)) for c in OWN_VALUES])).alias("n")).where(
+        "n >= 1").agg(F.collect_set("n")).scalar()
     bodies = cited.where("client_id is not null").select("client_id", body.alias("haystack")).distinct()
     sized = bodies.select("client_id", "haystack", F.explode(lengths).alias("n")).where(F.length("haystack") >= F.col("n"))
     cut = sized.select("client_id", "haystack", "n", F.explode(F.sequence(F.lit(1), F.length("haystack") - F.col("n") + 1)).alias("at"))
     cut = cut.select("client_id", "haystack", F.substring(F.col("haystack"), F.col("at"), F.col("n")).alias("needle")).distinct()
     values = client_transfers.join(bodies.select("client_id").distinct(), "client_id", "left_semi").select(
-        "client_id", F.explode(F.array(*[F.col(c).cast("string") for c in OWN_VALUES])).alias("needle"))
+        "client_id", F.explode(F.array(*[_as_text(client_transfers, c) for c in OWN_VALUES])).alias("needle"))
     own = cut.join(values, ["client_id", "needle"], "left_semi")
     by_value = cited.withColumn("haystack", body).join(own.select("client_id", "haystack").distinct(), ["client_id", "haystack"], "left_semi")
     good = by_account.select("citation_id").unionByName(by_value.select("citation_id")).distinct().withColumn("_good", F.lit(True))

@@ -18,9 +18,25 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# This engine's word class and boundary know ASCII only and it has no look-ahead, so letters beyond
+# ASCII are spelled as ASCII words while the patterns run.
+_beyond = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+
+
+def _spell(expr: str, back: bool = False) -> str:
+    for at, letter in enumerate(_beyond):
+        word = f"_q{chr(97 + at)}_"
+        expr = f"replace({expr}, '{word}', '{letter}')" if back else f"replace({expr}, '{letter}', '{word}')"
+    return expr
+
+
+_run = "'\\b(?:[a-z]\\s+){2,}[a-z]\\b'"
+_lowered = _spell("lower(content)")
+_rejoined = f"CASE WHEN regexp_matches({_lowered}, {_run}) THEN " + _spell(f"""array_to_string(list_transform(list_zip(string_split_regex({_lowered}, {_run}), regexp_extract_all({_lowered}, {_run})),
+  lambda x: x[1] || coalesce(replace(x[2], ' ', ''), '')), '')""", True) + " ELSE lower(content) END"
 _case = "\n".join(f"CASE WHEN regexp_matches(form, {_quoted(p)}) THEN {_quoted(label)} END," for p, label in V.INJECTION_PATTERNS)
 _bare = ",\n".join(f"CASE WHEN regexp_matches(bare, {_quoted(p)}) THEN {_quoted(label)} END" for p, label in V.DESPACED_PATTERNS)
-VIEWS["detection"] = (["articles"], "SELECT *, regexp_replace(lower(content), '[ \\t\\r\\f]+', ' ', 'g') AS form, regexp_replace(lower(content), '[^a-z0-9]', '', 'g') AS bare FROM articles")
+VIEWS["detection"] = (["articles"], f"SELECT *, regexp_replace({_rejoined}, '[ \\t\\r\\f]+', ' ', 'g') AS form, regexp_replace(lower(content), '[^a-z0-9]', '', 'g') AS bare FROM articles")
 VIEWS["flagged"] = (["detection"], f"""
 SELECT article_id, entity_id, source_url, content, list_filter([{_case}
 {_bare}], lambda x: x IS NOT NULL) AS raw_categories,
@@ -47,11 +63,10 @@ def findings(spark, d):
     return media.analyze_articles(articles(spark, d))
 
 
-@query("t1_detection_form", with_views("SELECT article_id, length(form) AS letters, md5(form) AS digest FROM detection WHERE NOT regexp_matches(form, '\\b([a-z]\\s+){2,}[a-z]\\b')", "detection"))
+@query("t1_detection_form", with_views("SELECT article_id, length(form) AS letters, md5(form) AS digest FROM detection", "detection"))
 def detection_form(spark, d):
-    form = articles(spark, d).select("article_id", F.lower("content").alias("low"), tx.detection_form("content").alias("form"))
-    plain = form.where(~F.col("low").rlike(r"\b([a-z]\s+){2,}[a-z]\b"))
-    return plain.select("article_id", F.length("form").alias("letters"), F.md5("form").alias("digest"))
+    form = articles(spark, d).select("article_id", tx.detection_form("content").alias("form"))
+    return form.select("article_id", F.length("form").alias("letters"), F.md5("form").alias("digest"))
 
 
 @query("t2_injection", with_views("SELECT article_id, categories FROM flagged", "flagged"))
@@ -87,28 +102,24 @@ def all_findings(spark, d):
                                      "injection_attempt_detected", "injection_details")
 
 
-# This engine's word class and boundary know ASCII only and it has no look-ahead, so letters beyond
-# ASCII are spelled as ASCII words while the patterns run.
-_beyond = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
-_plain_kinds = [(k, p) for k, p in V.EGRESS_PATTERNS if k != "swift"]
-
-
-def _spell(expr: str, back: bool = False) -> str:
-    for at, letter in enumerate(_beyond):
-        word = f"_q{chr(97 + at)}_"
-        expr = f"replace({expr}, '{word}', '{letter}')" if back else f"replace({expr}, '{letter}', '{word}')"
-    return expr
+def _ahead(pattern: str) -> tuple[str, str]:
+    """A pattern with what it looks ahead for, which this engine must read as a second group."""
+    head, _, tail = pattern.partition("(?=")
+    return (f"({head})", f"({tail[:-1]})") if tail else (f"({head})", "()")
 
 
 @query("t7_identifiers", with_views(" UNION ALL ".join(
-    f"SELECT article_id, '{k}' AS kind, {_spell('m', True)} AS match FROM (SELECT article_id, unnest(regexp_extract_all(spelled, {_quoted(p)})) AS m FROM (SELECT article_id, {_spell('content')} AS spelled FROM articles))" for k, p in _plain_kinds), "articles"))
+    f"SELECT article_id, '{k}' AS kind, {_spell('m', True)} AS match FROM (SELECT article_id, unnest(regexp_extract_all(spelled, {_quoted(''.join(_ahead(p)) if '(?=' in p else p)}, {int('(?=' in p)})) AS m FROM (SELECT article_id, {_spell('content')} AS spelled FROM articles))" for k, p in V.EGRESS_PATTERNS), "articles"))
 def identifiers(spark, d):
-    return articles(spark, d).select("article_id", F.inline(tx.identifiers("content"))).where("kind <> 'swift'")
+    return articles(spark, d).select("article_id", F.inline(tx.identifiers("content")))
 
 
 def _redacted(expr: str) -> str:
-    for k, p in _plain_kinds:
-        expr = f"regexp_replace({expr}, {_quoted(p)}, '[REDACTED:{k}]', 'g')"
+    for k, p in V.EGRESS_PATTERNS:
+        if "(?=" in p:
+            expr = f"regexp_replace({expr}, {_quoted(''.join(_ahead(p)))}, '[REDACTED:{k}]\\2', 'g')"
+        else:
+            expr = f"regexp_replace({expr}, {_quoted(p)}, '[REDACTED:{k}]', 'g')"
     return expr
 
 

@@ -31,7 +31,7 @@ def he(expr: str, digits: int = 0) -> str:
     """Round half to even."""
     if digits == 0:
         return f"round_even(({expr})::DOUBLE, 0)"
-    return f"(round_even(({expr})::DOUBLE * 1e{digits}, 0) / 1e{digits})"
+    return f"format('{{:.{digits}f}}', ({expr})::DOUBLE)::DOUBLE"  # printing rounds the exact binary value
 
 
 _view("clients", """

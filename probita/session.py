@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,8 +37,8 @@ def build_session(app: str = "probita", master: str | None = None, partitions: i
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can see.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) is a temporary folder made, once per session.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and master and executors are one machine
+    (tests) is a temporary folder made, once per session; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -46,6 +47,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _own_folder(spark: SparkSession) -> str:
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="probita-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -187,15 +187,13 @@ def light_sdn(sdn: DataFrame) -> DataFrame:
         clean("Program").alias("country"), remarks.alias("info")).where("name <> ''")
 
 
-def shape_open_list(raw: DataFrame, limit: int | None = None, schemas: list[str] | None = V.SCREENABLE_SCHEMAS) -> DataFrame:
-    """The open list: rows without id or name and other schemas go before the optional cap."""
+def shape_open_list(raw: DataFrame, schemas: list[str] | None = V.SCREENABLE_SCHEMAS) -> DataFrame:
+    """The open list without rows that lack an id or a name, and without other schemas."""
     def text(name: str) -> Column:
         return S.strip(F.coalesce(F.col(name), F.lit("")))
     rows = raw.where((text("id") != "") & (text("name") != ""))
     if schemas is not None:
         rows = rows.where(text("schema").isin(schemas))
-    if limit is not None:
-        rows = rows.limit(limit)
     return rows.select(
         text("id").alias("row_id"), text("id").alias("entity_id"), text("name").alias("name"),
         S.split_multi("aliases").alias("aliases"), S.known(text("birth_date")).alias("dob"),
@@ -206,8 +204,8 @@ def shape_open_list(raw: DataFrame, limit: int | None = None, schemas: list[str]
         F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("string").alias("context"))
 
 
-def load_open_list(spark: SparkSession, path: str, limit: int | None = None, schemas: list[str] | None = V.SCREENABLE_SCHEMAS) -> DataFrame:
-    return shape_open_list(read_text_csv(spark, path), limit, schemas)
+def load_open_list(spark: SparkSession, path: str, schemas: list[str] | None = V.SCREENABLE_SCHEMAS) -> DataFrame:
+    return shape_open_list(read_text_csv(spark, path), schemas)
 
 
 def light_open_list(raw: DataFrame) -> DataFrame:

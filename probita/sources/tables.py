@@ -13,19 +13,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-SPREAD_BELOW = 1 << 30
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a small table out to all cores.
-
-    A small file is one or two row groups, so one task would do all the work of an expensive
-    projection. Tables of a gigabyte and more have row groups enough and are left as they are.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BELOW else df
-
-
 def clients(spark: SparkSession, folder: str) -> DataFrame:
     customer = table(spark, folder, "customer")
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
@@ -192,7 +179,8 @@ PLANTED = [
 
 
 def articles(spark: SparkSession, folder: str) -> DataFrame:
-    return as_articles(spread(table(spark, folder, "documents")))
+    """The documents as articles, dealt out by id: their patterns cost more than the shuffle, and a file may be one row group."""
+    return as_articles(table(spark, folder, "documents").repartition("doc_id"))
 
 
 def as_articles(documents: DataFrame) -> DataFrame:

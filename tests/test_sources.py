@@ -42,12 +42,11 @@ def test_sanctions_list_with_and_without_header(spark, tmp_path, header):
     assert set(light) == {"AL-RASHID, Mohammad", "TEHRAN METALS", "NO NUMBER"}
 
 
-def test_open_list_filters_before_the_cap(spark, tmp_path):
+def test_open_list_filters(spark, tmp_path):
     text = "id,schema,name,aliases,birth_date,countries,sanctions,dataset\n" + "".join(
         f"Q{i},{'Vessel' if i % 2 else 'Person'},N{i},a{i}; ;b{i},,ru;ua,s1; s2,\n" for i in range(10)) + ",Person,x,,,,,\n"
     path = write(tmp_path / "o.csv", text)
     assert loaders.load_open_list(spark, path).count() == 5
-    assert loaders.load_open_list(spark, path, limit=3).count() == 3
     assert loaders.load_open_list(spark, path, schemas=None).count() == 10
     row = loaders.load_open_list(spark, path).orderBy("entity_id").first()
     assert (row.aliases, row.nationality, row.topics, row.source_list) == (["a0", "b0"], "RU", ["s1", "s2"], "opensanctions")
@@ -55,7 +54,7 @@ def test_open_list_filters_before_the_cap(spark, tmp_path):
 
 def test_list_modes(spark, tmp_path):
     path = write(tmp_path / "o.csv", "id,schema,name,aliases,birth_date,countries,sanctions,dataset\nQ1,Person,A,,,,,\nQ2,Person,B,,,,,\n")
-    real, fixture = loaders.load_open_list(spark, path, limit=2), loaders.load_open_list(spark, path)
+    real, fixture = loaders.load_open_list(spark, path), loaders.load_open_list(spark, path)
     both = loaders.combine_lists({"opensanctions": real}, fixture)
     assert both.count() == 4 and both.where("source_list like '%(SAMPLE FIXTURE)'").count() == 2
     stats = {r["list"]: r.truncated for r in loaders.list_statistics(both, {"opensanctions": 2}).collect()}
