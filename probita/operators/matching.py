@@ -13,6 +13,7 @@ from probita import fixed_values as V
 from probita.functions import scalars as S
 from probita.functions import similarity as sim
 from probita.operators.skew import skew_join, top_n
+from probita.session import cut_lineage
 
 QUERY_FIELDS = ["name", "dob", "nationality", "company", "context"]
 ENTRY_FIELDS = ["row_id", "entity_id", "name", "aliases", "dob", "nationality", "company", "source_list", "context"]
@@ -121,8 +122,8 @@ def _context(pairs: DataFrame) -> Column:
     return text if cosine is None else F.when(_missing("context"), text).otherwise(F.coalesce(cosine, text))
 
 
-def _cheap_scores(pairs: DataFrame) -> DataFrame:
-    """Scores that need no similarity function, and upper bounds for those that do."""
+def _attribute_scores(pairs: DataFrame) -> DataFrame:
+    """Scores that need no similarity function, and upper bounds for companies and contexts."""
     dob = (F.when(F.col("q_dob_text").isNull() | F.col("w_dob_text").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE))
            .when(F.col("q_born").isNull() | F.col("w_born").isNull(), (F.col("q_dob_text") == F.col("w_dob_text")).cast("double"))
            .otherwise(S.dates_agree(F.col("q_born"), F.col("w_born")).cast("double")))
@@ -130,8 +131,6 @@ def _cheap_scores(pairs: DataFrame) -> DataFrame:
         (F.col("q_code") == F.col("w_code")).cast("double"))
     return pairs.withColumns({
         "s_dob": dob, "s_nationality": nationality,
-        "_name_most": sim.prepared_bound("q_name", "w_name"),
-        "_alias_most": F.when(F.size("w_aliases_low") > 0, 1.0).otherwise(0.0),
         "_company_most": F.when(_missing("company"), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(sim.prepared_bound("q_company", "w_company")),
         "_context_most": F.when(_missing("context"), F.lit(V.UNKNOWN_CONTEXT)).otherwise(
             F.lit(1.0) if _vectors(pairs) is not None else sim.prepared_bound("q_context", "w_context")),
@@ -149,7 +148,7 @@ def _text_scores(pairs: DataFrame) -> DataFrame:
 
 def component_scores(pairs: DataFrame) -> DataFrame:
     """All six scores of every pair; context is compared only where it can change the class."""
-    scored = _text_scores(_cheap_scores(pairs))
+    scored = _text_scores(_attribute_scores(pairs))
     best = weighted_score(_column("bound")) - F.lit(V.MATCH_WEIGHTS["context"] * V.UNKNOWN_CONTEXT) + F.lit(V.MATCH_WEIGHTS["context"])
     gated = scored.withColumn("_open", best >= V.POSSIBLE_THRESHOLD)
     # A pair that stays closed sends NULLs to the comparison, which costs next to nothing.
@@ -164,24 +163,46 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("classification", classify(F.col("match_score")))
 
 
-def possible_pairs(pairs: DataFrame) -> DataFrame:
-    """Scores of the pairs that reach the lower threshold.
+def name_pairs(asked: DataFrame, filed: DataFrame, **skew) -> DataFrame:
+    """Pairs of a query name and a group of equal names and aliases that share a key, with their scores.
 
-    The same values as ``evaluate``, but pairs leave as soon as an upper bound shows that they
-    cannot reach it: first by lengths and exact attributes, in generated code, before any row goes
-    to Python; then by the text scores, before contexts are compared.
+    Keys and name scores depend on these texts only, so they are found once however many profiles or entries have them.
+    A pair that shares several keys is kept at the smallest one.
+    """
+    names = asked.groupBy("q_name").agg(*[F.first(c).alias(c) for c in ("q_name_low", "q_name_words", "q_keys")])
+    listed = filed.groupBy("w_listed").agg(*[F.first(c).alias(c) for c in ("w_name_low", "w_name_words", "w_aliases_low", "w_aliases_words", "w_keys")])
+    options = {"share": PAIR_SHARE, "floor": PAIR_FLOOR, **skew}
+    met = skew_join(names.withColumn("block", F.explode("q_keys")), listed.withColumn("block", F.explode("w_keys")), ["block"], both=True, spread=True, **options)
+    once = met.where(F.col("block") == F.array_min(F.array_intersect("q_keys", "w_keys")))
+    return once.select("q_name", "w_listed", sim.prepared_similarity("q_name", "w_name").alias("s_name"), sim.prepared_alias_similarity("q_name", "w_aliases").alias("s_alias"))
+
+
+def possible_pairs(named: DataFrame, asked: DataFrame, filed: DataFrame) -> DataFrame:
+    """Scores of the (profile, entry) pairs that reach the lower threshold.
+
+    The same values as ``evaluate``, but pairs leave as soon as an upper bound shows that they cannot reach it: first by
+    the name scores, exact attributes and lengths, in the join stage, before any row goes to Python; then by the company
+    score, before contexts are compared. Profiles and entries meet under the name pairs that were found for them.
     """
     slack = 1e-4  # more than rounding to four digits can add
-    cheap = _cheap_scores(pairs)
-    most = weighted({"name": F.col("_name_most"), "alias": F.col("_alias_most"), "dob": F.col("s_dob"), "nationality": F.col("s_nationality"),
-                     "company": F.col("_company_most"), "context": F.col("_context_most")})
-    texts = _text_scores(cheap.where(most >= V.POSSIBLE_THRESHOLD - slack))
+    reached = named.join(asked.drop("q_name_low", "q_name_words", "q_keys"), "q_name")
+    pairs = _attribute_scores(reached.join(filed.drop("w_name_low", "w_name_words", "w_aliases_low", "w_aliases_words", "w_keys"), "w_listed"))
+    most = weighted(_column("") | {"company": F.col("_company_most"), "context": F.col("_context_most")})
+    likely = pairs.where(most >= V.POSSIBLE_THRESHOLD - slack)
+    company = F.when(_missing("company"), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(sim.prepared_similarity("q_company", "w_company"))
+    texts = likely.withColumn("s_company", company)
     reach = weighted(_column("") | {"context": F.col("_context_most")})
     open_ = texts.where(reach >= V.POSSIBLE_THRESHOLD - slack)
     scored = open_.withColumn("s_context", _context(open_)).withColumn("match_score", weighted_score(_column("")))
     return scored.where(F.col("match_score") >= V.POSSIBLE_THRESHOLD).withColumn("classification", classify(F.col("match_score")))
 
 
+def _counted(named: DataFrame, filed: DataFrame) -> DataFrame:
+    """How many entries each query name is compared with, from the same pairs."""
+    sizes = filed.groupBy("w_listed").agg(F.count(F.lit(1)).alias("_n"))
+    return named.select("q_name", "w_listed").join(sizes, "w_listed").groupBy("q_name").agg(F.sum("_n").alias("candidates_scored"))
+
+
 RESULT = ["row_id", "matched_against", "candidate_name", "source", "match_score", "classification", *[f"s_{p}" for p in PARTS]]
 
 
@@ -196,11 +217,15 @@ def screen(queries: DataFrame, watchlist: DataFrame, limit: int | None = V.MATCH
     """Best matches of every query, with component scores and the number of entries compared."""
     distinct, keyed = profiles(queries)
     entries = watchlist.select(*ENTRY_FIELDS, *([VECTOR] if VECTOR in watchlist.columns else []))
-    found = _result(possible_pairs(blocking_pairs(distinct, entries, **skew)))
+    # Prepared once and written down: they are read for the names, for the pairs and for the counts.
+    asked = cut_lineage(_prepare(distinct, "q"))
+    filed = cut_lineage(_prepare(entries, "w").withColumn("w_listed", F.sha2(F.to_json(F.struct("w_name", "w_aliases_low", "w_keys"), {"ignoreNullFields": "false"}), 256)))
+    named = cut_lineage(name_pairs(asked, filed, **skew))
+    found = _result(possible_pairs(named, asked, filed))
     if limit is not None:
         found = top_n(found, ["profile_id"], [F.col("match_score").desc(), F.col("matched_against"), F.col("row_id")], limit)
-    counted = found.join(candidate_counts(distinct, entries), "profile_id")
-    return skew_join(keyed, counted, ["profile_id"], **skew).drop("profile_id")
+    counts = asked.select(F.col("q_profile_id").alias("profile_id"), "q_name").join(_counted(named, filed), "q_name").drop("q_name")
+    return keyed.join(found.join(counts, "profile_id"), "profile_id").drop("profile_id")
 
 
 def with_evidence_ids(matches: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def open_list(spark, d):
 @query("s18_combined_lists", with_views(f"""
 SELECT 'ofac_sdn' AS list, true AS real_data, count(*) AS entities, false AS truncated, 0 AS marked FROM sdn WHERE name IS NOT NULL
 UNION ALL SELECT 'opensanctions', true, count(*), false, 0 FROM part WHERE {_open_where}
-UNION ALL SELECT 'demo_fixtures', false, count(*), false, count(*) FROM (SELECT DISTINCT p_name, p_brand FROM part)""", "sdn"))
+UNION ALL SELECT 'demo_fixtures', false, count(*), false, count(*) FROM part""", "sdn"))
 def combined_lists(spark, d):
     fixtures = tables.watchlist(spark, d).withColumns({"topics": F.array(F.lit("demo")), "source_url": F.lit(None).cast("string")})
     combined = loaders.combine_lists(

@@ -182,7 +182,7 @@ SELECT 'W-' || p_partkey AS row_id, 'W-' || p_partkey AS entity_id, p_name AS na
   CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS company,
   ['OFAC SDN','opensanctions','pep register'][p_partkey % 3 + 1] AS source_list,
   CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'dealer in ' || p_name || ' goods' END AS context
-FROM (SELECT p_name, p_brand, min(p_type) AS p_type, min(p_size) AS p_size, min(p_partkey) AS p_partkey FROM part GROUP BY ALL)""")
+FROM part""")
 
 _view("screen_queries", """
 SELECT 'CLIENT-' || c_custkey AS entity_id,

@@ -98,10 +98,8 @@ def account_mapping(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def watchlist(spark: SparkSession, folder: str) -> DataFrame:
-    """One entry per distinct name and brand of ``part``."""
-    named = table(spark, folder, "part").groupBy("p_name", "p_brand").agg(
-        F.min("p_type").alias("p_type"), F.min("p_size").alias("p_size"), F.min("p_partkey").alias("p_partkey")
-    )
+    """An entry for every row of ``part``."""
+    named = table(spark, folder, "part")
     name, number = F.col("p_name"), F.col("p_partkey")
     swapped = F.concat(F.split_part(name, F.lit(" "), F.lit(2)), F.lit(", "), F.split_part(name, F.lit(" "), F.lit(1)))
     return named.select(
