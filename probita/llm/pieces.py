@@ -31,7 +31,7 @@ _LITERAL = "\udc81"
 #: What an unknown character loses against the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
 #: Characters of text that are solved together, and stretches whose solutions a task keeps.
-CHUNK, KEPT = 4 << 20, 600_000
+CHUNK, KEPT = 2 << 20, 250_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
