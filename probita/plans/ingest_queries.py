@@ -12,6 +12,7 @@ from probita.functions import scalars as S
 from probita.operators import quality
 from probita.plans.catalog import query
 from probita.plans.views_sql import VIEWS, he, with_views
+from probita.session import scratch_path
 from probita.sources import loaders, sinks, tables
 
 DEMO_KEY = "pseudonym-key-for-checks"
@@ -64,7 +65,6 @@ def records(spark, d):
 @query("s1_read_rows", with_views("""
 SELECT count(*) AS n, count(DISTINCT client_id) AS ids, sum(length(client_name))::BIGINT AS letters, sum((sector = '')::INT)::BIGINT AS blank_sectors FROM raw_kyc""", "raw_kyc"))
 def read_rows(spark, d):
-    from probita.session import scratch_path
     path = scratch_path(spark, "kyc-csv")
     raw(spark, d).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     df = loaders.read_text_csv(spark, path)
@@ -72,6 +72,41 @@ def read_rows(spark, d):
                   F.count_if(F.col("sector") == "").alias("blank_sectors"))
 
 
+@query("s10_ownership_files", """
+SELECT 'P-' || p_partkey AS entity_id, p_name AS name, 'maker of ' || p_name AS context, p_type AS nationality, 'P-' || (p_partkey // 100 * 100) AS owner_id, 50.0::DOUBLE AS percentage FROM part""")
+def ownership_files(spark, d):
+    """Structures of a hundred parts, a JSON file each, written and read back."""
+    path = scratch_path(spark, "ownership")
+    key, first = F.col("p_partkey").cast("string"), F.floor(F.col("p_partkey") / 100) * 100
+    entity = F.struct(F.concat(F.lit("P-"), key).alias("entity_id"), F.col("p_name").alias("name"), F.concat(F.lit("maker of "), "p_name").alias("context"), F.col("p_type").alias("nationality"))
+    edge = F.struct(F.concat(F.lit("P-"), first.cast("string")).alias("owner_id"), F.concat(F.lit("P-"), key).alias("owned_id"), F.lit(50.0).alias("percentage"))
+    bodies = tables.table(spark, d, "part").groupBy(first.alias("file")).agg(F.collect_list(entity).alias("entities"), F.collect_list(edge).alias("ownership_edges"))
+    bodies.select("file", F.to_json(F.struct("entities", "ownership_edges")).alias("value")).repartition("file").write.partitionBy("file").text(path)
+    nodes, edges = loaders.load_ownership(spark, path)
+    return nodes.join(edges.drop("structure"), nodes.entity_id == edges.owned_id, "left").select(
+        "entity_id", "name", "context", F.col("metadata")["nationality"].alias("nationality"), "owner_id", "percentage")
+
+
+@query("s11_article_files", """
+SELECT md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS digest, sum(length(text))::BIGINT + 2 * count(*) - 1 AS letters FROM documents GROUP BY doc_id // 20""")
+def article_files(spark, d):
+    """Text files of twenty articles each, written and read back whole."""
+    path = scratch_path(spark, "articles")
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    files = tables.table(spark, d, "documents").groupBy(F.floor(F.col("doc_id") / 20).alias("file")).agg(ordered.alias("a"))
+    files.select("file", F.array_join(F.transform("a", lambda x: x["text"]), "\n\n").alias("value")).repartition("file").write.partitionBy("file").text(path)
+    return loaders.load_articles(spark, path).select(F.md5("content").alias("digest"), F.length("content").cast("long").alias("letters"))
+
+
+@query("s12_regulation_file", with_views("""
+SELECT article_id, article_title, md5(trim(article_text, chr(9) || chr(10) || chr(13) || ' ')) AS digest, article_recitals FROM regulation""", "regulation"))
+def regulation_file(spark, d):
+    """The regulation as CSV, with line breaks inside its fields, written and read back."""
+    path = scratch_path(spark, "regulation")
+    tables.regulation(spark, d).drop("position").write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return loaders.load_regulation(spark, path).select("article_id", "article_title", F.md5("article_text").alias("digest"), "article_recitals")
+
+
 @query("s3_client_book", with_views("""
 SELECT 'CLIENT-' || client_id AS entity_id, client_name AS name, client_type, sector, sector_risk, country, country AS nationality, client_name AS company,
   client_type || ' in ' || sector || ' sector, based in ' || country AS context, pep_flag, sanctions_flag, fatf_country_flag, ofac_country_flag,

@@ -16,16 +16,16 @@ from probita.functions import scalars as S
 NEVER = "\u0001"  # a null marker that occurs in no file, so that empty fields stay empty text
 
 
-def _csv(spark: SparkSession, header: bool, multi_line: bool = True):
+def _csv(spark: SparkSession, header: bool, multi_line: bool = False):
     return spark.read.options(header=header, inferSchema=False, mode="PERMISSIVE", multiLine=multi_line,
                               quote='"', escape='"', maxCharsPerColumn=-1, encoding="UTF-8",
                               nullValue=NEVER, emptyValue="")
 
 
-def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """A CSV file with every column as text; a leading byte-order mark goes, short rows fill with ''.
 
-    ``multi_line=False`` lets Spark split large files; use it where no field holds a line break.
+    Large files are split between tasks. ``multi_line=True``, for files whose fields hold line breaks, is a task a file.
     """
     df = _csv(spark, True, multi_line).csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
@@ -33,8 +33,11 @@ def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool =
 
 
 def read_kyc_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files of a folder, with the file each row came from."""
-    reader = _csv(spark, True).option("pathGlobFilter", "*.csv")
+    """All CSV files of a folder, with the file each row came from.
+
+    Files whose columns come in another order than the first one's are an error, not misread.
+    """
+    reader = _csv(spark, True).options(pathGlobFilter="*.csv", enforceSchema=False)
     df = reader.csv(folder)
     return df.na.fill("").withColumn("source_file", F.col("_metadata.file_path"))
 
@@ -276,7 +279,7 @@ def load_regulation(spark: SparkSession, path: str) -> DataFrame:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
         raw = spark.read.schema(schema).json(path, multiLine=True)
     else:
-        raw = read_text_csv(spark, path)
+        raw = read_text_csv(spark, path, multi_line=True)
     return raw.select(*[S.strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns]).withColumn(
         "position", F.monotonically_increasing_id())
 
