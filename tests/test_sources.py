@@ -23,7 +23,7 @@ def write(path, text):
 
 def test_text_csv_keeps_text_and_fills_short_rows(spark, tmp_path):
     path = write(tmp_path / "k.csv", '﻿client_id,client_name,pep_flag\n007,"Line\nbreak",0\n8,only\n')
-    rows = [r.asDict() for r in loaders.read_text_csv(spark, path).orderBy("client_id").collect()]
+    rows = [r.asDict() for r in loaders.read_text_csv(spark, path, multi_line=True).orderBy("client_id").collect()]
     assert rows == [{"client_id": "007", "client_name": "Line\nbreak", "pep_flag": "0"}, {"client_id": "8", "client_name": "only", "pep_flag": ""}]
 
 
@@ -122,3 +122,12 @@ def test_seals_and_log(spark, tmp_path):
     sinks.append_events(spark, events, path)
     sinks.append_events(spark, spark.createDataFrame([("e2",), ("e3",)], "event_id string"), path)
     assert [r.event_id for r in sinks.read_events(spark, path).collect()] == ["e1", "e2", "e3"]
+
+
+def test_folder_with_columns_in_another_order_is_an_error(spark, tmp_path):
+    folder = tmp_path / "kyc"
+    folder.mkdir()
+    write(folder / "a.csv", "client_id,client_name\n1,Ann\n")
+    write(folder / "b.csv", "client_name,client_id\nBob,2\n")
+    with pytest.raises(Exception, match="header"):
+        loaders.read_kyc_folder(spark, str(folder)).collect()
