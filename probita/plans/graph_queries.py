@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from probita.operators import cases, graph, grounding
 from probita.operators import transactions as tr
+from probita.plans import match_queries  # noqa: F401  (its views are used)
 from probita.plans.catalog import query
 from probita.plans.views_sql import VIEWS, with_views
 from probita.sources import tables
@@ -20,6 +23,22 @@ VIEWS["below"] = (["walk"], """
 SELECT node_id, depth, path FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY depth, path) AS rn FROM walk WHERE depth > 0) WHERE rn = 1""")
 
 
+# The screening views once more, with the nodes below the root as what is asked.
+_SCREENING = ["asked", "candidates", "text_pairs", "pair_forms", "lcs_steps", "sims", "alias_sims", "parts", "gated", "evaluated", "matches"]
+
+
+def _of_nodes(text: str) -> str:
+    return re.sub(rf"\b({'|'.join([*_SCREENING, 'screen_queries'])})\b(?! *\()", r"node_\1", text)
+
+
+VIEWS["node_screen_queries"] = (["below"], """
+SELECT 'N-' || lpad(p_partkey::VARCHAR, 10, '0') AS entity_id, p_name AS name, CASE WHEN p_partkey % 2 = 0 THEN (1950 + p_size)::VARCHAR END AS dob, p_type AS nationality, p_brand AS company,
+  'maker of ' || p_name AS context FROM part WHERE 'N-' || lpad(p_partkey::VARCHAR, 10, '0') IN (SELECT node_id FROM below)""")
+for _name in _SCREENING:
+    _needs, _sql = VIEWS[_name]
+    VIEWS[f"node_{_name}"] = ([_of_nodes(n) for n in _needs], _of_nodes(_sql))
+
+
 def _graph(spark, d):
     return tables.ownership_nodes(spark, d), tables.ownership_edges(spark, d)
 
@@ -62,12 +81,14 @@ def _chain(spark, d):
     return graph.sanctioned_in_chain(nodes, edges, tables.watchlist(spark, d))
 
 
-@query("g4_sanctioned_chain")
+@query("g4_sanctioned_chain", with_views("""
+SELECT b.node_id, depth, row_id AS matched_against, match_score, array_to_string(path, '>') AS path FROM below b JOIN node_matches m ON m.entity_id = b.node_id WHERE rank = 1""", "below", "node_matches"))
 def sanctioned_chain(spark, d):
     return _chain(spark, d).select("node_id", "depth", "matched_against", "match_score", F.array_join("path", ">").alias("path"))
 
 
-@query("w13_best_per_node")
+@query("w13_best_per_node", with_views("""
+SELECT entity_id AS node_id, row_id AS matched_against, candidate_name, match_score, classification FROM node_matches WHERE rank = 1""", "node_matches"))
 def best_per_node(spark, d):
     """Findings in order of score; the node decides a tie."""
     return _chain(spark, d).orderBy(F.col("match_score").desc(), "node_id").select("node_id", "matched_against", "candidate_name", "match_score", "classification")
