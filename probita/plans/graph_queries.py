@@ -6,11 +6,14 @@ import re
 
 from pyspark.sql import functions as F
 
+from probita.functions import text as tx
 from probita.operators import cases, graph, grounding
 from probita.operators import transactions as tr
 from probita.plans import match_queries  # noqa: F401  (its views are used)
 from probita.plans.catalog import query
+from probita.plans.risk_queries import disposition_sql
 from probita.plans.views_sql import VIEWS, with_views
+from probita.session import cut_lineage
 from probita.sources import tables
 
 VIEWS["walk"] = (["ownership_edges"], """
@@ -164,17 +167,36 @@ def guarded_claims(spark, d):
     return grounding.guard_claims(tables.claims(spark, d), tables.verdicts(spark, d)).select("conv_id", "turn", "kept", "guard_reason")
 
 
-@query("r18_outcomes")
+@query("r18_outcomes", with_views(f"""
+SELECT client_id, CASE WHEN elevated THEN 'escalate_to_sar' ELSE 'false_positive_clear' END AS outcome, greatest(len(cited), 1) AS verified_count, (client_id % 9 = 0)::INT AS stripped_count,
+  greatest(len(cited), 1) AS references_verified, 1 + (client_id % 9 = 0)::INT AS references_stripped,
+  CASE WHEN elevated THEN 'AI-generated demo SAR draft. The review identified indicators requiring human compliance review. Deciding evidence: '
+    || array_to_string(list_transform(cited, lambda x: CASE WHEN x LIKE 'txn:%' THEN 'txn:[ACCT_REDACTED]' ELSE x END), ', ') || '.' END AS narrative,
+  CASE WHEN elevated THEN len(list_filter(cited, lambda x: x LIKE 'txn:%')) END AS redactions FROM ({disposition_sql})""", "clients", "client_transfers"))
 def outcomes(spark, d):
-    """From finding to outcome: evidence is checked, debated references are checked against it, and only escalated cases get a report."""
+    """From finding to outcome: evidence is checked, both sides' references are checked against what survives, and escalated cases get a report.
+
+    Every ninth finding cites an account that does not exist; each debate names all cited sources and one that nobody cited.
+    The report is drawn up from surviving evidence and redacted.
+    """
     transfers, mapping = tables.bank_transfers(spark, d), tables.account_mapping(spark, d)
     own = tr.client_transfers(transfers, mapping)
     clients = tables.clients(spark, d)
-    findings = cases.dispositions(clients, tr.largest_transfer(own))
-    cited = findings.select("client_id", F.posexplode("evidence").alias("at", "e")).select(
-        F.concat_ws("/", F.col("client_id").cast("string"), F.col("at").cast("string")).alias("citation_id"), "client_id", "e.source_type", "e.source_id")
+    made = cases.dispositions(clients, tr.largest_transfer(own))
+    invented = F.array(F.struct(F.lit("Unlisted account.").alias("claim"), F.lit("transaction").alias("source_type"),
+                                F.concat(F.lit("txn:9"), F.col("client_id").cast("string"), F.lit("77777777")).alias("source_id"), F.lit("low").alias("confidence")))
+    findings = cut_lineage(made.withColumn("evidence", F.when(F.col("client_id") % 9 == 0, F.concat("evidence", invented)).otherwise(F.col("evidence"))))
+    items = findings.select("client_id", F.posexplode("evidence").alias("at", "e")).withColumn("citation_id", F.concat_ws("/", F.col("client_id").cast("string"), F.col("at").cast("string")))
     entries = tables.watchlist(spark, d).select("name", F.array_join("aliases", "; ").alias("aliases"))
-    checked = grounding.verify_citations(cited, clients, transfers, own, entries, tables.regulation(spark, d))
-    counts = grounding.verification_counts(checked)
-    reports = cases.reports(findings).select("client_id", "recommended_action")
-    return findings.select("client_id", F.col("verdict").alias("outcome")).join(counts, "client_id", "left").join(reports, "client_id", "left")
+    cited = items.select("citation_id", "client_id", "e.source_type", "e.source_id")
+    checked = cut_lineage(grounding.verify_citations(cited, clients, transfers, own, entries, tables.regulation(spark, d)).select("citation_id", "client_id", "status"))
+    kept = items.join(checked.where("status <> 'stripped'").select("citation_id"), "citation_id")
+    surviving = kept.groupBy("client_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]).alias("evidence"))
+    grounded = findings.drop("evidence").join(surviving, "client_id", "left").withColumn("evidence", F.coalesce("evidence", F.filter(invented, lambda e: F.lit(False))))
+    references = findings.select("client_id", F.explode(F.concat(F.transform("evidence", lambda e: e["source_id"]), F.array(F.lit("no such page")))).alias("reference"))
+    debated = grounding.verify_references(references, kept.select("client_id", "e.source_id")).groupBy("client_id").agg(
+        F.count_if("verified").alias("references_verified"), F.count_if(~F.col("verified")).alias("references_stripped"))
+    text, log = tx.redact_report("narrative")
+    reports = cases.reports(grounded).select("client_id", text.alias("narrative"), F.size(log).alias("redactions"))
+    counts = grounding.verification_counts(checked).drop("skipped_count")
+    return findings.select("client_id", F.col("verdict").alias("outcome")).join(counts, "client_id", "left").join(debated, "client_id", "left").join(reports, "client_id", "left")

@@ -376,7 +376,7 @@ def _dispositions(spark, d):
     return cases.dispositions(tables.clients(spark, d), largest)
 
 
-_disposition_sql = """
+disposition_sql = """
 SELECT c.client_id, client_name, country,
   list_filter([CASE WHEN sector_risk = 'High' THEN 'sector_risk=high' END, CASE WHEN sanctions_flag = 1 THEN 'sanctions_flag' END,
     CASE WHEN pep_flag = 1 THEN 'pep_flag' END, CASE WHEN fatf_country_flag = 1 THEN 'fatf_country_flag' END,
@@ -389,7 +389,7 @@ ON l.client_id = c.client_id"""
 @query("r17_disposition", with_views(f"""
 SELECT client_id, CASE WHEN elevated THEN 'high' ELSE 'medium' END AS confidence,
   CASE WHEN elevated THEN 'escalate_to_sar' ELSE 'false_positive_clear' END AS verdict,
-  CASE WHEN len(cited) = 0 THEN 'client_id' ELSE array_to_string(cited, ',') END AS cited FROM ({_disposition_sql})""", "clients", "client_transfers"))
+  CASE WHEN len(cited) = 0 THEN 'client_id' ELSE array_to_string(cited, ',') END AS cited FROM ({disposition_sql})""", "clients", "client_transfers"))
 def disposition(spark, d):
     return _dispositions(spark, d).select(
         "client_id", "confidence", "verdict", F.array_join(F.transform("evidence", lambda e: e["source_id"]), ",").alias("cited"))
