@@ -63,6 +63,34 @@ def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(table(spark, folder, "documents"))
 
 
+def _located(kind: str, rank: int, pattern: str, group: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT r, '{kind}' AS kind, {rank} AS rank, i, match, part, CAST(sum(gap + length(match)) OVER (PARTITION BY r ORDER BY i) - length(match) AS BIGINT) AS first
+ FROM (SELECT r, i, m[i] AS match, v[i] AS part, length(p[i]) AS gap FROM (SELECT r, string_split_regex(x, {quoted}) AS p, regexp_extract_all(x, {quoted}, 0) AS m, regexp_extract_all(x, {quoted}, {group}) AS v FROM t),
+  unnest(range(1, len(m) + 1)) AS u(i))"""
+
+
+_ALLOWED = " OR ".join(f"regexp_full_match(match, '{a}')" for a in secrets.ALLOWED if "\\1" not in a) + " OR replace(match, left(match, 1), '') = ''"
+_HOT = " UNION ALL ".join(f"""SELECT r, '{c.kind}' AS kind, {3 + n} AS rank, {c.window} AS w, i, k, first FROM ({_located(c.kind, 3 + n, c.pattern.replace(chr(92) + '=', '=').replace(chr(92) + '_', '_'), 0)}),
+ unnest(range(0, length(match) - {c.window} + 1)) AS u2(k) WHERE regexp_matches(match, '{c.needs}') AND NOT ({_ALLOWED})
+ AND list_sum(list_transform(list_distinct(string_split(substr(match, k + 1, {c.window}), '')), lambda c: -(({c.window} - length(replace(substr(match, k + 1, {c.window}), c, ''))) / {c.window}.0)
+  * log2(({c.window} - length(replace(substr(match, k + 1, {c.window}), c, ''))) / {c.window}.0))) >= {c.threshold - 1e-9!r}""" for n, c in enumerate(secrets.CLASSES))
+SQL["op8_secret_scan"] = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+     base AS (SELECT r, kind, rank, first, first + length(match) AS past FROM ({_located('assign', 0, secrets.ASSIGN, 2)}) WHERE length(part) >= 8
+        UNION ALL SELECT r, kind, rank, first, first + length(match) FROM ({_located('access', 1, 'AKIA[A-Z0-9]+', 0)}) WHERE length(match) >= 16
+        UNION ALL SELECT r, kind, rank, first, first + length(match) FROM ({_located('hex', 2, '[0-9a-f]+', 0)}) WHERE length(match) >= 32),
+     hot AS ({_HOT}),
+     islands AS (SELECT *, sum(fresh) OVER (PARTITION BY r, kind, i ORDER BY k) AS island FROM (
+        SELECT *, CASE WHEN k - lag(k) OVER (PARTITION BY r, kind, i ORDER BY k) <= w THEN 0 ELSE 1 END AS fresh FROM hot)),
+     added AS (SELECT r, kind, rank, min(first + k) AS first, max(first + k + w) AS past FROM islands GROUP BY r, kind, rank, i, island),
+     listed AS (SELECT r, string_agg(kind || ':' || first || ':' || past, ',' ORDER BY first, rank, past) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY r),
+     counted AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || first || ':' || past, ',' ORDER BY first, rank) AS listed FROM base GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN counted USING (r) LEFT JOIN listed USING (r)"""
+
+
 @query
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", langid.held_out())
