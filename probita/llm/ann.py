@@ -172,7 +172,7 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 def search(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vector_column: str = "embedding", k: int = K, degree: int = DEGREE,
            beam: int = BEAM, alpha: float = ALPHA, shards: int = SHARDS, shard_vectors: int = SHARD_VECTORS, block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: for each row that ``queries`` selects the ``k`` nearest other rows found.
+    """``query_id``, ``rank``, ``vec_id``, ``score``: for each row that ``queries`` (over ``id`` and ``v``) selects the ``k`` nearest other rows found.
 
     Nearness is the inner product in double precision on the vectors as given; ties go to the smaller id; a query finds
     all rows where there are fewer than ``k``, and copies of its vector under other ids. Rows whose vector is NULL, zero
