@@ -12,13 +12,14 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from probita import fixed_values as V
 from probita.functions.scalars import pad_number, pipe_hash
 from probita.operators.skew import dense_position
+from probita.session import cut_lineage
 
 PIPE_FIELDS = ["event_id", "actor", "action", "resource", "reason", "timestamp"]
 
@@ -272,10 +273,22 @@ def retained(events: DataFrame, most: int) -> DataFrame:
     return kept.withColumn("dropped", events.agg(F.count(F.lit(1))).scalar() - F.col("kept"))
 
 
-def sequential_ids(df: DataFrame, slot: Column, order: list[Column], prefix: str = "EVD", width: int = 3) -> DataFrame:
-    """Numbered ids in the order given; more digits than ``width`` are kept."""
-    numbered = dense_position(df, [], slot, order, "_number")
-    return numbered.withColumn("evidence_id", F.concat(F.lit(prefix + "-"), pad_number("_number", width))).drop("_number")
+def sequential_ids(df: DataFrame, order: list[Column], prefix: str = "EVD", width: int = 3) -> DataFrame:
+    """Numbered ids in the order given; more digits than ``width`` are kept.
+
+    Rows are sorted into ranges, written down, counted per range and numbered within it. Only a number per range reaches
+    the driver. Rows that tie in the order are numbered in any order.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_range").count().collect())
+    starts, total = [], 0
+    for number, size in sizes:
+        starts.append((number, total))
+        total += size
+    offsets = df.sparkSession.createDataFrame(starts, "_range int, _start long")
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = ranged.withColumn("_number", within).join(F.broadcast(offsets), "_range").withColumn("_number", F.col("_number") + F.col("_start"))
+    return numbered.withColumn("evidence_id", F.concat(F.lit(prefix + "-"), pad_number("_number", width))).drop("_number", "_start", "_range")
 
 
 def screening_events(matches: DataFrame) -> DataFrame:

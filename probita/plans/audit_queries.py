@@ -148,7 +148,7 @@ def newest_events(spark, d):
 SELECT doc_id, 'EVD-' || CASE WHEN n >= 1000 THEN n::VARCHAR ELSE lpad(n::VARCHAR, 3, '0') END AS evidence_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents)""")
 def sequential_ids(spark, d):
     documents = tables.table(spark, d, "documents").select("doc_id")
-    return audit.sequential_ids(documents, F.floor(F.col("doc_id") / 1000), [F.col("doc_id")])
+    return audit.sequential_ids(documents, [F.col("doc_id")])
 
 
 @query("l8_emitted_events", with_views("""
