@@ -77,12 +77,11 @@ def client_transfers(transfers: DataFrame, mapping: DataFrame, **skew) -> DataFr
     """Transfers in which a client's account sends or receives, each once per client.
 
     Each transfer is looked up by both of its accounts in one equi-join; rows that agree on the
-    five identifying columns count as one transfer.
+    five identifying columns count as one transfer, which is decided after the mapped accounts are found.
     """
     others = [c for c in transfers.columns if c not in TRANSFER_KEYS]
-    single = transfers.groupBy(*TRANSFER_KEYS).agg(F.min(F.struct(*others)).alias("_rest"))
     sides = F.array_distinct(F.array(F.trim("Sender_account"), F.trim("Receiver_account")))
-    by_account = single.select("*", F.explode(sides).alias("account"))
+    by_account = transfers.select(*TRANSFER_KEYS, F.struct(*others).alias("_rest"), F.explode(sides).alias("account"))
     pairs = mapping.select("client_id", F.trim("account").alias("account")).distinct()
     accounts = transfers.select(F.explode(sides).alias("account"))
     found = skew_join(by_account, pairs, ["account"], keys_from=accounts, **skew)

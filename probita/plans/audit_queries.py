@@ -31,10 +31,17 @@ def chained(spark, d):
     return audit.write_chain(numbered(spark, d))
 
 
+def chain_log(spark, d):
+    """The chain as a user keeps it: written once, read back for every check."""
+    path = scratch_path(spark, "chain")
+    chained(spark, d).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def tampered(spark, d):
     """Every seventh event's reason is changed and every eleventh's link cut after the fact."""
     number = F.substring("event_id", 5, 12).cast("long")
-    return chained(spark, d).withColumns({
+    return chain_log(spark, d).withColumns({
         "reason": F.when(number % 7 == 0, F.lit("changed")).otherwise(F.col("reason")),
         "previous_hash": F.when(number % 11 == 0, F.lit("cut")).otherwise(F.col("previous_hash"))})
 
