@@ -13,7 +13,7 @@ from probita import fixed_values as V
 from probita.functions import scalars as S
 from probita.functions import similarity as sim
 from probita.operators.skew import skew_join, top_n
-from probita.session import cut_lineage
+from probita.session import cut_lineage, scratch_path
 
 QUERY_FIELDS = ["name", "dob", "nationality", "company", "context"]
 ENTRY_FIELDS = ["row_id", "entity_id", "name", "aliases", "dob", "nationality", "company", "source_list", "context"]
@@ -177,6 +177,21 @@ def name_pairs(asked: DataFrame, filed: DataFrame, **skew) -> DataFrame:
     return once.select("q_name", "w_listed", sim.prepared_similarity("q_name", "w_name").alias("s_name"), sim.prepared_alias_similarity("q_name", "w_aliases").alias("s_alias"))
 
 
+def _scored_texts(pairs: DataFrame, name: str, unknown: float, among: DataFrame | None = None) -> DataFrame:
+    """Pairs with the similarity of one text of theirs, ``unknown`` where a side is missing.
+
+    Different pairs of texts are compared once and written down, so few rows go to Python; that table is sent to all
+    tasks where Spark finds it small enough, and joined by its texts otherwise. ``among`` may name more pairs, if they
+    are cheaper to find.
+    """
+    keys = [f"q_{name}_low", f"w_{name}_low"]
+    found = (pairs if among is None else among).where(~_missing(name)).select(*keys, f"q_{name}_words", f"w_{name}_words").distinct()
+    path = scratch_path(pairs.sparkSession, "texts")
+    found.select(*keys, sim.prepared_similarity(f"q_{name}", f"w_{name}").alias(f"s_{name}")).write.parquet(path)
+    joined = pairs.drop(f"q_{name}_words", f"w_{name}_words").join(pairs.sparkSession.read.parquet(path), keys, "left")
+    return joined.withColumn(f"s_{name}", F.when(_missing(name), F.lit(unknown)).otherwise(F.coalesce(f"s_{name}", F.lit(0.0))))
+
+
 def possible_pairs(named: DataFrame, asked: DataFrame, filed: DataFrame) -> DataFrame:
     """Scores of the (profile, entry) pairs that reach the lower threshold.
 
@@ -189,11 +204,11 @@ def possible_pairs(named: DataFrame, asked: DataFrame, filed: DataFrame) -> Data
     pairs = _attribute_scores(reached.join(filed.drop("w_name_low", "w_name_words", "w_aliases_low", "w_aliases_words", "w_keys"), "w_listed"))
     most = weighted(_column("") | {"company": F.col("_company_most"), "context": F.col("_context_most")})
     likely = pairs.where(most >= V.POSSIBLE_THRESHOLD - slack)
-    company = F.when(_missing("company"), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(sim.prepared_similarity("q_company", "w_company"))
-    texts = likely.withColumn("s_company", company)
+    texts = _scored_texts(likely, "company", V.UNKNOWN_ATTRIBUTE)
     reach = weighted(_column("") | {"context": F.col("_context_most")})
     open_ = texts.where(reach >= V.POSSIBLE_THRESHOLD - slack)
-    scored = open_.withColumn("s_context", _context(open_)).withColumn("match_score", weighted_score(_column("")))
+    compared = open_.withColumn("s_context", _context(open_)) if _vectors(open_) is not None else _scored_texts(open_, "context", V.UNKNOWN_CONTEXT, likely)
+    scored = compared.withColumn("match_score", weighted_score(_column("")))
     return scored.where(F.col("match_score") >= V.POSSIBLE_THRESHOLD).withColumn("classification", classify(F.col("match_score")))
 
 
@@ -218,8 +233,10 @@ def screen(queries: DataFrame, watchlist: DataFrame, limit: int | None = V.MATCH
     distinct, keyed = profiles(queries)
     entries = watchlist.select(*ENTRY_FIELDS, *([VECTOR] if VECTOR in watchlist.columns else []))
     # Prepared once and written down: they are read for the names, for the pairs and for the counts.
-    asked = cut_lineage(_prepare(distinct, "q"))
-    filed = cut_lineage(_prepare(entries, "w").withColumn("w_listed", F.sha2(F.to_json(F.struct("w_name", "w_aliases_low", "w_keys"), {"ignoreNullFields": "false"}), 256)))
+    # Few bytes make much work here, so the rows are dealt to all partitions of the session whatever their size.
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = cut_lineage(_prepare(distinct.repartition(n, "profile_id"), "q"))
+    filed = cut_lineage(_prepare(entries.repartition(n, "row_id"), "w").withColumn("w_listed", F.sha2(F.to_json(F.struct("w_name", "w_aliases_low", "w_keys"), {"ignoreNullFields": "false"}), 256)))
     named = cut_lineage(name_pairs(asked, filed, **skew))
     found = _result(possible_pairs(named, asked, filed))
     if limit is not None:
