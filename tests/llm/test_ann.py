@@ -57,6 +57,7 @@ def test_graph_reaches_every_node():
     vectors = random.normal(size=(700, 8))
     graph = ann.build(vectors, degree=12, beam=24)
     assert graph.edges.shape == (700, 12) and (graph.edges != np.arange(700)[:, None]).all()
-    found, _ = graph.search(graph.points, 24, 700)
-    assert (found[:, 0] == np.arange(700)).mean() > 0.99
+    graph = ann.build(vectors)  # as in production; with 12 neighbours and a beam of 24, 7 of the 700 are not found from the entry
+    found, _ = graph.search(graph.points, ann.BEAM, 700)
+    assert (found[:, 0] == np.arange(700)).all()
     assert ann.build(vectors[:1]).edges.max() == -1 and len(ann.build(vectors[:0]).points) == 0
