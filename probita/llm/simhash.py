@@ -188,22 +188,46 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     costs what one row costs; it is spread again by the engine's skew join when rows get their component.
     """
     prints = cut_lineage(fingerprints(docs, id_column, text_column, words))
+    return with_components(prints, links(prints, distance, prefix_bits)).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def with_components(prints: DataFrame, linked: DataFrame) -> DataFrame:
+    """``prints`` (``doc_id``, ``fp``) with ``component_id``, the smallest id of the component that the links (``u``, ``v``) of ``fp`` make."""
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints, distance, prefix_bits))
+    roots = components(linked)
     rooted = cut_lineage(least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = cut_lineage(rooted.join(named, "root").select(F.col("fp").alias("p"), "component_id"))
-    return prints.join(by_print, F.col("fp") == F.col("p"), "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(by_print, F.col("fp") == F.col("p"), "left").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings: int) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group.
+def row_keys(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id`` and ``text`` of every row, the id being a key that is never NULL: (id is missing, id, hash of the text)."""
+    text = F.col(text_column).cast("string")
+    return docs.select(F.struct(F.col(id_column).isNull().alias("missing"), F.col(id_column).alias("id"), F.xxhash64(text).alias("hash")).alias("doc_id"), text.alias("text"))
 
-    Rows with a NULL id can't be named and stay only if nothing named is in their group; of rows with equal ids one stays.
-    """
-    found = near_duplicates(docs, id_column, text_column, **settings)
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose key is the ``component_id`` of ``found``, which was made from ``row_keys(docs)``; of equal keys one row."""
     kept = cut_lineage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
     repeated = kept.where("n > 1").limit(1).count()
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), docs[id_column].eqNullSafe(F.col("_kept")), "left_semi")
-    return out.dropDuplicates([id_column]) if repeated else out
+    keys = kept.select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.hash").alias("_kept_hash"))
+    text_hash = F.xxhash64(docs[text_column].cast("string"))
+    out = docs.join(keys, docs[id_column].eqNullSafe(F.col("_kept")) & (text_hash == F.col("_kept_hash")), "left_semi")
+    if not repeated:
+        return out
+    named = "_text_hash"
+    while named in docs.columns:
+        named = "_" + named
+    return out.withColumn(named, F.xxhash64(F.col(text_column).cast("string"))).dropDuplicates([id_column, named]).drop(named)
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings: int) -> DataFrame:
+    """One row of ``docs`` of each component: the one with the smallest id, then the smallest hash of its text.
+
+    Rows are told apart by id and text, so rows with a NULL id or with an id that others have too lose nothing but their
+    duplicates; a row with a NULL id stays only if nothing named is in its component.
+    """
+    found = near_duplicates(row_keys(docs, id_column, text_column), **settings)
+    return one_of_each(docs, found, id_column, text_column)

@@ -106,3 +106,10 @@ def test_components_of_a_long_path_and_a_star(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 1 for i in range(2, 61)}, **{i: 1000 for i in range(1001, 1100)}, 2001: 2000}
     assert components(edges.where("false")).count() == 0
+
+
+def test_one_row_of_each_component_whatever_its_id(spark):
+    clean = ["alpha beta gamma delta epsilon zeta", "one river runs past seven old mills", "quick red foxes jump over lazy dogs", "nobody knows what the winter will bring"]
+    rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (5, clean[2]), (5, clean[3]), (4, clean[3]), (6, clean[2])]
+    kept = simhash.deduplicated(awkward(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", clean[0]), ("None", clean[1]), ("5", clean[2]), ("4", clean[3])])
