@@ -14,11 +14,25 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 
 # The forms that are looked for. Each is tried at a place in this order; what a form matches but does not
-# validate stays as it is.
+# validate stays as it is, but for account numbers: they may end at an earlier blank, and what remains is searched for the other forms.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: Lengths that the countries of the account number register fix; other countries' numbers are looked for by the general form.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _fixed_account(length: int, countries: str) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+_ACCOUNTS = "|".join(_fixed_account(*x) for x in IBAN_LENGTHS.items())
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:(?:{_ACCOUNTS})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
@@ -26,10 +40,13 @@ FORMS = {
     "phone": r"(?<![0-9A-Za-z+(])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}|(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?![0-9A-Za-z])",
 }
 ANY_FORM = "|".join(FORMS.values())
+NOT_IBAN = "|".join(form for name, form in FORMS.items() if name != "iban")
 #: First and last year of the dates that are permuted, and the two moduli whose product is just above their number of days.
 YEARS, DATE_MODULI = (1900, 2099), (271, 270)
 _FIRST_DAY, _DAYS = "1900-01-01", 73049
 _WALK = 12
+#: Dates as day/month have a day above 12, as 3 of 5 do.
+_WALK_DAY_FIRST = 60
 
 
 def _bound(value: Column, use) -> Column:
@@ -103,9 +120,37 @@ def _remainder97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c.rlike("^[0-9]$"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97))
 
 
+def _valid_account(account: Column) -> Column:
+    return F.length(account).between(15, 34) & (_remainder97(account) == 1)
+
+
+def _account_head(match: Column) -> Column:
+    """The longest valid account number that a match begins with and that ends at a blank or with it; '' if there is none."""
+    tokens = F.split(match, " ")
+    heads = F.transform(F.sequence(F.size(tokens), F.lit(1)), lambda n: F.array_join(F.slice(tokens, F.lit(1), n), " "))
+    valid = F.filter(heads, lambda h: h.rlike(f"^(?:{FORMS['iban']})$") & _valid_account(F.regexp_replace(h, " ", "")))
+    return F.coalesce(F.try_element_at(valid, F.lit(1)), F.lit(""))
+
+
+def _pieces(text: Column, form: str) -> Column:
+    """``text`` as an array of (gap, match), in order; the last match is NULL."""
+    return F.zip_with(F.split(text, form, -1), F.regexp_extract_all(text, F.lit(form), F.lit(0)), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+
+
+def _parted(piece: Column) -> Column:
+    """A (gap, match) as an array of them: a match of the form of account numbers is its valid head and the other forms behind it."""
+    parted = lambda head: F.concat(F.array(F.struct(piece["gap"].alias("gap"), head.alias("match"))), _pieces(F.substring(piece["match"], F.length(head) + 1, F.length(piece["match"])), NOT_IBAN))
+    return F.when(piece["match"].rlike(f"^(?:{FORMS['iban']})$"), _bound(_account_head(piece["match"]), parted)).otherwise(F.array(piece))
+
+
+def _day_first(value: Column) -> Column:
+    """Whether a date with slashes can only be day/month: its first number is no month."""
+    return (F.substring(value, 3, 1) == "/") & (F.substring(value, 1, 2).cast("int") > 12)
+
+
 def _date_parts(value: Column) -> Column:
     def part(iso: int, us: int, eu: int, n: int) -> Column:
-        at = F.when(F.substring(value, 5, 1) == "-", iso).when(F.substring(value, 3, 1) == "/", us).otherwise(eu)
+        at = F.when(F.substring(value, 5, 1) == "-", iso).when((F.substring(value, 3, 1) == "/") & ~_day_first(value), us).otherwise(eu)
         return F.substring(value, at, F.lit(n)).cast("int")
 
     return F.struct(part(1, 7, 7, 4).alias("y"), part(6, 1, 4, 2).alias("m"), part(9, 4, 1, 2).alias("d"))
@@ -124,11 +169,15 @@ def _moved_date(value: Column, key: str) -> Column:
     a, b = DATE_MODULI
     day = _bound(_date_parts(value), lambda p: F.datediff(F.make_date(p["y"], p["m"], p["d"]), F.lit(_FIRST_DAY).cast("date")))
     once = lambda v: _bound(permuted_pair(F.floor(v / b), v % b, a, b, key, "date"), lambda s: s["x"] * b + s["y"])
-    # Days beyond the last are walked on from until one lies inside: 1 in 600 each time, so the bound is never met.
-    moved = F.aggregate(F.sequence(F.lit(1), F.lit(_WALK)), day.cast("long") + 2 * _DAYS, lambda v, i: F.when(i == 1, once(v - 2 * _DAYS)).when(v >= _DAYS, once(v)).otherwise(v))
-    shape = F.when(F.substring(value, 5, 1) == "-", "yyyy-MM-dd").when(F.substring(value, 3, 1) == "/", "MM/dd/yyyy").otherwise("dd.MM.yyyy")
+    day_first = _day_first(value)
+    outside = lambda v: (v >= _DAYS) | (day_first & (F.dayofmonth(F.date_add(F.lit(_FIRST_DAY).cast("date"), v.cast("int"))) <= 12))
+    # Days beyond the last are walked on from until one lies inside: 1 in 600 each time, so the bound is never met. Dates
+    # that are day/month stay among those that can only be read so, which keeps the map one to one: 2 in 5 are walked on from.
+    steps = F.sequence(F.lit(1), F.when(day_first, _WALK_DAY_FIRST).otherwise(_WALK))
+    moved = F.aggregate(steps, day.cast("long") + 2 * _DAYS, lambda v, i: F.when(i == 1, once(v - 2 * _DAYS)).when(outside(v), once(v)).otherwise(v))
+    shape = F.when(F.substring(value, 5, 1) == "-", "yyyy-MM-dd").when(day_first, "dd/MM/yyyy").when(F.substring(value, 3, 1) == "/", "MM/dd/yyyy").otherwise("dd.MM.yyyy")
     at = F.date_add(F.lit(_FIRST_DAY).cast("date"), moved.cast("int"))
-    return F.when(shape == "yyyy-MM-dd", F.date_format(at, "yyyy-MM-dd")).when(shape == "MM/dd/yyyy", F.date_format(at, "MM/dd/yyyy")).otherwise(F.date_format(at, "dd.MM.yyyy"))
+    return F.when(shape == "yyyy-MM-dd", F.date_format(at, "yyyy-MM-dd")).when(shape == "MM/dd/yyyy", F.date_format(at, "MM/dd/yyyy")).when(shape == "dd/MM/yyyy", F.date_format(at, "dd/MM/yyyy")).otherwise(F.date_format(at, "dd.MM.yyyy"))
 
 
 def kind_of(value: Column) -> Column:
@@ -138,7 +187,7 @@ def kind_of(value: Column) -> Column:
     account = F.regexp_replace(value, " ", "")
     valid = {
         "email": F.lit(True),
-        "iban": F.length(account).between(15, 34) & (_remainder97(account) == 1),
+        "iban": _valid_account(account),
         "card": F.right(digits, F.lit(1)) == _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1)),
         "ssn": ~digits.rlike("^(000|666|9)") & ~digits.rlike("^...00") & ~digits.rlike("0000$"),
         "date": _valid_date(value),
@@ -187,13 +236,13 @@ def pseudonymized(docs: DataFrame, key: str, text_column: str = "text", kinds_co
     ``kinds_column`` may be renamed where it clashes. Texts of any length are read whole, repeated rows come out equal.
     """
     text = F.col(text_column)
-    matches = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY_FORM), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    made = F.transform(matches, lambda m: _bound(kind_of(m), lambda k: F.struct(k.alias("kind"), pseudonym(m, k, key).alias("value"))))
+    pieces = F.when(text.rlike("[0-9@]"), F.flatten(F.transform(_pieces(text, ANY_FORM), _parted)))
+    made = F.transform(pieces, lambda p: _bound(kind_of(p["match"]), lambda k: F.struct(k.alias("kind"), F.concat(p["gap"], F.coalesce(pseudonym(p["match"], k, key), F.lit(""))).alias("value"))))
     named = "_pii_found"
     while named in docs.columns:
         named = "_" + named
     found = F.col(named)
-    joined = F.array_join(F.zip_with(F.split(text, ANY_FORM, -1), found, lambda piece, x: F.concat(piece, F.coalesce(x["value"], F.lit("")))), "")
+    joined = F.array_join(F.transform(found, lambda x: x["value"]), "")
     kinds = F.transform(F.filter(found, lambda x: x["kind"].isNotNull()), lambda x: x["kind"])
     return docs.withColumn(named, made).withColumn(kinds_column, F.coalesce(kinds, F.array().cast("array<string>"))).withColumn(
         text_column, F.when(F.size(found) > 0, joined).otherwise(text)).drop(named)

@@ -79,3 +79,29 @@ def test_awkward_rows(spark):
     got = pii.pseudonymized(docs, "key")
     assert got.columns == [*docs.columns, "pii_kinds"] and sorted(map(str, got.drop("pii_kinds").collect())) == sorted(map(str, docs.collect()))
     assert pii.pseudonymized(nothing(spark), "key").count() == 0
+
+
+def test_accounts_before_other_words_and_dates_by_day(spark):
+    account, card = "ES9121000418450200051332", "4111 1111 1111 1111"
+    rows = [(1, f"{account} 5 May"), (2, f"{account} 2024"), (3, f"pay {account} {card} now"), (4, f"AB12 {card}"), (5, "on 25/12/2020."), (6, "on 12/11/2020."),
+            (7, "on 30/02/2020, 13/13/2020."), (8, "BE68 5390 0754 7034 12 EUR"), (9, "ZZ57123412341234 2024")]
+    got = {r.doc_id: r for r in pii.pseudonymized(awkward(spark, rows), "key").collect()}
+    assert {i: r.pii_kinds for i, r in got.items()} == {
+        1: ["iban"], 2: ["iban"], 3: ["iban", "card"], 4: ["card"], 5: ["date"], 6: ["date"], 7: [], 8: ["iban"], 9: ["iban"]}
+    assert all(account not in r.text and card not in r.text for r in got.values())
+    assert got[1].text.endswith(" 5 May") and got[2].text.endswith(" 2024") and got[8].text.endswith(" 12 EUR") and got[7].text == rows[6][1]
+    assert got[1].text[:24] == got[2].text[:24] == got[3].text[4:28]
+    assert all(pii_remainder(got[i].text[:n].replace(" ", "")) == 1 for i, n in ((1, 24), (2, 24), (8, 19)))
+
+
+def pii_remainder(account):
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+def test_dates_by_day_are_permuted_among_themselves(spark):
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(n) for n in range(0, 366, 2)]
+    values = [d.strftime("%d/%m/%Y") for d in days if d.day > 12] + [d.strftime("%m/%d/%Y") for d in days]
+    got = [r.text for r in pii.pseudonymized(awkward(spark, list(enumerate(values))), "key").orderBy("doc_id").collect()]
+    assert len(set(got)) == len(got)
+    assert all((int(a[:2]) > 12) == (int(b[:2]) > 12) for a, b in zip(values, got, strict=True))
+    assert all(datetime.datetime.strptime(b, "%d/%m/%Y" if int(b[:2]) > 12 else "%m/%d/%Y") for b in got)
