@@ -20,6 +20,8 @@ from probita.llm.license_texts import TEMPLATES
 
 #: Words in a fingerprint, and fingerprints of which the smallest is kept: a run of GRAM + WINDOW - 1 common words is always found.
 GRAM, WINDOW = 3, 2
+#: Templates of at most SHORT words have fingerprints of SHORT_GRAM words and all are kept: COVERAGE of five words leaves no longer run for sure.
+SHORT, SHORT_GRAM = 16, 2
 #: Least share of a template's words that must be aligned.
 COVERAGE = 0.8
 #: Words that an alignment may drift from its seeds, at least; longer templates may drift by a tenth of their length.
@@ -40,6 +42,9 @@ class Index:
     prints: np.ndarray
     template: np.ndarray
     place: np.ndarray
+    short_prints: np.ndarray
+    short_template: np.ndarray
+    short_place: np.ndarray
 
     @staticmethod
     def of(templates: Sequence[tuple[str, str]] = TEMPLATES, gram: int = GRAM, window: int = WINDOW) -> Index:
@@ -49,9 +54,11 @@ class Index:
             raise ValueError("a template is shorter than what is always found")
         numbers = {w: i + 1 for i, w in enumerate(sorted({w for s in said for w in s}))}
         arrays = [np.array([numbers[w] for w in s], np.int64) for s in said]
-        found = [(h, t, p) for t, a in enumerate(arrays) for h, p in zip(*winnowed(a, gram, window), strict=True)]
-        found.sort()
-        return Index([n for n, _ in templates], arrays, numbers, np.array([f[0] for f in found], np.uint64), np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64))
+        sides = []
+        for short, (g, w) in ((False, (gram, window)), (True, (SHORT_GRAM, 1))):
+            found = sorted((h, t, p) for t, a in enumerate(arrays) if (len(a) <= SHORT) == short for h, p in zip(*winnowed(a, g, w), strict=True))
+            sides += [np.array([f[k] for f in found], kind) for k, kind in enumerate((np.uint64, np.int64, np.int64))]
+        return Index([n for n, _ in templates], arrays, numbers, *sides)
 
 
 def winnowed(numbers: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -107,17 +114,20 @@ def aligned(template: np.ndarray, document: np.ndarray, low: int, high: int, ban
     return matched, first, past
 
 
+def _seeds(prints: np.ndarray, places: np.ndarray, known: np.ndarray, template: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+    """(template, diagonal) of every fingerprint of a text that a template has."""
+    first, past = np.searchsorted(known, prints, "left"), np.searchsorted(known, prints, "right")
+    times = past - first
+    at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times - first, times)
+    return list(zip(template[at].tolist(), (np.repeat(places, times) - place[at]).tolist(), strict=True))
+
+
 def matches(text: str | None, index: Index, coverage: float = COVERAGE, gram: int = GRAM, window: int = WINDOW, band: int = BAND) -> list[tuple[str, int, int, int, int, float]]:
     """(license, template, start, end, matched words, coverage) of a text, in order; places in characters, the end exclusive."""
     said = words(text)
     numbers = np.array([index.numbers.get(w, 0) for w in said], np.int64)
-    prints, places = winnowed(numbers, gram, window)
-    first, past = np.searchsorted(index.prints, prints, "left"), np.searchsorted(index.prints, prints, "right")
-    if not (past > first).any():
-        return []
-    times = past - first
-    at = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times - first, times)
-    seeds = sorted(zip(index.template[at].tolist(), (np.repeat(places, times) - index.place[at]).tolist(), strict=True))
+    seeds = sorted(_seeds(*winnowed(numbers, gram, window), index.prints, index.template, index.place)
+                   + _seeds(*winnowed(numbers, SHORT_GRAM, 1), index.short_prints, index.short_template, index.short_place))
     found = []
     k = 0
     while k < len(seeds):

@@ -1,3 +1,4 @@
+import numpy as np
 from corpus_cases import LONG, awkward, nothing
 
 from probita.llm import licenses
@@ -57,3 +58,24 @@ def test_awkward_rows(spark):
     got = sorted((str(r.doc_id), r.license) for r in licenses.scan(docs).collect())
     assert got == [("1", "MIT"), ("1", "MIT"), ("None", "CC-BY-NC-4.0")]
     assert licenses.scan(nothing(spark)).count() == 0
+
+
+def test_short_templates_against_alignment_without_seeds():
+    index = licenses.Index.of()
+    short = [a for a in index.templates if len(a) <= licenses.SHORT]
+    assert [m[0] for m in licenses.matches("Released under MIT License", index)] == ["MIT"]
+    assert [m[0] for m in licenses.matches("Released under an MIT License", index)] == ["MIT"]
+    by_number = {n: w.decode() for w, n in index.numbers.items()}
+    found = 0
+    for words in short:
+        said = [by_number[n] for n in words.tolist()]
+        changed = [said[:i] + new + said[j:] for i in range(len(said)) for j in (i, i + 1) for new in ([], ["zz"])]
+        changed += [[*c[:-2], "zz", *c[-2:]] for c in changed]
+        for c in changed:
+            text = "before it " + " ".join(c) + " after it"
+            numbers = np.array([index.numbers.get(w, 0) for w in licenses.words(text)], np.int64)
+            most = max((m for a in short for m in [licenses.aligned(a, numbers, -len(a), len(numbers), 0)[0]] if m / len(a) >= licenses.COVERAGE), default=0)
+            got = licenses.matches(text, index)
+            assert max((m[4] for m in got), default=0) == most, text
+            found += most > 0
+    assert found > 100
