@@ -22,22 +22,38 @@ def _csv(spark: SparkSession, header: bool, multi_line: bool = False):
                               nullValue=NEVER, emptyValue="")
 
 
-def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
+def has_open_quotes(spark: SparkSession, path: str | list[str], pattern: str = "*") -> bool:
+    """Whether a line of the files has an odd number of quotes, as where a quoted field holds a line break.
+
+    One distributed pass over the lines. Quotes inside a field are doubled, so whole records have an even number; a
+    single quote inside an unquoted field is counted too, which costs time but no row.
+    """
+    lines = spark.read.option("pathGlobFilter", pattern).text(path)
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    return not lines.where(odd).isEmpty()
+
+
+def read_text_csv(spark: SparkSession, path: str | list[str], multi_line: bool | None = None) -> DataFrame:
     """A CSV file with every column as text; a leading byte-order mark goes, short rows fill with ''.
 
-    Large files are split between tasks. ``multi_line=True``, for files whose fields hold line breaks, is a task a file.
+    ``multi_line`` says whether fields hold line breaks: True is a task a file, False lets large files be split between
+    tasks (and cuts such fields in two), None looks the files through first (``has_open_quotes``).
     """
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, path)
     df = _csv(spark, True, multi_line).csv(path)
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     return df.na.fill("")
 
 
-def read_kyc_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """All CSV files of a folder, with the file each row came from.
+def read_kyc_folder(spark: SparkSession, folder: str, multi_line: bool | None = None) -> DataFrame:
+    """All CSV files of a folder, with the file each row came from; ``multi_line`` as in ``read_text_csv``.
 
     Files whose columns come in another order than the first one's are an error, not misread.
     """
-    reader = _csv(spark, True).options(pathGlobFilter="*.csv", enforceSchema=False)
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, folder, "*.csv")
+    reader = _csv(spark, True, multi_line).options(pathGlobFilter="*.csv", enforceSchema=False)
     df = reader.csv(folder)
     return df.na.fill("").withColumn("source_file", F.col("_metadata.file_path"))
 
@@ -83,8 +99,8 @@ def shape_clients(raw: DataFrame) -> DataFrame:
         F.col("ownership_opacity_score").cast("double").alias("ownership_opacity_score"))
 
 
-def load_clients(spark: SparkSession, path: str) -> DataFrame:
-    return shape_clients(read_text_csv(spark, path))
+def load_clients(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    return shape_clients(read_text_csv(spark, path, multi_line))
 
 
 def shape_transactions(raw: DataFrame) -> DataFrame:
@@ -96,8 +112,8 @@ def shape_transactions(raw: DataFrame) -> DataFrame:
         F.col("amount").cast("double").alias("amount"), *[F.col(c).cast("int").alias(c) for c in flags])
 
 
-def load_transactions(spark: SparkSession, path: str) -> DataFrame:
-    return shape_transactions(read_text_csv(spark, path))
+def load_transactions(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    return shape_transactions(read_text_csv(spark, path, multi_line))
 
 
 def shape_transfers(raw: DataFrame) -> DataFrame:
@@ -106,16 +122,16 @@ def shape_transfers(raw: DataFrame) -> DataFrame:
         "Sender_account": S.strip("Sender_account"), "Receiver_account": S.strip("Receiver_account")})
 
 
-def load_transfers(spark: SparkSession, path: str) -> DataFrame:
-    return shape_transfers(read_text_csv(spark, path, multi_line=False))
+def load_transfers(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    return shape_transfers(read_text_csv(spark, path, multi_line))
 
 
 def shape_mapping(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("client_id").cast("long").alias("client_id"), S.strip("account").alias("account")).distinct()
 
 
-def load_mapping(spark: SparkSession, path: str) -> DataFrame:
-    return shape_mapping(read_text_csv(spark, path))
+def load_mapping(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    return shape_mapping(read_text_csv(spark, path, multi_line))
 
 
 # --- watch-lists -----------------------------------------------------------------------------
@@ -124,19 +140,21 @@ WATCHLIST_COLUMNS = ["row_id", "entity_id", "name", "aliases", "dob", "nationali
                      "topics", "source_list", "source_url", "context"]
 
 
-def _positional(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def _positional(spark: SparkSession, path: str, columns: list[str], multi_line: bool | None) -> DataFrame:
+    if multi_line is None:
+        multi_line = has_open_quotes(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = _csv(spark, False).schema(schema).csv(path)
+    df = _csv(spark, False, multi_line).schema(schema).csv(path)
     return df.where(F.lower(S.strip(F.coalesce(columns[0], F.lit("")))) != columns[0].lower())
 
 
-def read_sdn(spark: SparkSession, path: str) -> DataFrame:
+def read_sdn(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """The main list file, with or without a header line."""
-    return _positional(spark, path, V.SDN_COLUMNS)
+    return _positional(spark, path, V.SDN_COLUMNS, multi_line)
 
 
-def read_alt(spark: SparkSession, path: str) -> DataFrame:
-    return _positional(spark, path, V.ALT_COLUMNS)
+def read_alt(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    return _positional(spark, path, V.ALT_COLUMNS, multi_line)
 
 
 def alias_lists(alt: DataFrame) -> DataFrame:
@@ -174,8 +192,8 @@ def shape_sdn(sdn: DataFrame, alt: DataFrame | None = None) -> DataFrame:
         S.known(S.strip(F.concat(title, F.lit(" "), remarks))).alias("context"))
 
 
-def load_sdn(spark: SparkSession, sdn_path: str, alt_path: str | None = None) -> DataFrame:
-    return shape_sdn(read_sdn(spark, sdn_path), read_alt(spark, alt_path) if alt_path else None)
+def load_sdn(spark: SparkSession, sdn_path: str, alt_path: str | None = None, multi_line: bool | None = None) -> DataFrame:
+    return shape_sdn(read_sdn(spark, sdn_path, multi_line), read_alt(spark, alt_path, multi_line) if alt_path else None)
 
 
 def light_sdn(sdn: DataFrame) -> DataFrame:
@@ -207,8 +225,8 @@ def shape_open_list(raw: DataFrame, schemas: list[str] | None = V.SCREENABLE_SCH
         F.lit(None).cast("string").alias("source_url"), F.lit(None).cast("string").alias("context"))
 
 
-def load_open_list(spark: SparkSession, path: str, schemas: list[str] | None = V.SCREENABLE_SCHEMAS) -> DataFrame:
-    return shape_open_list(read_text_csv(spark, path), schemas)
+def load_open_list(spark: SparkSession, path: str, schemas: list[str] | None = V.SCREENABLE_SCHEMAS, multi_line: bool | None = None) -> DataFrame:
+    return shape_open_list(read_text_csv(spark, path, multi_line), schemas)
 
 
 def light_open_list(raw: DataFrame) -> DataFrame:

@@ -131,3 +131,26 @@ def test_folder_with_columns_in_another_order_is_an_error(spark, tmp_path):
     write(folder / "b.csv", "client_name,client_id\nBob,2\n")
     with pytest.raises(Exception, match="header"):
         loaders.read_kyc_folder(spark, str(folder)).collect()
+
+
+def test_every_loader_keeps_line_breaks_in_fields(spark, tmp_path):
+    from probita import fixed_values as V
+    folder = tmp_path / "kyc"
+    folder.mkdir()
+    path = write(folder / "k.csv", 'client_id,client_name\n1,"Two\nlines"\n2,"says ""so"""\n')
+    want = [("1", "Two\nlines"), ("2", 'says "so"')]
+    for df in (loaders.read_text_csv(spark, path), loaders.read_kyc_folder(spark, str(folder))):
+        assert [(r.client_id, r.client_name) for r in df.orderBy("client_id").collect()] == want
+    names = ["client_id", "client_name", "client_type", "sector", "sector_risk", "country", "pep_flag", "sanctions_flag", "fatf_country_flag", "ofac_country_flag",
+             "sectoral_sanctions_flag", "ownership_opacity_score"]
+    clients = write(tmp_path / "c.csv", ",".join(names) + '\n7,"A\nB",x,y,z,DE,0,0,0,0,0,0.5\n')
+    assert [(r.entity_id, r.name) for r in loaders.load_clients(spark, clients).collect()] == [("CLIENT-7", "A\nB")]
+    mapping = write(tmp_path / "m.csv", 'client_id,account\n7,"1\n2"\n')
+    assert [tuple(r) for r in loaders.load_mapping(spark, mapping).collect()] == [(7, "1\n2")]
+    sdn = write(tmp_path / "s.csv", '1,"DOE, Jane",individual,"SDGT",Director,-0- ,-0- ,-0- ,-0- ,-0- ,-0- ,"first\nsecond"\n')
+    assert [r.Remarks for r in loaders.read_sdn(spark, sdn).collect()] == ["first\nsecond"]
+    alt = write(tmp_path / "a.csv", '1,1,aka,"JANE\nD",x\n')
+    assert loaders.read_alt(spark, alt).count() == 1 and len(V.ALT_COLUMNS) == 5
+    listed = write(tmp_path / "o.csv", 'id,schema,name,aliases,birth_date,countries,sanctions,dataset\nQ1,Person,"A\nB",,,,,\n')
+    assert [r.name for r in loaders.load_open_list(spark, listed).collect()] == ["A\nB"]
+    assert not loaders.has_open_quotes(spark, write(tmp_path / "n.csv", 'a,b\n1,"x ""y"""\n'))
