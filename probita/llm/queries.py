@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import ann, decontam, kdshard, langid, licenses, pieces, pii, secrets, simhash, warc
+from probita.llm import ann, decontam, gam, kdshard, langid, licenses, pieces, pii, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -147,6 +147,11 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return gam.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
