@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import ann, decontam, gam, kdshard, langid, licenses, pieces, pii, secrets, simhash, warc
+from probita.llm import ann, decontam, gam, kdshard, langid, licenses, negatives, pieces, pii, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -152,6 +152,25 @@ def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
     return gam.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(table(spark, folder, "embeddings")), F.col("id") % 100 == 0)
+
+
+SQL["op13_hard_negatives"] = """
+WITH taken AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+        FROM taken AS a JOIN taken AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+     positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
