@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probita.llm import ann, decontam, gam, kdshard, langid, licenses, negatives, pieces, pii, secrets, simhash, warc
+from probita.llm import ann, decontam, gam, kdshard, langid, licenses, negatives, phrases, pieces, pii, secrets, simhash, warc
 from probita.llm.common import table
 from probita.session import scratch_path
 
@@ -147,6 +147,30 @@ def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
 
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {m} AS m, array_to_string(w[i : i + {m - 1}], ' ') AS phrase FROM p, unnest(range(1, len(w) - {m - 2})) AS u(i)" for m in range(1, 5))
+_SUBS = " UNION ALL ".join(f"SELECT lang, array_to_string(w[i : i + {k - 1}], ' ') AS phrase, a AS longer FROM c, unnest(range(1, m - {k - 2})) AS u(i) WHERE m > {k}" for k in (2, 3))
+SQL["op11_collocations"] = rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+     f AS (SELECT lang, m, phrase, count(*) AS a FROM ({_GRAMS}) GROUP BY ALL HAVING count(*) >= 30),
+     totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+     c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+     cuts AS (SELECT lang, m, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 :], ' ') AS y FROM c, unnest(range(1, m)) AS u(k)),
+     scored AS (SELECT cuts.lang, cuts.m, cuts.phrase, cuts.a, fx.a AS l, fy.a AS r, CAST((2000000 * CAST(cuts.a AS HUGEINT)) // (CAST(fx.a AS HUGEINT) + fy.a) AS BIGINT) AS score
+        FROM cuts JOIN f AS fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f AS fy ON fy.lang = cuts.lang AND fy.phrase = y
+        QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY (2000000 * CAST(cuts.a AS HUGEINT)) // (CAST(fx.a AS HUGEINT) + fy.a), k) = 1),
+     held AS (SELECT lang, phrase, max(longer) AS longer FROM ({_SUBS}) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored JOIN totals USING (lang) LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+QUALIFY rank <= 2000
+"""
+
+
 @query
 def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
     return gam.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
