@@ -113,3 +113,9 @@ def test_one_row_of_each_component_whatever_its_id(spark):
     rows = [(None, clean[0]), (None, clean[1]), (None, clean[1]), (5, clean[2]), (5, clean[3]), (4, clean[3]), (6, clean[2])]
     kept = simhash.deduplicated(awkward(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("None", clean[0]), ("None", clean[1]), ("5", clean[2]), ("4", clean[3])])
+
+
+def test_odd_distances_are_refused(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), distance=3)
