@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probita.llm.common import free_name
 from probita.session import scratch_path
 
 WINDOW = 13
@@ -226,6 +227,7 @@ def scan(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_colu
 
 
 def clean(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns kept."""
-    dirty = scan(docs, items, id_column, text_column, **settings).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    return docs.join(dirty, docs[id_column].eqNullSafe(F.col("_id")) & F.xxhash64(docs[text_column]).eqNullSafe(F.col("_key")), "left_anti")
+    """The rows of ``docs`` that are not contaminated, all columns kept, whatever they are called; see ``scan`` for NULLs, ties and empty tables."""
+    row, key = free_name("_id", docs.columns), free_name("_key", docs.columns)
+    dirty = scan(docs, items, id_column, text_column, **settings).where("contaminated").select(F.col("doc_id").alias(row), F.col("row_key").alias(key)).distinct()
+    return docs.join(dirty, docs[id_column].eqNullSafe(F.col(row)) & F.xxhash64(docs[text_column]).eqNullSafe(F.col(key)), "left_anti")

@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from probita.llm.common import free_name
+
 UNDETERMINED = "und"
+FOUND = ("lang_pred", "score", "rejected")
 DIMENSIONS = 8192
 CENTROIDS = 4
 #: Labelled texts per language that the centroids are fitted on (the document frequencies take all of them).
@@ -156,7 +159,8 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: list
     """Columns ``keep`` of ``docs`` with ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected`` for every row.
 
     The text alone decides. NULL texts and texts without a letter are ``und`` with score 0 and rejected; a text too far
-    from its nearest centroid keeps that language and is rejected. Texts are read whole.
+    from its nearest centroid keeps that language and is rejected. Texts are read whole. Where a kept column has the name
+    of a new one, the new one gets underscores before its name (``found_names``).
     """
     keep = docs.columns if keep is None else keep
     names = [f"_{i}" for i in range(len(keep))]
@@ -170,7 +174,12 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text", keep: list
     narrow = docs.select(F.col(text_column).cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True))
     out = narrow.mapInArrow(batches, f"{kinds}{', ' * bool(kinds)}lang_pred string, score double, rejected boolean")
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "lang_pred", "score", "rejected")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[F.col(n).alias(c) for n, c in zip(FOUND, found_names(keep), strict=True)])
+
+
+def found_names(keep: list[str]) -> list[str]:
+    """The names of the language, score and rejection that ``predict`` adds to columns ``keep``."""
+    return [free_name(n, keep) for n in FOUND]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -6,12 +6,14 @@ Everything is column arithmetic inside one projection: no shuffle, no Python on
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from probita.llm.common import free_name
+
 # The forms that are always reported.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 8
@@ -49,6 +51,8 @@ ALLOWED = (
 )
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 MASK = "[SECRET]"
+#: Values of an array, and characters of a text, that are worked through at a time.
+BLOCK, PAGE = 128, 4096
 
 
 def _span(start: Column, end: Column, kind: str) -> Column:
@@ -59,14 +63,40 @@ def _none() -> Column:
     return F.array().cast(SPAN)
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of whole numbers what ``join`` makes of all earlier ones (0 for the first).
+
+    Arrays are appended to within blocks and over blocks, so that the work grows with the array and not with its square.
+    """
+    begin = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
+
+    def within(all_values: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_values) - 1) / BLOCK).cast("int")), lambda n: F.slice(all_values, n * BLOCK + 1, BLOCK))
+        return F.transform(cut, lambda block: F.aggregate(block, begin, lambda a, x: F.struct(join(a["last"], x).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out"))))
+
+    def over(parts: Column) -> Column:
+        heads = F.aggregate(parts, begin, lambda a, p: F.struct(join(a["last"], p["last"]).alias("last"), F.concat(a["out"], F.array(a["last"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(parts, heads, lambda p, head: F.transform(p["out"], lambda o: join(head, o))))
+
+    return _bound(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(_bound(within(v), over)))
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as an array of (start, match): the lengths of the pieces between them give the places."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda piece, match: F.struct(F.length(piece).alias("gap"), match.alias("match")))
-    return F.aggregate(both, begin, lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-        F.when(x["match"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["match"].alias("match"))))).alias("out")),
-        lambda a: a["out"])
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+    def placed(both: Column) -> Column:
+        sizes = F.zip_with(F.slice(both["gaps"], 1, F.size(both["matches"])), both["matches"], lambda gap, match: gap + F.length(match))
+        starts = F.zip_with(_before(sizes, lambda a, x: a + x), both["gaps"], lambda before, gap: before + gap)
+        return F.zip_with(F.slice(starts, 1, F.size(both["matches"])), both["matches"], lambda start, match: F.struct(start.alias("start"), match.alias("match")))
+
+    return _bound(F.struct(gaps.alias("gaps"), matches.alias("matches")), placed)
 
 
 def _if_any(text: Column, pattern: str, then: Column) -> Column:
@@ -159,15 +189,24 @@ def redacted(docs: DataFrame, text_column: str = "text", length_column: str | No
 
     Texts without a span, NULL ones included, stay as they are.
     """
-    name = "_secret_spans"
-    while name in docs.columns:
-        name = "_" + name
-    text = F.col(text_column)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate(F.col(name), begin, lambda a, x: F.struct(
-        F.greatest(a["at"], x["end"]).alias("at"),
-        F.when((x["start"] < a["at"]), a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask))).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    name = free_name("_secret_spans", docs.columns)
+    text = F.col(text_column).cast("string")
+
+    def without(x: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / PAGE).cast("int")
+            part = F.array_join(F.slice(x["pages"], first + 1, F.floor(end / PAGE).cast("int") - first + 1), "")
+            return part.substr(start - first * PAGE + 1, end - start)
+
+        def joined(spans: Column) -> Column:
+            open_ = F.filter(spans, lambda s: s["start"] >= s["reach"])
+            masked = F.array_join(F.transform(open_, lambda s: F.concat(between(s["reach"], s["start"]), F.lit(mask))), "")
+            return F.concat(masked, between(F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+        reach = _before(F.transform(x["spans"], lambda s: s["end"]), F.greatest)
+        return _bound(F.zip_with(x["spans"], reach, lambda s, r: F.struct(s["start"].alias("start"), s["end"].alias("end"), r.alias("reach"))), joined)
+
+    cut = _bound(F.struct(F.col(name).alias("spans"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)).alias("pages")), without)
     changed = F.size(F.col(name)) > 0
     out = with_spans(docs, text_column, name)
     if length_column and length_column in docs.columns:
