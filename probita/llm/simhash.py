@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probita.llm.common import free_name
 from probita.llm.components import components
 from probita.session import cut_lineage
 
@@ -136,11 +137,12 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
 def links(prints: DataFrame, distance: int = DISTANCE, prefix_bits: int = PREFIX_BITS) -> DataFrame:
     """Pairs ``u``, ``v`` of distinct fingerprints at most ``distance`` bits apart, enough to connect all such pairs.
 
-    ``prints`` has one long column ``fp``; repeated values count once, NULL ones not at all. An odd distance is met by
-    variants within half of it, rounded up, and verified. Fingerprints that share a variant are linked to the smallest
-    of them, never all to all.
+    ``prints`` has one long column ``fp``; repeated values count once, NULL ones not at all. An odd distance is refused:
+    fingerprints that share a variant are linked to the smallest of them, never all to all, which is within an even distance only.
     """
-    radius, low_bits = -(-distance // 2), 64 - prefix_bits
+    if distance % 2:
+        raise ValueError("the distance must be even")
+    radius, low_bits = distance // 2, 64 - prefix_bits
     heads = F.array(*[F.lit(m) for m in flips(prefix_bits, radius)])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +173,9 @@ def links(prints: DataFrame, distance: int = DISTANCE, prefix_bits: int = PREFIX
         if len(held_b):
             yield from done(held_b, held_p)
 
-    sent = prints.select("fp").where("fp is not null").distinct().select(
+    # Rows are few and small before they are multiplied, so the engine would put them into a task or two: deal them out by number.
+    spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = prints.select("fp").where("fp is not null").distinct().repartition(spread).select(
         F.explode(F.transform(heads, lambda m: F.shiftrightunsigned("fp", low_bits).bitwiseXOR(m.cast("long")))).alias("bucket"), "fp")
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(batches, "u bigint, v bigint")
 
@@ -212,14 +216,13 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", te
     """The rows of ``docs`` whose key is the ``component_id`` of ``found``, which was made from ``row_keys(docs)``; of equal keys one row."""
     kept = cut_lineage(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")))
     repeated = kept.where("n > 1").limit(1).count()
-    keys = kept.select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.hash").alias("_kept_hash"))
+    kept_id, kept_hash = free_name("_kept", docs.columns), free_name("_kept_hash", docs.columns)
+    keys = kept.select(F.col("doc_id.id").alias(kept_id), F.col("doc_id.hash").alias(kept_hash))
     text_hash = F.xxhash64(docs[text_column].cast("string"))
-    out = docs.join(keys, docs[id_column].eqNullSafe(F.col("_kept")) & (text_hash == F.col("_kept_hash")), "left_semi")
+    out = docs.join(keys, docs[id_column].eqNullSafe(F.col(kept_id)) & text_hash.eqNullSafe(F.col(kept_hash)), "left_semi")
     if not repeated:
         return out
-    named = "_text_hash"
-    while named in docs.columns:
-        named = "_" + named
+    named = free_name("_text_hash", docs.columns)
     return out.withColumn(named, F.xxhash64(F.col(text_column).cast("string"))).dropDuplicates([id_column, named]).drop(named)
 
 
