@@ -16,13 +16,15 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probita.llm.common import free_name
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 3
 MARK = "▁"
@@ -30,8 +32,10 @@ MARK = "▁"
 _LITERAL = "\udc81"
 #: What an unknown character loses against the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
-#: Characters of text that are solved together, and stretches whose solutions a task keeps.
-CHUNK, KEPT = 2 << 20, 250_000
+#: Characters of texts that are cut together, characters of new stretches that are one lattice, and characters of stretches whose solutions a task keeps.
+CHUNK, SOLVED, KEPT = 1 << 20, 1 << 18, 1 << 21
+#: Steps of fewer edges are taken one by one: array operations cost more there.
+FEW = 48
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -162,13 +166,25 @@ class Lattice:
             came = np.full(len(best), -1)
             best[origin] = 0.0
             edges = np.concatenate(([0], np.flatnonzero(step[1:] != step[:-1]) + 1, [len(step)])) if len(step) else np.zeros(1, np.int64)
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            many = np.flatnonzero(np.diff(edges) >= FEW)
+            steps = edges[:many[-1] + 2] if len(many) else edges[:1]  # from the last step with many edges on, one long stretch or two are left
+            for a, b in zip(steps[:-1].tolist(), steps[1:].tolist(), strict=True):
                 cand, goal = best[frm[a:b]] + score_of[a:b], to[a:b]
                 heads = np.concatenate(([0], np.flatnonzero(goal[1:] != goal[:-1]) + 1))
                 top = np.maximum.reduceat(cand, heads)
                 equal = np.flatnonzero(cand == np.repeat(top, np.diff(np.concatenate((heads, [len(cand)])))))
                 best[goal[heads]] = top
                 came[goal[heads]] = a + equal[np.searchsorted(equal, heads)]
+            rest = int(steps[-1])
+            if rest < len(step):
+                left = np.unique(np.concatenate([frm[rest:], to[rest:]]))
+                values, ways = dict(zip(left.tolist(), best[left].tolist(), strict=True)), dict(zip(left.tolist(), came[left].tolist(), strict=True))
+                for at in range(rest, len(step), SOLVED):
+                    part = slice(at, at + SOLVED)
+                    for edge, (a, b, gain) in enumerate(zip(frm[part].tolist(), to[part].tolist(), score_of[part].tolist(), strict=True), at):
+                        if values[a] + gain > values[b]:
+                            values[b], ways[b] = values[a] + gain, edge
+                best[left], came[left] = list(values.values()), list(ways.values())
             return best, came
 
         score_of = score
@@ -181,13 +197,21 @@ class Lattice:
         walked, whose = [], []
         some, at_node = np.arange(len(stretches)), last.copy()
         some = some[at_node > first]
-        while len(some):
+        while len(some) > 4:
             edge = came[at_node[some]]
             on_best[edge] = True
             walked.append(edge)
             whose.append(some)
             at_node[some] = start[edge]
             some = some[at_node[some] > first[some]]
+        for one in some.tolist():
+            node, begin, way = int(at_node[one]), int(first[one]), []
+            while node > begin:
+                way.append(int(came[node]))
+                node = int(start[way[-1]])
+            on_best[way] = True
+            walked.append(np.array(way, np.int64))
+            whose.append(np.full(len(way), one))
         whose_all = np.concatenate(whose or [np.empty(0, np.int64)])[::-1]
         path = np.concatenate(walked or [np.empty(0, np.int64)])[::-1][np.argsort(whose_all, kind="stable")]
         through = np.where(on_best, -np.inf, forward[start] + score + backward[end])
@@ -268,6 +292,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.kept = 0
         self.flat, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
         self.scores, self.seconds = np.empty(0), np.empty(0)
 
@@ -284,19 +309,13 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[dict]]]:
         """(ids, score, alternatives) of each text."""
-        if len(self.number) > KEPT:
+        if self.kept > KEPT:
             self.forget()
         known = len(self.number)
         number = self.number
         rows = [np.array(list(map(number.__getitem__, self.cut(self.prepared(t)))), np.int64) for t in texts]
         if len(number) > known:
-            new = list(number)[known:]
-            solved = Lattice.of(new, self.model)
-            ids, sizes = solved.best_ids(self.model)
-            self.flat = np.concatenate([self.flat, ids])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.scores = np.concatenate([self.scores, solved.forward[solved.last]])
-            self.seconds = np.concatenate([self.seconds, solved.second])
+            self._solve(list(islice(number, known, None)))
         begins = np.cumsum(self.sizes) - self.sizes
         # The stretches of each text that may differ within the best n.
         loose: list[list[int]] = []
@@ -305,9 +324,9 @@ class Encoder:
             take = min(self.nbest - 1, len(row))
             near = np.argpartition(loss, take - 1)[:take] if take else np.empty(0, np.int64)
             loose.append(sorted(i for i in near.tolist() if np.isfinite(loss[i])))
-        names = list(number)
         wanted = sorted({int(row[i]) for row, some in zip(rows, loose, strict=True) for i in some})
-        lattice = Lattice.of([names[w] for w in wanted], self.model) if wanted else None
+        taken = set(wanted)
+        lattice = Lattice.of([name for name, at in number.items() if at in taken], self.model) if wanted else None
         into, local = lattice.into() if lattice else {}, {w: i for i, w in enumerate(wanted)}
         for row, some in zip(rows, loose, strict=True):
             n = self.sizes[row]
@@ -316,6 +335,19 @@ class Encoder:
             score = float(self.scores[row].sum())
             yield ids, score, self._alternatives(lattice, into, [local[int(row[i])] for i in some], places[some].tolist(), score) if some else []
 
+    def _solve(self, new: list[str]) -> None:
+        """Adds the best ways through new stretches, a bounded number of characters at a time; a longer stretch is a lattice of its own."""
+        ends = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        self.kept += int(ends[-1])
+        made = [(self.flat, self.sizes, self.scores, self.seconds)]
+        at = 0
+        while at < len(new):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SOLVED, "right")))
+            solved = Lattice.of(new[at:end], self.model)
+            made.append((*solved.best_ids(self.model), solved.forward[solved.last], solved.second))
+            at = end
+        self.flat, self.sizes, self.scores, self.seconds = map(np.concatenate, zip(*made, strict=True))
+
     def _alternatives(self, lattice: Lattice, into: dict, chain: list[int], places: list[int], score: float) -> list[dict]:
         best = [lattice.best(s) for s in chain]
         top = sum(float(lattice.forward[lattice.last[s]]) for s in chain)
@@ -339,7 +371,8 @@ def encode(docs: DataFrame, model: Model, text_column: str = "text", keep: list[
     ``alternatives`` are the next best segmentations, best first, as edits of ``ids`` (see ``applied``): up to ``nbest`` - 1,
     fewer where there are no more. Of segmentations with equal scores any may come first. ``round_trip`` says that
     decoding ``ids`` gave back the text. An empty text has no piece; a NULL text has NULL ids, no piece and no round trip
-    to make (NULL). Words are cut once per chunk of texts, so copies cost little; a text of any length is one row.
+    to make (NULL). Words are cut once per chunk of texts, so copies cost little; a text of any length is one row. Where a
+    kept column has the name of a new one, the new one gets underscores before its name.
     """
     keep = docs.columns if keep is None else keep
     names = [f"_{i}" for i in range(len(keep))]
@@ -377,7 +410,7 @@ def encode(docs: DataFrame, model: Model, text_column: str = "text", keep: list[
     narrow = docs.select(F.col(text_column).cast("string").alias("_text"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     plain = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for c, n in zip(keep, names, strict=True))
     out = narrow.mapInArrow(batches, plain + ENCODED)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], "n_pieces", "ids", "score", "alternatives", "round_trip")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], *[F.col(n).alias(free_name(n, keep)) for n in ("n_pieces", "ids", "score", "alternatives", "round_trip")])
 
 
 def decode(encoded: DataFrame, model: Model, ids_column: str = "ids", name: str = "text") -> DataFrame:
