@@ -83,3 +83,22 @@ def test_awkward_rows(spark):
     assert got.where("not round_trip").count() == 0 and pieces.encode(nothing(spark), model).count() == 0
     odd = spark.createDataFrame([([1, None, 10**6],), (None,)], "ids array<int>")
     assert [r.text for r in pieces.decode(odd, model).collect()] == ["<s>", None]
+
+
+def test_long_texts_and_stretches():
+    """Five million characters stay within some hundred MB, and a stretch without a blank is cut as its lattice says."""
+    import resource
+
+    some, model = random.Random(5), pieces.Model.load()
+    encoder = pieces.Encoder(model, 3)
+    text = " ".join(f"w{some.randrange(1 << 40):x}" for _ in range(450_000))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    (ids, _, _), = encoder.encode([text])
+    assert encoder.decode(ids.tolist()) == text and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    stretch = "".join(some.choices("abcdefgh", k=3000))
+    (ids, score, others), = pieces.Encoder(model, 3).encode([stretch])
+    narrow = pieces.Lattice.of([pieces.MARK + stretch], model)
+    best = {0: 0.0}
+    for node in range(1, len(stretch) + 2):
+        best[node] = max(best[int(a)] + float(w) for a, w in zip(narrow.start[narrow.end == node], narrow.score[narrow.end == node], strict=True))
+    assert abs(best[len(stretch) + 1] - score) < 1e-6 and len(others) == 2
