@@ -96,6 +96,13 @@ def weighted_score(parts: dict[str, Column]) -> Column:
     return S.half_even(weighted(parts), 4)
 
 
+def _rounded_score(name: str) -> Column:
+    """``half_even`` of a column to four digits; its exact test, which no generated code holds, runs near the half only."""
+    scaled = F.col(name) * 1e4
+    near = F.abs(scaled - F.floor(scaled) - 0.5) < 1e-3
+    return F.when(near, S.half_even(F.col(name), 4)).otherwise(F.rint(scaled) / 1e4)
+
+
 def classify(score: Column) -> Column:
     return (F.when(score >= V.CONFIRMED_THRESHOLD, "CONFIRMED_MATCH").when(score >= V.POSSIBLE_THRESHOLD, "POSSIBLE_MATCH")
             .otherwise("LIKELY_FALSE_POSITIVE"))
@@ -122,19 +129,19 @@ def _context(pairs: DataFrame) -> Column:
     return text if cosine is None else F.when(_missing("context"), text).otherwise(F.coalesce(cosine, text))
 
 
+def _dob_score() -> Column:
+    return (F.when(F.col("q_dob_text").isNull() | F.col("w_dob_text").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE))
+            .when(F.col("q_born").isNull() | F.col("w_born").isNull(), (F.col("q_dob_text") == F.col("w_dob_text")).cast("double"))
+            .otherwise(S.dates_agree(F.col("q_born"), F.col("w_born")).cast("double")))
+
+
+def _nationality_score() -> Column:
+    return F.when(F.col("q_code").isNull() | F.col("w_code").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise((F.col("q_code") == F.col("w_code")).cast("double"))
+
+
 def _attribute_scores(pairs: DataFrame) -> DataFrame:
-    """Scores that need no similarity function, and upper bounds for companies and contexts."""
-    dob = (F.when(F.col("q_dob_text").isNull() | F.col("w_dob_text").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE))
-           .when(F.col("q_born").isNull() | F.col("w_born").isNull(), (F.col("q_dob_text") == F.col("w_dob_text")).cast("double"))
-           .otherwise(S.dates_agree(F.col("q_born"), F.col("w_born")).cast("double")))
-    nationality = F.when(F.col("q_code").isNull() | F.col("w_code").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(
-        (F.col("q_code") == F.col("w_code")).cast("double"))
-    return pairs.withColumns({
-        "s_dob": dob, "s_nationality": nationality,
-        "_company_most": F.when(_missing("company"), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(sim.prepared_bound("q_company", "w_company")),
-        "_context_most": F.when(_missing("context"), F.lit(V.UNKNOWN_CONTEXT)).otherwise(
-            F.lit(1.0) if _vectors(pairs) is not None else sim.prepared_bound("q_context", "w_context")),
-    })
+    """Scores that need no similarity function."""
+    return pairs.withColumns({"s_dob": _dob_score(), "s_nationality": _nationality_score()})
 
 
 def _text_scores(pairs: DataFrame) -> DataFrame:
@@ -177,39 +184,72 @@ def name_pairs(asked: DataFrame, filed: DataFrame, **skew) -> DataFrame:
     return once.select("q_name", "w_listed", sim.prepared_similarity("q_name", "w_name").alias("s_name"), sim.prepared_alias_similarity("q_name", "w_aliases").alias("s_alias"))
 
 
-def _scored_texts(pairs: DataFrame, name: str, unknown: float, among: DataFrame | None = None) -> DataFrame:
-    """Pairs with the similarity of one text of theirs, ``unknown`` where a side is missing.
+def _groups(named: DataFrame, asked: DataFrame, filed: DataFrame, part: str, unknown: float) -> DataFrame:
+    """Pairs of (name, text) groups that can still reach the threshold, by name scores and text lengths, everything else at its best."""
+    sides = [side.select(key, f"{p}_{part}_low", f"{p}_{part}_words").distinct() for side, key, p in ((asked, "q_name", "q"), (filed, "w_listed", "w"))]
+    most = F.when(_missing(part), F.lit(unknown)).otherwise(sim.prepared_bound(f"q_{part}", f"w_{part}"))
+    rest = sum(w for p, w in V.MATCH_WEIGHTS.items() if p not in ("name", "alias", part))
+    met = named.join(sides[0], "q_name").join(sides[1], "w_listed")
+    return met.where(F.col("_base") + V.MATCH_WEIGHTS[part] * most + rest >= V.POSSIBLE_THRESHOLD - SLACK)
 
-    Different pairs of texts are compared once and written down, so few rows go to Python; that table is sent to all
-    tasks where Spark finds it small enough, and joined by its texts otherwise. ``among`` may name more pairs, if they
-    are cheaper to find.
-    """
-    keys = [f"q_{name}_low", f"w_{name}_low"]
-    found = (pairs if among is None else among).where(~_missing(name)).select(*keys, f"q_{name}_words", f"w_{name}_words").distinct()
-    path = scratch_path(pairs.sparkSession, "texts")
-    found.select(*keys, sim.prepared_similarity(f"q_{name}", f"w_{name}").alias(f"s_{name}")).write.parquet(path)
-    joined = pairs.drop(f"q_{name}_words", f"w_{name}_words").join(pairs.sparkSession.read.parquet(path), keys, "left")
-    return joined.withColumn(f"s_{name}", F.when(_missing(name), F.lit(unknown)).otherwise(F.coalesce(f"s_{name}", F.lit(0.0))))
+
+def _written_texts(groups: DataFrame, part: str) -> DataFrame:
+    """Similarity of each different pair of texts of ``groups`` that are both there: compared once and written down."""
+    keys = [f"q_{part}_low", f"w_{part}_low"]
+    found = groups.where(~_missing(part)).select(*keys, f"q_{part}_words", f"w_{part}_words").distinct()
+    path = scratch_path(groups.sparkSession, "texts")
+    found.select(*keys, sim.prepared_similarity(f"q_{part}", f"w_{part}").alias(f"s_{part}")).write.parquet(path)
+    return groups.sparkSession.read.parquet(path)
+
+
+def _with_score(pairs: DataFrame, scores: DataFrame, part: str, unknown: float) -> DataFrame:
+    joined = pairs.join(scores, [f"q_{part}_low", f"w_{part}_low"], "left")
+    return joined.withColumn(f"s_{part}", F.when(_missing(part), F.lit(unknown)).otherwise(F.coalesce(f"s_{part}", F.lit(0.0))))
+
+
+SLACK = 1e-4  # more than rounding to four digits can add
 
 
 def possible_pairs(named: DataFrame, asked: DataFrame, filed: DataFrame) -> DataFrame:
-    """Scores of the (profile, entry) pairs that reach the lower threshold.
+    """Scores of the (profile, entry) pairs that reach the lower threshold, the same values as ``evaluate``.
 
-    The same values as ``evaluate``, but pairs leave as soon as an upper bound shows that they cannot reach it: first by
-    the name scores, exact attributes and lengths, in the join stage, before any row goes to Python; then by the company
-    score, before contexts are compared. Profiles and entries meet under the name pairs that were found for them.
+    Texts are compared before profiles and entries meet, between groups of equal (name, text): each different pair of
+    texts once, and none whose group cannot reach the threshold whatever the other parts are. Groups with contexts, their
+    scores known, are then what profiles and entries meet under, on name and context; the bound over dates, countries and
+    company lengths is a condition of that join, so a pair that cannot reach the threshold is never a row.
     """
-    slack = 1e-4  # more than rounding to four digits can add
-    reached = named.join(asked.drop("q_name_low", "q_name_words", "q_keys"), "q_name")
-    pairs = _attribute_scores(reached.join(filed.drop("w_name_low", "w_name_words", "w_aliases_low", "w_aliases_words", "w_keys"), "w_listed"))
-    most = weighted(_column("") | {"company": F.col("_company_most"), "context": F.col("_context_most")})
-    likely = pairs.where(most >= V.POSSIBLE_THRESHOLD - slack)
-    texts = _scored_texts(likely, "company", V.UNKNOWN_ATTRIBUTE)
-    reach = weighted(_column("") | {"context": F.col("_context_most")})
-    open_ = texts.where(reach >= V.POSSIBLE_THRESHOLD - slack)
-    compared = open_.withColumn("s_context", _context(open_)) if _vectors(open_) is not None else _scored_texts(open_, "context", V.UNKNOWN_CONTEXT, likely)
-    scored = compared.withColumn("match_score", weighted_score(_column("")))
-    return scored.where(F.col("match_score") >= V.POSSIBLE_THRESHOLD).withColumn("classification", classify(F.col("match_score")))
+    weights = V.MATCH_WEIGHTS
+    named = named.withColumn("_base", weights["name"] * F.col("s_name") + weights["alias"] * F.col("s_alias"))
+    companies = _written_texts(_groups(named, asked, filed, "company", V.UNKNOWN_ATTRIBUTE), "company")
+    groups = _groups(named, asked, filed, "context", V.UNKNOWN_CONTEXT)
+    vectors = f"q_{VECTOR}" in asked.columns and f"w_{VECTOR}" in filed.columns
+    rest = weights["dob"] + weights["nationality"] + weights["company"]
+    if vectors:  # the cosine is not known before the pair is: two contexts may be as good as equal
+        groups = groups.withColumn("s_context", F.when(_missing("context"), F.lit(V.UNKNOWN_CONTEXT)).otherwise(F.lit(1.0)))
+    else:
+        groups = _with_score(groups, _written_texts(groups, "context"), "context", V.UNKNOWN_CONTEXT)
+    open_ = groups.where(F.col("_base") + weights["context"] * F.col("s_context") + rest >= V.POSSIBLE_THRESHOLD - SLACK)
+    keyed = open_.select("q_name", "w_listed", "s_name", "s_alias", F.col("s_context").alias("_context_most"), *[F.coalesce(f"{p}_context_low", F.lit("")).alias(f"_{p}_context") for p in "qw"])
+    dropped = ["name_low", "name_words", "keys", "aliases_low", "aliases_words", "company_words", *([] if vectors else ["context_low", "context_words"])]
+    left, right = (side.withColumn(f"_{p}_context", F.coalesce(f"{p}_context_low", F.lit(""))).withColumns({f"_{p}_{form}": F.length(f"{p}_company_{form}") for form in ("low", "words")}).drop(
+        *[f"{p}_{c}" for c in dropped]) for side, p in ((asked, "q"), (filed, "w")))
+    # Few rows here make many in the next join, so they are dealt to all partitions of the session whatever their size.
+    n = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.join(keyed, ["q_name", "_q_context"]).repartition(n).join(right, ["w_listed", "_w_context"])
+    sizes = [F.least(f"_q_{form}", f"_w_{form}") * 2.0 / F.greatest(F.col(f"_q_{form}") + F.col(f"_w_{form}"), F.lit(1)) for form in ("low", "words")]
+    wordless = (F.col("_q_words") == 0) & (F.col("_w_words") == 0)
+    company = F.when(F.col("_q_low").isNull() | F.col("_w_low").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(F.when(wordless, F.lit(1.0)).otherwise(F.greatest(*sizes)))
+    most = weighted({"name": F.col("s_name"), "alias": F.col("s_alias"), "dob": _dob_score(), "nationality": _nationality_score(), "company": company, "context": F.col("_context_most")})
+    likely = _attribute_scores(met.where(most >= V.POSSIBLE_THRESHOLD - SLACK))
+    scored = _with_score(likely, companies, "company", V.UNKNOWN_ATTRIBUTE)
+    if vectors:
+        reach = weighted(_column("") | {"context": F.col("_context_most")})
+        scored = scored.where(reach >= V.POSSIBLE_THRESHOLD - SLACK).withColumn("s_context", _context(scored))
+    else:
+        scored = scored.withColumnRenamed("_context_most", "s_context")
+    reached = scored.withColumn("_total", weighted(_column(""))).where(F.col("_total") >= V.POSSIBLE_THRESHOLD - SLACK)
+    reached = reached.withColumn("match_score", _rounded_score("_total")).drop("_total")
+    return reached.where(F.col("match_score") >= V.POSSIBLE_THRESHOLD).withColumn("classification", classify(F.col("match_score")))
 
 
 def _counted(named: DataFrame, filed: DataFrame) -> DataFrame:
