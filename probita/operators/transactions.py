@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probita.functions.scalars import half_even, lenient_flag, number_or
-from probita.operators.skew import skew_join, top_n
+from probita.operators.skew import dense_position, top_n
+from probita.session import cut_lineage
 
 FLAGS = {
     "ofac_matches": "ofac_match_flag",
@@ -73,21 +74,21 @@ def first_transactions(transactions: DataFrame, n: int = 8) -> DataFrame:
     return kept.groupBy("client_id").agg(F.array_sort(F.collect_list(sample)).alias("sample_transactions"))
 
 
-def client_transfers(transfers: DataFrame, mapping: DataFrame, **skew) -> DataFrame:
+def client_transfers(transfers: DataFrame, mapping: DataFrame) -> DataFrame:
     """Transfers in which a client's account sends or receives, each once per client.
 
-    Each transfer is looked up by both of its accounts in one equi-join; rows that agree on the
-    five identifying columns count as one transfer, which is decided after the mapped accounts are found.
+    Rows that agree on the five identifying columns count as one transfer; they are made one before they are joined, so
+    nothing is grouped after the join that multiplies rows. A transfer meets the clients of its sending account and then those
+    of its receiving account that do not own the sending one. The engine's skew join splits an account with very many transfers.
     """
     others = [c for c in transfers.columns if c not in TRANSFER_KEYS]
-    sides = F.array_distinct(F.array(F.trim("Sender_account"), F.trim("Receiver_account")))
-    by_account = transfers.select(*TRANSFER_KEYS, F.struct(*others).alias("_rest"), F.explode(sides).alias("account"))
+    once = transfers.groupBy(*TRANSFER_KEYS).agg(F.min(F.struct(*others)).alias("_rest")).withColumns({"_from": F.trim("Sender_account"), "_to": F.trim("Receiver_account")})
     pairs = mapping.select("client_id", F.trim("account").alias("account")).distinct()
-    accounts = transfers.select(F.explode(sides).alias("account"))
-    found = skew_join(by_account, pairs, ["account"], keys_from=accounts, **skew)
-    return found.groupBy("client_id", *TRANSFER_KEYS).agg(F.min("_rest").alias("_rest")).select(
-        "client_id", *TRANSFER_KEYS, "_rest.*"
-    )
+    columns = ["client_id", *TRANSFER_KEYS, "_rest.*"]
+    sent = once.join(pairs.withColumnRenamed("account", "_from"), "_from").select(*columns)
+    other = once.where(~F.col("_from").eqNullSafe(F.col("_to"))).join(pairs.withColumnRenamed("account", "_to"), "_to")
+    received = other.join(pairs.withColumnRenamed("account", "_from"), ["client_id", "_from"], "left_anti").select(*columns)
+    return sent.unionByName(received)
 
 
 def largest_transfer(client_transfers: DataFrame) -> DataFrame:
@@ -100,24 +101,36 @@ def largest_transfer(client_transfers: DataFrame) -> DataFrame:
     )
 
 
-def first_seen_accounts(transfers: DataFrame, per_flag: int = 200) -> DataFrame:
-    """First-seen sending accounts of flagged and of other transfers, in order of appearance."""
+#: Positions of transfers whose accounts are numbered together where all are.
+SLOT = 100_000
+
+
+def first_seen_accounts(transfers: DataFrame, per_flag: int | None = None) -> DataFrame:
+    """Sending accounts of flagged and of other transfers in order of appearance, ``rank`` from 1: all, or the first ``per_flag`` of each."""
     seen = transfers.groupBy("Is_laundering", F.trim("Sender_account").alias("account")).agg(F.min("position").alias("position"))
-    return top_n(seen, ["Is_laundering"], [F.col("position"), F.col("account")], per_flag)
+    order = [F.col("position"), F.col("account")]
+    if per_flag is not None:
+        return top_n(seen, ["Is_laundering"], order, per_flag)
+    return dense_position(seen, ["Is_laundering"], F.floor(F.col("position") / SLOT), order, "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
-def assign_accounts(clients: DataFrame, accounts: DataFrame, clients_per_group: int = 30, accounts_per_client: int = 2) -> DataFrame:
+def assign_accounts(clients: DataFrame, accounts: DataFrame, clients_per_group: int | None = None, accounts_per_client: int = 2) -> DataFrame:
     """Deal accounts to clients in turn: flagged clients get accounts of flagged transfers.
 
-    Only the first ``clients_per_group`` clients of each group take part, which is the rule itself;
-    so are the accounts' 200 per flag. Both sides of the join are bounded by them.
+    All clients take part, or the first ``clients_per_group`` of each group by id. Where clients are all numbered, they are so
+    within ranges of their ids, which are offset by the ranges' sizes.
     """
     risky = ((F.col("sanctions_flag") == 1) | (F.col("ofac_country_flag") == 1)).cast("int")
-    chosen = top_n(clients.select("client_id", risky.alias("Is_laundering")), ["Is_laundering"], [F.col("client_id")], clients_per_group)
+    grouped = clients.select("client_id", risky.alias("Is_laundering"))
+    if clients_per_group is not None:
+        chosen = top_n(grouped, ["Is_laundering"], [F.col("client_id")], clients_per_group)
+    else:
+        ranged = cut_lineage(grouped.repartitionByRange("client_id").withColumn("_range", F.spark_partition_id()))
+        chosen = dense_position(ranged, ["Is_laundering"], F.col("_range"), [F.col("client_id")], "rank").drop("_range")
     copies = F.explode(F.sequence(F.lit(0), F.lit(accounts_per_client - 1)))
     turns = chosen.select("client_id", "Is_laundering", "rank", copies.alias("copy")).withColumn(
         "turn", (F.col("rank") - 1) * accounts_per_client + F.col("copy"))
-    sizes = accounts.groupBy("Is_laundering").agg(F.count(F.lit(1)).alias("n"))
+    sizes = accounts.groupBy("Is_laundering").agg(F.count(F.lit(1)).alias("n"))  # a row per group
     placed = turns.join(sizes, "Is_laundering").withColumn("rank", (F.col("turn") % F.col("n") + 1).cast("int"))
     return placed.select("client_id", "Is_laundering", "turn", "rank").join(accounts, ["Is_laundering", "rank"]).select(
         "client_id", "account", "turn", "Is_laundering")

@@ -281,6 +281,25 @@ def days_to_threshold(spark, d):
     return velocity(spark, d).select("customer_id", "days_to_high", "days_to_critical")
 
 
+_parsed = "TRY_CAST(replace({0}, 'Z', '+00:00') AS TIMESTAMPTZ)"
+
+
+@query("w8_score_history", f"""
+WITH points AS (SELECT user_id AS customer_id, event_id, CAST(floor(value) AS BIGINT) % 90 AS score, CASE WHEN event_id % 5 = 0 THEN 'week 12' WHEN event_id % 5 > 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS moment
+    FROM events),
+ ends AS (SELECT customer_id, count(*) AS n, arg_min(score, event_id) AS earliest, arg_max(score, event_id) AS latest, arg_min(coalesce(moment, ''), event_id) AS start_at, arg_max(coalesce(moment, ''), event_id) AS end_at FROM points GROUP BY customer_id),
+ timed AS (SELECT *, coalesce(greatest((epoch({_parsed.format("end_at")}) - epoch({_parsed.format("start_at")})) / 86400.0::DOUBLE, 1.0::DOUBLE), greatest(n - 1, 1)::DOUBLE) AS days FROM ends)
+SELECT customer_id, CAST(latest AS INTEGER) AS current_score, CAST(earliest AS INTEGER) AS earliest_score, {he("days", 2)} AS window_days, {he("(latest - earliest) / days", 4)} AS points_per_day,
+  CASE WHEN latest > earliest AND latest < 61 THEN {he("(61 - latest) / ((latest - earliest) / days)", 2)} END AS days_to_high,
+  CASE WHEN latest > earliest AND latest < 81 THEN {he("(81 - latest) / ((latest - earliest) / days)", 2)} END AS days_to_critical FROM timed""")
+def score_history(spark, d):
+    """Histories as lists, some of their moments missing or unreadable."""
+    at = F.when(F.col("event_id") % 5 == 0, F.lit("week 12")).when(F.col("event_id") % 5 > 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    points = tables.table(spark, d, "events").select(
+        F.col("user_id").alias("customer_id"), F.col("event_id").alias("position"), F.pmod(F.floor("value"), F.lit(90)).cast("int").alias("score"), at.alias("timestamp"))
+    return risk.score_velocity(risk.score_histories(points))
+
+
 @query("w5_first_transactions", with_views("""
 SELECT client_id, string_agg(transaction_id::VARCHAR, ',' ORDER BY "timestamp", transaction_id) AS transaction_ids FROM (
   SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY "timestamp", transaction_id) AS rn FROM transactions) WHERE rn <= 8 GROUP BY client_id""", "transactions"))
@@ -334,7 +353,7 @@ _placed = f"""(SELECT *, row_number() OVER (PARTITION BY "Is_laundering" ORDER B
 
 @query("a14_first_seen_accounts", with_views(f'SELECT "Is_laundering", account, position, place FROM {_placed} WHERE place <= 200', "bank_transfers"))
 def first_seen_accounts(spark, d):
-    return tx.first_seen_accounts(tables.bank_transfers(spark, d)).select(
+    return tx.first_seen_accounts(tables.bank_transfers(spark, d), per_flag=200).select(
         "Is_laundering", "account", "position", F.col("rank").cast("long").alias("place"))
 
 
@@ -346,6 +365,17 @@ SELECT c.client_id, a.account, c.turn, c.risky AS "Is_laundering" FROM (
 JOIN (SELECT *, count(*) OVER (PARTITION BY "Is_laundering") AS n FROM {_placed} WHERE place <= 200) a
 ON a."Is_laundering" = c.risky AND a.place = c.turn % a.n + 1""", "clients", "bank_transfers"))
 def assign_accounts(spark, d):
+    return tx.assign_accounts(tables.clients(spark, d), tx.first_seen_accounts(tables.bank_transfers(spark, d), per_flag=200), clients_per_group=30)
+
+
+@query("j11_assign_all_accounts", with_views(f"""
+SELECT c.client_id, a.account, c.turn, c.risky AS "Is_laundering" FROM (
+  SELECT client_id, risky, (rn - 1) * 2 + copy AS turn FROM (
+    SELECT client_id, risky, row_number() OVER (PARTITION BY risky ORDER BY client_id) AS rn
+    FROM (SELECT client_id, (sanctions_flag = 1 OR ofac_country_flag = 1)::INT AS risky FROM clients)) x, (VALUES (0), (1)) v(copy)) c
+JOIN (SELECT *, count(*) OVER (PARTITION BY "Is_laundering") AS n FROM {_placed}) a
+ON a."Is_laundering" = c.risky AND a.place = c.turn % a.n + 1""", "clients", "bank_transfers"))
+def assign_all_accounts(spark, d):
     return tx.assign_accounts(tables.clients(spark, d), tx.first_seen_accounts(tables.bank_transfers(spark, d)))
 
 
