@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from probita import fixed_values as V
 from probita.functions import text as tx
 from probita.functions.scalars import alphanumeric_tokens, half_even, known
 from probita.operators.skew import top_n
+from probita.session import cut_lineage
 
 
 def analyze_articles(articles: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -77,20 +79,49 @@ def first_texts(regulation: DataFrame) -> DataFrame:
     return regulation.groupBy(digest.alias("_digest")).agg(F.min(F.struct("position", *columns)).alias("r")).select("r.*")
 
 
+#: Paragraphs that a query's rarest words may bring in first, for each one it wants, and how many of them are scored in full.
+SEEDS, SEEDS_SCORED = 64, 4
+
+
+def _share(words: Column, of: Column) -> Column:
+    return F.floor(words / of * 100).cast("int")
+
+
 def search_regulation(queries: DataFrame, regulation: DataFrame, n: int = 5) -> DataFrame:
-    """Best paragraphs per query (``query_id``, ``query``) by the share of its words they hold.
+    """Best paragraphs per query (``query_id``, ``query``) by the share of its words they hold; ties go to the first position.
 
-    Words meet in an equi-join; per paragraph only the number of shared words travels on.
+    Postings are read from the rarest word on. The paragraphs of a few rare words are scored first, and the ``n``-th best of them is a
+    score that results must reach. A paragraph that holds none of a query's m rarest words shares at most the others, so only as many
+    words are looked up as it takes for that to be too few; common words are read just for the paragraphs found, and those only
+    where what they still may share is enough. Nothing that could be a result is passed over.
     """
-    words = queries.select("query_id", alphanumeric_tokens("query").alias("_t")).where(F.size("_t") > 0)
-    asked = words.select("query_id", F.size("_t").alias("_n_words"), F.explode("_t").alias("_word"))
+    asked = cut_lineage(queries.select("query_id", alphanumeric_tokens("query").alias("_asked")).where(F.size("_asked") > 0))
     blob = F.concat_ws(" ", "article_title", "article_text", "article_recitals")
-    paragraphs = first_texts(regulation)
-    filed = paragraphs.select("position", F.explode(alphanumeric_tokens(blob)).alias("_word"))
-    met = filed.join(asked, "_word")
-    counts = met.groupBy("query_id", "position", "_n_words").agg(F.count(F.lit(1)).alias("_shared"))
-    scored = counts.withColumn("score", F.floor(F.col("_shared") / F.col("_n_words") * 100).cast("int")).where("score > 0")
-    best = top_n(scored.select("query_id", "position", "score"), ["query_id"], [F.col("score").desc(), F.col("position")], n)
+    paragraphs = cut_lineage(first_texts(regulation).select("position", "article_id", "article_title", alphanumeric_tokens(blob).alias("_held")))
+    filed = paragraphs.select("position", F.explode("_held").alias("_word"))
+    sizes = filed.groupBy("_word").agg(F.count(F.lit(1)).alias("_rows"))
+    rarest = Window.partitionBy("query_id").orderBy("_rows", "_word")  # a query's own words
+    said = asked.select("query_id", F.size("_asked").alias("_n"), F.explode("_asked").alias("_word")).join(sizes, "_word")
+    words = cut_lineage(said.withColumns({
+        "_place": F.row_number().over(rarest), "_sum": F.sum("_rows").over(rarest.rowsBetween(Window.unboundedPreceding, 0)),
+        "_words": F.count(F.lit(1)).over(Window.partitionBy("query_id"))}))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        full = pairs.select("query_id", "position").join(asked, "query_id").join(paragraphs.select("position", "_held"), "position")
+        return full.select("query_id", "position", _share(F.size(F.array_intersect("_asked", "_held")), F.size("_asked")).alias("score")).where("score > 0")
+
+    seeds = filed.join(words.where((F.col("_place") == 1) | (F.col("_sum") <= SEEDS * n)).select("query_id", "_word"), "_word")
+    likely = top_n(seeds.groupBy("query_id", "position").agg(F.count(F.lit(1)).alias("_shared")), ["query_id"], [F.col("_shared").desc(), F.col("position")], SEEDS_SCORED * n)
+    order = [F.col("score").desc(), F.col("position")]
+    least = top_n(scored(likely), ["query_id"], order, n).where(F.col("rank") == n).select("query_id", F.col("score").alias("_least"))
+    reach = F.greatest(F.coalesce("_least", F.lit(1)), F.lit(1))
+    # The words before and with which the rest could still make a result.
+    needed = words.join(least, "query_id", "left").withColumn("_least", reach).where(_share(F.col("_words") - F.col("_place") + 1, F.col("_n")) >= F.col("_least"))
+    lists = needed.groupBy("query_id").agg(F.count(F.lit(1)).alias("_read"))
+    met = filed.join(needed.select("query_id", "_word"), "_word").groupBy("query_id", "position").agg(F.count(F.lit(1)).alias("_shared"))
+    bounds = words.where("_place = 1").select("query_id", "_n", "_words").join(lists, "query_id").join(least, "query_id", "left").withColumn("_least", reach)
+    open_ = met.join(bounds, "query_id").where(_share(F.col("_shared") + F.col("_words") - F.col("_read"), F.col("_n")) >= F.col("_least"))
+    best = top_n(scored(open_), ["query_id"], order, n)
     return best.join(paragraphs.select("position", "article_id", "article_title"), "position")
 
 

@@ -288,7 +288,8 @@ _parsed = "TRY_CAST(replace({0}, 'Z', '+00:00') AS TIMESTAMPTZ)"
 WITH points AS (SELECT user_id AS customer_id, event_id, CAST(floor(value) AS BIGINT) % 90 AS score, CASE WHEN event_id % 5 = 0 THEN 'week 12' WHEN event_id % 5 > 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS moment
     FROM events),
  ends AS (SELECT customer_id, count(*) AS n, arg_min(score, event_id) AS earliest, arg_max(score, event_id) AS latest, arg_min(coalesce(moment, ''), event_id) AS start_at, arg_max(coalesce(moment, ''), event_id) AS end_at FROM points GROUP BY customer_id),
- timed AS (SELECT *, coalesce(greatest((epoch({_parsed.format("end_at")}) - epoch({_parsed.format("start_at")})) / 86400.0::DOUBLE, 1.0::DOUBLE), greatest(n - 1, 1)::DOUBLE) AS days FROM ends)
+ timed AS (SELECT *, CASE WHEN {_parsed.format("end_at")} IS NULL OR {_parsed.format("start_at")} IS NULL THEN greatest(n - 1, 1)::DOUBLE
+    ELSE greatest((epoch({_parsed.format("end_at")}) - epoch({_parsed.format("start_at")})) / 86400.0::DOUBLE, 1.0::DOUBLE) END AS days FROM ends)
 SELECT customer_id, CAST(latest AS INTEGER) AS current_score, CAST(earliest AS INTEGER) AS earliest_score, {he("days", 2)} AS window_days, {he("(latest - earliest) / days", 4)} AS points_per_day,
   CASE WHEN latest > earliest AND latest < 61 THEN {he("(61 - latest) / ((latest - earliest) / days)", 2)} END AS days_to_high,
   CASE WHEN latest > earliest AND latest < 81 THEN {he("(81 - latest) / ((latest - earliest) / days)", 2)} END AS days_to_critical FROM timed""")
