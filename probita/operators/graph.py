@@ -25,21 +25,23 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def descendants(starts: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Nodes below each start within ``max_depth`` steps, with the shortest path (the smallest one on a tie).
 
-    ``starts`` has ``structure`` and ``root_id``. Each round keeps one path per root and node, so a
-    round holds at most roots times nodes rows; a fixed number of rounds is one plan.
+    ``starts`` has ``structure`` and ``root_id``. A round joins the edges with the nodes that the round before found, and keeps those
+    that no round has found, so every node is expanded once for each root and a cycle ends where it closes. Rounds are written out: a later one
+    reads what earlier ones found and plans none of it again. An owner of very many is split by the engine's skew join.
     """
-    steps = edges.select("structure", "owner_id", "owned_id").distinct()
-    level = starts.select("structure", "root_id", F.col("root_id").alias("node_id"), F.array("root_id").alias("path"))
-    found = None
+    steps = cut_lineage(edges.select("structure", "owner_id", "owned_id").distinct())
+    begun = starts.select("structure", "root_id", F.col("root_id").alias("node_id")).distinct()
+    level = cut_lineage(begun.select("*", F.lit(0).alias("depth"), F.array("root_id").alias("path")))
+    seen = level
     for depth in range(1, max_depth + 1):
-        grown = level.withColumnRenamed("node_id", "owner_id").join(steps, ["structure", "owner_id"]).where(
-            ~F.array_contains("path", F.col("owned_id")))
-        grown = grown.select("structure", "root_id", F.col("owned_id").alias("node_id"), F.concat("path", F.array("owned_id")).alias("path"))
-        level = grown.groupBy("structure", "root_id", "node_id").agg(F.min("path").alias("path"))
-        marked = level.withColumn("depth", F.lit(depth))
-        found = marked if found is None else found.unionByName(marked)
-    best = found.groupBy("structure", "root_id", "node_id").agg(F.min(F.struct("depth", "path")).alias("b"))
-    return best.select("structure", "root_id", "node_id", "b.depth", "b.path")
+        grown = level.withColumnRenamed("node_id", "owner_id").join(steps, ["structure", "owner_id"]).select(
+            "structure", "root_id", F.col("owned_id").alias("node_id"), F.concat("path", F.array("owned_id")).alias("path"))
+        new = grown.join(seen.select("structure", "root_id", "node_id"), ["structure", "root_id", "node_id"], "left_anti")
+        level = cut_lineage(new.groupBy("structure", "root_id", "node_id").agg(F.lit(depth).alias("depth"), F.min("path").alias("path")))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen.where("depth > 0")
 
 
 def count_descendants(starts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -68,3 +68,25 @@ def test_score_history_lists(spark):
         "dated": (40, 10.0, 2.0, 0.5, 10.5), "unreadable": (20, 2.0, 15.0, 0.73, 2.07), "missing": (20, 1.0, 10.0, 3.1, 5.1), "one": (20, 1.0, 10.0, 3.1, 5.1),
         "empty": (None, None, None, None, None), "none": (None, None, None, None, None), "scoreless": (None, None, None, None, None), "falling": (20, 2.5, -4.0, None, None),
     }
+
+
+def test_descendants_against_plain_walk(spark):
+    from probita.operators import graph
+
+    rng = random.Random(9)
+    edges = [(s, f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for s in ("a", "b") for _ in range(70)] + [("a", "n0", f"hub{i}") for i in range(300)] + [("a", "n0", "n0"), ("a", "n1", "n0")]
+    starts = [("a", "n0"), ("a", "n1"), ("b", "n0"), ("b", "nowhere"), ("a", "n0")]
+    expected = {}
+    for structure, root in set(starts):
+        paths = {root: (root,)}
+        for depth in range(1, 4):
+            found = {}
+            for s, owner, owned in edges:
+                if s == structure and owner in paths and len(paths[owner]) == depth and owned not in paths:
+                    path = (*paths[owner], owned)
+                    found[owned] = min(found.get(owned, path), path)
+            paths |= found
+        expected |= {(structure, root, node): path for node, path in paths.items() if node != root}
+    got = graph.descendants(spark.createDataFrame(starts, "structure string, root_id string"), spark.createDataFrame(edges, "structure string, owner_id string, owned_id string"), 3).collect()
+    assert {(r.structure, r.root_id, r.node_id): tuple(r.path) for r in got} == expected and len(got) == len(expected) > 300
+    assert all(r.depth == len(r.path) - 1 for r in got)
