@@ -6,6 +6,8 @@ nothing is sampled or capped before the final top-n, which is part of the operat
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,14 +172,40 @@ def evaluate(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("classification", classify(F.col("match_score")))
 
 
-def name_pairs(asked: DataFrame, filed: DataFrame, **skew) -> DataFrame:
+@dataclass(frozen=True)
+class PreparedList:
+    """A watch-list as screening reads it: its entries with everything a comparison needs, and its distinct names with their keys."""
+
+    entries: DataFrame
+    names: DataFrame
+
+
+def _filed(watchlist: DataFrame) -> DataFrame:
+    entries = watchlist.select(*ENTRY_FIELDS, *([VECTOR] if VECTOR in watchlist.columns else []))
+    n = int(watchlist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _prepare(entries.repartition(n, "row_id"), "w").withColumn("w_listed", F.sha2(F.to_json(F.struct("w_name", "w_aliases_low", "w_keys"), {"ignoreNullFields": "false"}), 256))
+
+
+def _listed(filed: DataFrame) -> DataFrame:
+    return filed.groupBy("w_listed").agg(*[F.first(c).alias(c) for c in ("w_name_low", "w_name_words", "w_aliases_low", "w_aliases_words", "w_keys")])
+
+
+def prepared_list(watchlist: DataFrame) -> PreparedList:
+    """``watchlist`` prepared once and written to the shared folder, for many screenings; those read these tables and never the list itself."""
+    spark, path = watchlist.sparkSession, scratch_path(watchlist.sparkSession, "watchlist")
+    _filed(watchlist).write.parquet(f"{path}/entries")
+    entries = spark.read.parquet(f"{path}/entries")
+    _listed(entries).write.parquet(f"{path}/names")
+    return PreparedList(entries, spark.read.parquet(f"{path}/names"))
+
+
+def name_pairs(asked: DataFrame, listed: DataFrame, **skew) -> DataFrame:
     """Pairs of a query name and a group of equal names and aliases that share a key, with their scores.
 
     Keys and name scores depend on these texts only, so they are found once however many profiles or entries have them.
     A pair that shares several keys is kept at the smallest one.
     """
     names = asked.groupBy("q_name").agg(*[F.first(c).alias(c) for c in ("q_name_low", "q_name_words", "q_keys")])
-    listed = filed.groupBy("w_listed").agg(*[F.first(c).alias(c) for c in ("w_name_low", "w_name_words", "w_aliases_low", "w_aliases_words", "w_keys")])
     options = {"share": PAIR_SHARE, "floor": PAIR_FLOOR, **skew}
     met = skew_join(names.withColumn("block", F.explode("q_keys")), listed.withColumn("block", F.explode("w_keys")), ["block"], both=True, spread=True, **options)
     once = met.where(F.col("block") == F.array_min(F.array_intersect("q_keys", "w_keys")))
@@ -268,16 +296,15 @@ def _result(pairs: DataFrame) -> DataFrame:
         *[f"s_{p}" for p in PARTS])
 
 
-def screen(queries: DataFrame, watchlist: DataFrame, limit: int | None = V.MATCH_LIMIT, **skew) -> DataFrame:
-    """Best matches of every query, with component scores and the number of entries compared."""
+def screen(queries: DataFrame, watchlist: DataFrame | PreparedList, limit: int | None = V.MATCH_LIMIT, **skew) -> DataFrame:
+    """Best matches of every query, with component scores and the number of entries compared. A list that is screened often is prepared once (``prepared_list``)."""
     distinct, keyed = profiles(queries)
-    entries = watchlist.select(*ENTRY_FIELDS, *([VECTOR] if VECTOR in watchlist.columns else []))
     # Prepared once and written down: they are read for the names, for the pairs and for the counts.
     # Few bytes make much work here, so the rows are dealt to all partitions of the session whatever their size.
     n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = cut_lineage(_prepare(distinct.repartition(n, "profile_id"), "q"))
-    filed = cut_lineage(_prepare(entries.repartition(n, "row_id"), "w").withColumn("w_listed", F.sha2(F.to_json(F.struct("w_name", "w_aliases_low", "w_keys"), {"ignoreNullFields": "false"}), 256)))
-    named = cut_lineage(name_pairs(asked, filed, **skew))
+    filed = watchlist.entries if isinstance(watchlist, PreparedList) else cut_lineage(_filed(watchlist))
+    named = cut_lineage(name_pairs(asked, watchlist.names if isinstance(watchlist, PreparedList) else _listed(filed), **skew))
     found = _result(possible_pairs(named, asked, filed))
     if limit is not None:
         found = top_n(found, ["profile_id"], [F.col("match_score").desc(), F.col("matched_against"), F.col("row_id")], limit)

@@ -183,7 +183,7 @@ def windowed_statistics(spark, d):
 @query("m2_screened_stream", with_views("""
 SELECT m.entity_id, row_id AS matched_against, match_score, m.rank FROM matches m WHERE rank <= 5""", "matches"))
 def screened_stream(spark, d):
-    """Customers arrive as a stream of names and attributes and are screened batch by batch."""
+    """Customers arrive as a stream of names and attributes and are screened batch by batch, against a list prepared once."""
     whole = tables.screen_queries(spark, d)
     landing = scratch_path(spark, "arrivals")
     whole.write.parquet(landing)

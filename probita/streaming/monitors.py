@@ -39,9 +39,14 @@ def guarded_articles(articles: DataFrame) -> DataFrame:
 
 
 def screening_sink(watchlist: DataFrame, path: str, limit: int = V.MATCH_LIMIT) -> Callable[[DataFrame, int], None]:
-    """Batch writer that screens each micro-batch; a repeated batch overwrites its own folder."""
+    """Batch writer that screens each micro-batch; a repeated batch overwrites its own folder.
+
+    The list is prepared when the writer is made; a batch reads the tables that this wrote.
+    """
+    prepared = matching.prepared_list(watchlist)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        matching.screen(batch, watchlist, limit).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        matching.screen(batch, prepared, limit).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 

@@ -90,3 +90,20 @@ def test_descendants_against_plain_walk(spark):
     got = graph.descendants(spark.createDataFrame(starts, "structure string, root_id string"), spark.createDataFrame(edges, "structure string, owner_id string, owned_id string"), 3).collect()
     assert {(r.structure, r.root_id, r.node_id): tuple(r.path) for r in got} == expected and len(got) == len(expected) > 300
     assert all(r.depth == len(r.path) - 1 for r in got)
+
+
+def test_batches_read_the_prepared_list_only(spark, tmp_path, monkeypatch):
+    from test_screening import FALSE_ENTRY, FALSE_QUERY, QUERY, TRUE_ENTRY, TRUE_QUERY, WATCH
+
+    from probita.operators import matching
+    from probita.streaming import monitors
+
+    spark.createDataFrame([TRUE_ENTRY, FALSE_ENTRY], WATCH).write.parquet(f"{tmp_path}/raw")
+    raw = spark.read.parquet(f"{tmp_path}/raw")
+    queries = spark.createDataFrame([TRUE_QUERY, FALSE_QUERY], QUERY)
+    once = sorted(map(str, matching.screen(queries, raw).collect()))
+    write = monitors.screening_sink(raw, f"{tmp_path}/out")
+    monkeypatch.setattr(matching, "_filed", None)  # a batch that prepared the list again would fail
+    for batch in (1, 2):
+        write(queries, batch)
+        assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out/batch={batch}").collect())) == once
