@@ -302,9 +302,10 @@ class Encoder:
         marked = (text.replace(MARK, _LITERAL) if MARK in text else text).replace(" ", MARK)
         return MARK + marked if self.model.dummy_prefix else marked
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of some ids; bytes that are no UTF-8 become replacement characters."""
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
+        parts = (ids[at:at + SOLVED] for at in range(0, len(ids), SOLVED))
+        text = b"".join([b"".join(map(self.bytes.__getitem__, p.tolist() if isinstance(p, np.ndarray) else p)) for p in parts]).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[dict]]]:
@@ -401,7 +402,7 @@ def encode(docs: DataFrame, model: Model, text_column: str = "text", keep: list[
                     offsets.append(offsets[-1] + len(ids) if text is not None else offsets[-1])
                     scores.append(score)
                     others.append(more)
-                    trips.append(None if text is None else encoder.decode(ids.tolist()) == text)
+                    trips.append(None if text is None else encoder.decode(ids) == text)
                 missing = np.array([t is None for t in texts] + [False])
                 lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32), mask=missing), pa.array(np.concatenate(flat)) if flat else pa.array([], pa.int32()))
                 made = [pa.array(np.diff(offsets), pa.int64()), lists, pa.array(scores, pa.float64()), pa.array(others, kinds[3]), pa.array(trips, pa.bool_())]

@@ -43,7 +43,8 @@ def test_awkward_rows(spark):
     assert model.languages == ["en"] * len(model.languages) and 1 <= len(model.languages) <= langid.CENTROIDS
     got = langid.predict(docs, model)
     assert got.count() == docs.count() and got.columns[: len(docs.columns)] == docs.columns
-    assert {r.lang_pred for r in got.where("doc_id in (3, 4, 5)").collect()} == {"und"}
+    assert got.columns[-3:] == langid.found_names(docs.columns) == ["_lang_pred", "_score", "_rejected"]
+    assert {r["_lang_pred"] for r in got.where("doc_id in (3, 4, 5)").collect()} == {"und"}
     assert langid.predict(nothing(spark), model).count() == 0
     unlearned = langid.fit(nothing(spark))
     assert unlearned.languages == [] and langid.predict(docs, unlearned, keep=["doc_id"]).where("not rejected").count() == 0
