@@ -9,7 +9,7 @@ from probita.operators import audit, media
 from probita.operators.matching import with_evidence_ids
 from probita.plans.catalog import query
 from probita.plans.match_queries import _matches
-from probita.plans.text_queries import findings
+from probita.plans.text_queries import IDENTIFIER_KINDS, REDACTED, findings
 from probita.plans.views_sql import VIEWS, with_views
 from probita.session import scratch_path
 from probita.sources import tables
@@ -193,10 +193,11 @@ def screened_stream(spark, d):
     return spark.read.parquet(path).select("entity_id", "matched_against", "match_score", "rank")
 
 
-@query("m3_guarded_articles", with_views("SELECT article_id, categories FROM flagged", "flagged"))
+@query("m3_guarded_articles", with_views(f"SELECT article_id, categories, {IDENTIFIER_KINDS} AS identifier_kinds, md5({REDACTED}) AS digest FROM flagged", "flagged"))
 def guarded_articles(spark, d):
     documents = monitors.file_stream(spark, d, "documents.parquet", tables.table(spark, d, "documents").schema)
-    return monitors.run_to_table(monitors.guarded_articles(tables.as_articles(documents)), "guarded").select("article_id", "categories")
+    guarded = monitors.run_to_table(monitors.guarded_articles(tables.as_articles(documents)), "guarded")
+    return guarded.select("article_id", "categories", "identifier_kinds", F.md5("redacted").alias("digest"))
 
 
 @query("m4_chained_stream", with_views("SELECT chain_id, seq, event_id, previous_hash, hash FROM chained", "chained"))

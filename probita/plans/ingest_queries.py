@@ -72,6 +72,59 @@ def read_rows(spark, d):
                   F.count_if(F.col("sector") == "").alias("blank_sectors"))
 
 
+def _landed(spark, d):
+    """Customer rows as CSV files, a folder for each of four headers: the usual one, reversed with a column more, without a required one, with an extra one."""
+    path = scratch_path(spark, "kyc-folder")
+    rows = raw(spark, d).withColumn("ofac_country_flag", F.lit("0"))
+    for at, columns in enumerate([V.KYC_COLUMNS, [*reversed(V.KYC_COLUMNS), "row_number"], [c for c in V.KYC_COLUMNS if c != "sector"], [*V.KYC_COLUMNS, "ofac_country_flag"]]):
+        some = rows.where(F.col("row_number") % 4 == at).select(*columns)
+        some.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{path}/layout={at}")
+    return path
+
+
+def _layout(path: str):
+    return F.regexp_extract(path, "layout=([0-9]+)", 1).cast("int").alias("layout")
+
+
+@query("s2_mixed_folder", with_views("""
+SELECT row_number % 4 AS layout, client_id, client_name, sector, sector_risk, CASE WHEN row_number % 4 = 1 THEN row_number::VARCHAR END AS row_number,
+  CASE WHEN row_number % 4 = 3 THEN '0' END AS ofac_country_flag FROM raw_kyc WHERE row_number % 4 <> 2""", "raw_kyc"))
+def mixed_folder(spark, d):
+    rows, _ = loaders.read_mixed_folder(spark, _landed(spark, d), deep=True)
+    return rows.select(_layout("source_file"), "client_id", "client_name", "sector", "sector_risk", "row_number", "ofac_country_flag")
+
+
+@query("p20_header_checks", with_views("""
+SELECT layout, missing, additional, missing_extra, status, n FROM (VALUES
+  (0, '', '', 'ofac_country_flag,sectoral_sanctions_flag,ownership_opacity_score', 'admissible'), (1, '', 'row_number', 'ofac_country_flag,sectoral_sanctions_flag,ownership_opacity_score', 'admissible'),
+  (2, 'sector', '', 'ofac_country_flag,sectoral_sanctions_flag,ownership_opacity_score', 'missing_columns'), (3, '', 'ofac_country_flag', 'sectoral_sanctions_flag,ownership_opacity_score', 'admissible')
+) v(layout, missing, additional, missing_extra, status) JOIN (SELECT row_number % 4 AS k, count(*) AS n FROM raw_kyc GROUP BY k) ON k = layout""", "raw_kyc"))
+def header_checks(spark, d):
+    """Header findings of each folder's files, with the records below the headers."""
+    path = _landed(spark, d)
+    checked = loaders.check_headers(loaders.check_files(loaders.list_files(spark, path, deep=True, header=True)))
+    lines = spark.read.text(path, pathGlobFilter="*.csv").groupBy(_layout("_metadata.file_path")).agg(F.count("*").alias("lines"))
+    texts = [F.array_join(c, ",").alias(c) for c in ("missing", "additional", "missing_extra")]
+    found = checked.select(_layout("path"), *texts, "status").groupBy("layout", "missing", "additional", "missing_extra", "status").agg(F.count("*").alias("files"))
+    return found.join(lines, "layout").select("layout", "missing", "additional", "missing_extra", "status", (F.col("lines") - F.col("files")).alias("n"))
+
+
+@query("q5_admissible_files", """
+SELECT file, CASE WHEN file % 5 = 4 THEN digits ELSE letters END AS length,
+  CASE WHEN file % 5 = 4 THEN 'unsupported_type' WHEN letters > 65536 THEN 'file_too_large' ELSE 'admissible' END AS status
+FROM (SELECT doc_id // 20 AS file, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS letters, sum(length(doc_id::VARCHAR) + 12)::BIGINT AS digits FROM documents GROUP BY file)
+UNION ALL SELECT -1, 0, 'empty_file'""")
+def admissible_files(spark, d):
+    """Files of twenty documents each, every fifth of another kind, and an empty one: which may be read by kind and size."""
+    path = scratch_path(spark, "landing")
+    docs = tables.table(spark, d, "documents").withColumn("file", F.floor(F.col("doc_id") / 20))
+    docs.where("file % 5 <> 4").select("file", "text").repartition("file").write.partitionBy("file").text(f"{path}/texts")
+    docs.where("file % 5 = 4").select("file", "doc_id").repartition("file").write.partitionBy("file").json(f"{path}/numbers")
+    docs.where("false").select("text").coalesce(1).write.text(f"{path}/texts/file=-1")
+    checked = loaders.check_files(loaders.list_files(spark, path, deep=True), max_mb=0.0625, kinds=("txt",))
+    return checked.select(F.regexp_extract("path", "file=(-?[0-9]+)", 1).cast("long").alias("file"), "length", "status")
+
+
 @query("s10_ownership_files", """
 SELECT 'P-' || p_partkey AS entity_id, p_name AS name, 'maker of ' || p_name AS context, p_type AS nationality, 'P-' || (p_partkey // 100 * 100) AS owner_id, 50.0::DOUBLE AS percentage FROM part""")
 def ownership_files(spark, d):
@@ -239,6 +292,13 @@ def open_list(spark, d):
         F.array_join("topics", "|").alias("topics"), "source_list")
 
 
+@query("s9_light_open_list", """
+SELECT 'OpenSanctions' AS source, p_name AS name, upper(p_name) || '; ;' || p_brand || ';' AS aliases, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'ae;' || lower(p_type) END AS country,
+  'list ' || p_brand || '; other' AS info FROM part""")
+def light_open_list(spark, d):
+    return loaders.light_open_list(open_rows(spark, d))
+
+
 @query("s18_combined_lists", with_views(f"""
 SELECT 'ofac_sdn' AS list, true AS real_data, count(*) AS entities, false AS truncated, 0 AS marked FROM sdn WHERE name IS NOT NULL
 UNION ALL SELECT 'opensanctions', true, count(*), false, 0 FROM part WHERE {_open_where}
@@ -549,17 +609,24 @@ def _initials(name: str) -> str:
 _org = "split_part({0}, ' ', 1) || ' ' || array_to_string(list_transform(string_split({0}, ' ')[2:], lambda w: substr(w, 1, 1) || repeat('*', length(w) - 1)), ' ')"
 
 
-@query("v1_field_classes", """
-SELECT column_name, CASE WHEN column_name LIKE 'c_%' THEN 'highly_sensitive' END AS data_class, 'redact' AS mask, n FROM (
+_classed = ["client_id", "client_name", "client_type", "country", "sector", "sector_risk", "pep_flag", "sanctions_flag", "fatf_country_flag", "ofac_country_flag"]
+
+
+@query("v1_field_classes", with_views("""
+SELECT column_name, CASE WHEN column_name IN ('pep_flag', 'sanctions_flag') THEN 'sensitive' WHEN column_name = 'client_name' THEN 'personal' WHEN column_name LIKE 'c\\_%' ESCAPE '\\' OR column_name = 'ofac_country_flag' THEN 'highly_sensitive' ELSE 'internal' END AS data_class,
+  CASE WHEN column_name = 'client_id' THEN 'pseudonymize' WHEN column_name = 'client_name' THEN 'mask_name' WHEN column_name IN ('client_type', 'country', 'sector', 'sector_risk', 'fatf_country_flag') THEN 'none' ELSE 'redact' END AS mask, n FROM (
   SELECT 'c_custkey' AS column_name, count(c_custkey) AS n FROM customer UNION ALL SELECT 'c_name', count(c_name) FROM customer UNION ALL SELECT 'c_nationkey', count(c_nationkey) FROM customer
-  UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer UNION ALL SELECT 'c_mktsegment', count(c_mktsegment) FROM customer)""")
+  UNION ALL SELECT 'c_acctbal', count(c_acctbal) FROM customer UNION ALL SELECT 'c_mktsegment', count(c_mktsegment) FROM customer
+""" + "".join(f"  UNION ALL SELECT '{c}', count({c}) FROM clients\n" for c in _classed) + ")", "clients"))
 def field_classes(spark, d):
-    """Classes of a table's columns with the values they protect; none of these columns is listed."""
-    df = tables.table(spark, d, "customer")
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
-    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(privacy.field_class(c)[0]).alias("data_class"),
-                     F.lit(privacy.field_class(c)[1]).alias("mask"), F.col(c).alias("n")) for c in df.columns]
-    return counts.select(F.inline(F.array(*rows)))
+    """Classes of the columns of two tables with the values they protect; of the first table's no column is listed, of the second's all but the last."""
+    found = []
+    for df in (tables.table(spark, d, "customer"), tables.clients(spark, d).select(*_classed)):
+        counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+        rows = [F.struct(F.lit(c).alias("column_name"), F.lit(privacy.field_class(c)[0]).alias("data_class"),
+                         F.lit(privacy.field_class(c)[1]).alias("mask"), F.col(c).alias("n")) for c in df.columns]
+        found.append(counts.select(F.inline(F.array(*rows))))
+    return found[0].unionByName(found[1])
 
 
 @query("v2_masked_identifiers", """

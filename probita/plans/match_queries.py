@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from probita import fixed_values as V
@@ -280,7 +282,28 @@ def enriched_sanctions(spark, d):
                                              "sanctions.kyc_evidence_id", "sanctions.source")
 
 
-@query("j6_enriched_scores")
+def _rescored(kind: str, flag: str) -> str:
+    """Views that score payloads with a screened sanctions section: those of the plain payload, under names that end in ``kind``."""
+    VIEWS[f"payload_{kind}"] = (["payload", "matches"], f"""
+SELECT p.* REPLACE (m.entity_id IS NOT NULL OR has_match AS has_match, {flag} AS sanctions_flag, coalesce(m.match_score, match_confidence) AS match_confidence), m.source AS list
+FROM payload p LEFT JOIN (SELECT * FROM matches WHERE rank = 1) m ON m.entity_id = 'CLIENT-' || p.client_id""")
+    chain = ["payload", "factors", "scored_factors", "components", "based", "floored"]
+    for name in chain[1:]:
+        needs, sql = VIEWS[name]
+        if name == "factors":
+            sql += """UNION ALL SELECT client_id, 8, 'sanctions_risk', 'trusted_sanctions_source', 4.0, least(match_confidence, 0.95::DOUBLE), 'Sanctions source is authoritative'
+FROM payload WHERE list IN ('OFAC SDN', 'opensanctions')"""
+        VIEWS[f"{name}_{kind}"] = ([f"{n}_{kind}" for n in needs], re.sub(rf"\b(FROM|JOIN) ({'|'.join(chain)})\b", rf"\1 \2_{kind}", sql))
+    return f"floored_{kind}"
+
+
+_plain = _rescored("plain", "CASE WHEN m.entity_id IS NULL THEN sanctions_flag ELSE 0 END")
+_kept = _rescored("kept", "sanctions_flag")
+
+
+@query("j6_enriched_scores", with_views(f"""
+SELECT p.client_id::VARCHAR AS customer_id, p.risk_score AS score, p.escalation_floor AS floor, k.risk_score AS score_kept, k.escalation_floor AS floor_kept
+FROM {_plain} p JOIN {_kept} k ON k.client_id = p.client_id""", _plain, _kept))
 def enriched_scores(spark, d):
     """Scores after enrichment, with and without keeping the confirmed flag."""
     plain = risk.assess(_enriched(spark, d, False)).select("customer_id", F.col("risk_score").alias("score"), F.col("escalation_floor").alias("floor"))

@@ -123,6 +123,12 @@ def _redacted(expr: str) -> str:
     return expr
 
 
+#: Of ``content``: its text with identifiers taken out, and the kinds found.
+REDACTED = _spell(_redacted(_spell("content")), True)
+IDENTIFIER_KINDS = "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches({_spell('content')}, {_quoted(''.join(_ahead(p)))}) THEN '{k}' END" for k, p in V.EGRESS_PATTERNS) + "], lambda x: x IS NOT NULL), ', ')"
+
+
 @query("t8_egress", with_views(f"""
 SELECT article_id, CASE WHEN out = content THEN 'sent' ELSE 'redacted' END AS status, md5(out) AS digest, CASE WHEN out = content THEN 'sent' ELSE 'blocked' END AS strict_status
 FROM (SELECT *, {_spell(_redacted(_spell("content")), True)} AS out FROM articles)""", "articles"))

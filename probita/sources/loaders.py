@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from probita import fixed_values as V
 from probita.functions import scalars as S
+from probita.sources.folders import list_files
 
 NEVER = "\u0001"  # a null marker that occurs in no file, so that empty fields stay empty text
 
@@ -58,21 +59,48 @@ def read_kyc_folder(spark: SparkSession, folder: str, multi_line: bool | None =
     return df.na.fill("").withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Files of a folder with their sizes, empty ones too (which the file sources leave out); nothing is read."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
-    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-    rows = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile()]
-    return spark.createDataFrame(rows, "path string, length long")
-
-
 def check_files(files: DataFrame, max_mb: float = V.MAX_FILE_MB, kinds: tuple[str, ...] = ("csv",)) -> DataFrame:
     """Which listed files may be read, and why the others may not."""
     kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return files.select(
-        "path", "length",
+    return files.withColumn(
+        "status",
         F.when(~kind.isin(*kinds), "unsupported_type").when(F.col("length") == 0, "empty_file")
-        .when(F.col("length") > int(max_mb * 1024 * 1024), "file_too_large").otherwise("admissible").alias("status"))
+        .when(F.col("length") > int(max_mb * 1024 * 1024), "file_too_large").otherwise("admissible"))
+
+
+def check_headers(files: DataFrame) -> DataFrame:
+    """Checked files with the required columns they lack (``missing``), unknown ones (``additional``) and known extra ones they lack.
+
+    Takes ``columns`` and ``status`` of every file. An admissible file that lacks a required column, or names one twice,
+    gets that as its status; files without a header lack everything.
+    """
+    names = lambda values: F.array(*[F.lit(v) for v in values])
+    columns = F.coalesce("columns", F.array().cast("array<string>"))
+    repeated = F.size(F.array_distinct(F.transform(columns, F.lower))) < F.size(columns)
+    checked = files.withColumns({
+        "missing": F.array_except(names(V.KYC_COLUMNS), columns), "additional": F.array_except(columns, names(V.KYC_COLUMNS)),
+        "missing_extra": F.array_except(names(V.KYC_EXTRA_COLUMNS), columns)})
+    return checked.withColumn("status", F.when(F.col("status") != "admissible", F.col("status")).when(F.size("missing") > 0, "missing_columns")
+                              .when(repeated, "repeated_columns").otherwise(F.col("status")))
+
+
+def read_mixed_folder(spark: SparkSession, folder: str, deep: bool = False, max_mb: float = V.MAX_FILE_MB, multi_line: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of all admissible CSV files of a folder, whatever the order of their columns, and the listing of the files that are not read.
+
+    Files of one header are read together and united with the others by column names, a column that a file lacks being
+    NULL; ``source_file`` is the file of a row. What the driver holds is the paths by header, as a reader of files does
+    in any case; there are as many reads as headers. Without admissible files there are no rows. ``multi_line`` as in
+    ``read_text_csv``.
+    """
+    checked = check_headers(check_files(list_files(spark, folder, deep=deep, header=True), max_mb))
+    layouts = checked.where("status = 'admissible'").groupBy("columns").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("columns").collect()
+    rows = spark.createDataFrame([], ", ".join(f"{c} string" for c in [*V.KYC_COLUMNS, "source_file"]))
+    for layout in layouts:
+        whole = has_open_quotes(spark, layout.paths) if multi_line is None else multi_line
+        texts = T.StructType([T.StructField(c, T.StringType()) for c in layout["columns"]])
+        df = _csv(spark, True, whole).schema(texts).csv(layout.paths).na.fill("")
+        rows = rows.unionByName(df.withColumn("source_file", F.col("_metadata.file_path")), allowMissingColumns=True)
+    return rows, checked.where("status <> 'admissible'")
 
 
 def check_columns(columns: list[str]) -> tuple[list[str], list[str]]:

@@ -154,3 +154,41 @@ def test_every_loader_keeps_line_breaks_in_fields(spark, tmp_path):
     listed = write(tmp_path / "o.csv", 'id,schema,name,aliases,birth_date,countries,sanctions,dataset\nQ1,Person,"A\nB",,,,,\n')
     assert [r.name for r in loaders.load_open_list(spark, listed).collect()] == ["A\nB"]
     assert not loaders.has_open_quotes(spark, write(tmp_path / "n.csv", 'a,b\n1,"x ""y"""\n'))
+
+
+def test_folder_of_mixed_headers(spark, tmp_path):
+    from probita import fixed_values as V
+    folder = tmp_path / "kyc"
+    (folder / "deep" / "er").mkdir(parents=True)
+    row = dict.fromkeys(V.KYC_COLUMNS, "x")
+
+    def lines(columns, *ids):
+        return ",".join(columns) + "\n" + "".join(",".join({**row, "client_id": i}.get(c, "more") for c in columns) + "\n" for i in ids)
+
+    write(folder / "a.csv", "\ufeff" + lines(V.KYC_COLUMNS, "1", "2"))
+    write(folder / "b.csv", lines([*reversed(V.KYC_COLUMNS), "extra, one"], "3").replace("extra, one", '"extra, one"'))
+    write(folder / "deep" / "er" / "c.csv", lines(V.KYC_COLUMNS, '"4\n4"') + "5,short\n")
+    write(folder / "no_id.csv", "client_name\nAnn\n")
+    write(folder / "twice.csv", lines([*V.KYC_COLUMNS, "Sector"], "6"))
+    write(folder / "empty.csv", "")
+    write(folder / "note.txt", "x")
+    write(folder / ".hidden.csv", lines(V.KYC_COLUMNS, "7"))
+    rows, rejected = loaders.read_mixed_folder(spark, str(folder), deep=True)
+    got = {r.client_id: r for r in rows.collect()}
+    assert set(got) == {"1", "2", "3", "4\n4", "5"}
+    assert got["3"]["extra, one"] == "more" and got["1"]["extra, one"] is None and got["3"].sector == "x"
+    assert got["5"].client_name == "short" and got["5"].sector == "" and got["5"].source_file.endswith("deep/er/c.csv")
+    assert {r.path.rsplit("/", 1)[1]: r.status for r in rejected.collect()} == {
+        "no_id.csv": "missing_columns", "twice.csv": "repeated_columns", "empty.csv": "empty_file", "note.txt": "unsupported_type"}
+    assert {r.client_id for r in loaders.read_mixed_folder(spark, f"file:{folder}")[0].collect()} == {"1", "2", "3"}
+    assert loaders.read_mixed_folder(spark, str(tmp_path / "nowhere"))[0].count() == 0
+
+
+def test_listing_has_a_partition_for_each_sub_folder(spark, tmp_path):
+    for name in ("a", "b", "_c"):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name / "x.csv", "h\n")
+    files = loaders.list_files(spark, str(tmp_path), "x.*", deep=True)
+    assert files.rdd.getNumPartitions() == 3
+    assert sorted(r.path for r in files.collect()) == [str(tmp_path / n / "x.csv") for n in ("a", "b")]
+    assert loaders.list_files(spark, str(tmp_path)).count() == 0
