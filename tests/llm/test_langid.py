@@ -1,3 +1,7 @@
+import collections
+import math
+import re
+
 import numpy as np
 from corpus_cases import awkward, nothing
 
@@ -53,3 +57,43 @@ def test_awkward_rows(spark):
 def test_clusters_of_equal_rows():
     rows = np.ones((5, 4), np.float32) / 2
     assert np.allclose(langid._clusters(rows, 4), rows[:4])
+
+
+def plain_grams(text, dimensions):
+    """Counts by place of the letter groups of a text, one by one."""
+    spaced = re.sub("[\x00-\x40\x5b-\x60\x7b-\x7f]+", " ", f" {text.lower()} ")
+    grams = [spaced[i:i + n] for n in (1, 2, 3) for i in range(len(spaced) - n + 1) if spaced[i:i + n] != " "]
+
+    def place(gram):
+        h = 0
+        for k, c in enumerate(gram):
+            if k:
+                h = (h ^ (h >> (29 if k == 1 else 31))) * (0xBF58476D1CE4E5B9 if k == 1 else 0x94D049BB133111EB)
+            h = (h + ord(c) * 0x9E3779B97F4A7C15) % 2**64
+        return (h >> 40) % dimensions
+
+    return collections.Counter(place(g) for g in grams)
+
+
+def test_answers_against_vectors_by_dictionary(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("held", langid.held_out())
+    model = langid.fit(docs.where(~langid.held_out()))
+    rows = docs.collect()
+    counted = {r.doc_id: plain_grams(r.text or "", langid.DIMENSIONS) for r in rows}
+    learned = [r.doc_id for r in rows if not r.held and r.lang is not None and langid.has_letter(r.text)]
+    seen = collections.Counter(d for i in learned for d in counted[i])
+    idf = [math.log((1 + len(learned)) / (1 + seen[d])) + 1 for d in range(langid.DIMENSIONS)]
+    assert np.allclose(idf, model.idf, atol=1e-5)
+    got = {r.doc_id: r for r in langid.predict(docs, model, keep=["doc_id"]).collect()}
+    for r in rows:
+        if not langid.has_letter(r.text):
+            assert got[r.doc_id].lang_pred == langid.UNDETERMINED
+            continue
+        weights = {d: math.log(1 + n) * idf[d] for d, n in counted[r.doc_id].items()}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        near = [sum(w * c[d] for d, w in weights.items()) / norm for c in model.centroids.astype(float)]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert abs(got[r.doc_id].score - near[best]) < 1e-4
+        assert got[r.doc_id].lang_pred == model.languages[best] or sorted(near)[-1] - sorted(near)[-2] < 1e-5
+        limit = model.least[best] * min(1, sum(counted[r.doc_id].values()) / langid.EVIDENCE)
+        assert got[r.doc_id].rejected == (near[best] < limit) or abs(near[best] - limit) < 1e-5
