@@ -405,8 +405,8 @@ def light_search(queries: DataFrame, entries: DataFrame, threshold: int = 40, li
     texts = lists.select("_n", "_a").distinct()
     named, aliased = texts.withColumn("haystack", F.col("_n")), texts.withColumn("haystack", F.col("_a"))
 
-    inside_names = contains_join(names, texts.select(F.col("_n").alias("haystack")).distinct())
-    inside_aliases = contains_join(names, texts.select(F.col("_a").alias("haystack")).where("haystack <> ''").distinct())
+    inside_names = contains_join(names, texts.select(F.col("_n").alias("haystack")).distinct(), **skew)
+    inside_aliases = contains_join(names, texts.select(F.col("_a").alias("haystack")).where("haystack <> ''").distinct(), **skew)
     by_name = named.join(inside_names, "haystack").select(
         "needle", "_n", "_a", F.when(F.col("needle") == F.col("_n"), 100).otherwise(80).alias("score"))
     by_alias = aliased.join(inside_aliases, "haystack").select("needle", "_n", "_a", F.lit(80).alias("score"))
@@ -421,7 +421,8 @@ def light_search(queries: DataFrame, entries: DataFrame, threshold: int = 40, li
     enough = F.ceil(F.lit(float(threshold)) * n / 60.0 - 1e-9)
     probes = ranked.withColumn("_take", (n - enough + 1).cast("int")).where("_take > 0").select(
         "needle", F.transform("_rare", lambda r: r["_word"]).alias("_tokens"), F.explode(F.slice("_rare", F.lit(1), F.col("_take"))).alias("_probe"))
-    shared = probes.select("needle", "_tokens", F.col("_probe._word").alias("_word")).join(postings, "_word")
+    shared = skew_join(postings, probes.select("needle", "_tokens", F.col("_probe._word").alias("_word")), ["_word"],
+                       counts=frequency.withColumnRenamed("_f", "_rows"), **skew)
     overlap = F.size(F.array_intersect("_tokens", "_words")) / F.size("_tokens") * 60
     by_words = shared.select("needle", "_n", "_a", F.floor(overlap).cast("int").alias("score"))
 

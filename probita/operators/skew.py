@@ -14,9 +14,10 @@ SHARE = 200
 FLOOR = 50_000  # below this many rows a key is never worth splitting
 
 
-def heavy_keys(df: DataFrame, keys: list[str], share: int = SHARE, floor: int = FLOOR) -> DataFrame:
-    """Keys with too many rows for one task, and the number of ``parts`` to split each into."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+def heavy_keys(df: DataFrame, keys: list[str], share: int = SHARE, floor: int = FLOOR, counts: DataFrame | None = None) -> DataFrame:
+    """Keys with too many rows for one task, and the number of ``parts`` to split each into; ``counts`` are the keys' ``_rows`` where they are known."""
+    if counts is None:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     share_size = counts.select((F.sum("_rows") / F.lit(share)).alias("s")).scalar()
     chunk = F.greatest(F.coalesce(share_size, F.lit(0.0)), F.lit(float(floor)))
     return counts.where(F.col("_rows") > chunk).select(*keys, F.ceil(F.col("_rows") / chunk).cast("int").alias("_parts"))
@@ -37,6 +38,7 @@ def skew_join(
     floor: int = FLOOR,
     spread: bool = False,
     keys_from: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose heavy keys are spread over many tasks.
 
@@ -44,14 +46,14 @@ def skew_join(
     row, and the right side's rows of the key are repeated once per part. With ``both`` the right
     side is scattered as well (inner joins only). ``spread`` keeps the session's full number of
     partitions where a join of few bytes makes much work. ``keys_from`` is a cheaper frame to find
-    the left side's heavy keys in, where the left side itself is the result of a shuffle. The
-    result is the plain join's, row for row.
+    the left side's heavy keys in, where the left side itself is the result of a shuffle; ``counts``
+    (keys and ``_rows``) saves finding them. The result is the plain join's, row for row.
     """
     if both and how != "inner":
         raise ValueError("both sides can only be split for an inner join")
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     right_hash = F.xxhash64(*[F.col(c) for c in right.columns])
-    left_heavy = heavy_keys(left if keys_from is None else keys_from, keys, share, floor)
+    left_heavy = heavy_keys(left if keys_from is None else keys_from, keys, share, floor, counts)
     left, right = _parts(left, left_heavy, keys, "_lp"), _parts(right, left_heavy, keys, "_lp")
     if both:
         right_heavy = heavy_keys(right.drop("_lp"), keys, share, floor)
@@ -103,16 +105,20 @@ def dense_position(df: DataFrame, keys: list[str], slot: Column, order: list[Col
 
 def contains_join(
     needles: DataFrame, haystacks: DataFrame, by: list[str] | None = None,
-    needle: str = "needle", haystack: str = "haystack",
+    needle: str = "needle", haystack: str = "haystack", share: int | None = None, floor: int = FLOOR,
 ) -> DataFrame:
     """Pairs in which the haystack text holds the needle text, as an equi-join.
 
     A haystack that holds a needle holds each of the needle's three-letter pieces. Each needle is
     therefore looked up under its rarest piece only, and the text is compared for those pairs.
     Needles shorter than three letters are looked up whole. ``by`` limits pairs to equal keys.
+    A piece with more than a ``share``-th of all pieces (by default about what a shuffle partition
+    holds, so there are at most as many as partitions) is spread over tasks, its needles repeated.
     Both texts should be distinct (per ``by``); the result has ``by``, needle and haystack.
     """
     by = by or []
+    if share is None:
+        share = max(SHARE, int(needles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pieces(text: Column, size: int) -> Column:
         last = F.length(text) - F.lit(size - 1)
@@ -126,16 +132,14 @@ def contains_join(
     needles = needles.where(F.length(text) > 0)
     wanted = needles.select(*by, needle, F.size(own).alias("_pieces"), F.explode(own).alias("_piece"))
     hay = F.col(haystack)
-    filed = haystacks.select(
-        *by, haystack, F.explode(F.concat(pieces(hay, 1), pieces(hay, 2), pieces(hay, 3))).alias("_piece")
-    ).join(wanted.select(*by, "_piece").distinct(), [*by, "_piece"], "left_semi")
-    frequency = filed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_f"))
+    filed = haystacks.select(*by, haystack, F.explode(F.concat(pieces(hay, 1), pieces(hay, 2), pieces(hay, 3))).alias("_piece"))
+    frequency = filed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
     rarest = (
         wanted.join(frequency, [*by, "_piece"])
         .groupBy(*by, needle)
-        .agg(F.min(F.struct("_f", "_piece")).alias("_best"), F.count(F.lit(1)).alias("_found"), F.first("_pieces").alias("_pieces"))
+        .agg(F.min(F.struct("_rows", "_piece")).alias("_best"), F.count(F.lit(1)).alias("_found"), F.first("_pieces").alias("_pieces"))
         .where(F.col("_found") == F.col("_pieces"))
         .select(*by, needle, F.col("_best._piece").alias("_piece"))
     )
-    pairs = filed.join(rarest, [*by, "_piece"])
+    pairs = skew_join(filed, rarest, [*by, "_piece"], share=share, floor=floor, counts=frequency)
     return pairs.where(F.contains(F.col(haystack), F.col(needle))).select(*by, needle, haystack)

@@ -51,6 +51,26 @@ def test_contains_join_equals_brute_force(spark):
     assert {(r.needle, r.haystack) for r in by.collect()} == {(n, h) for n, h in got if len(n) % 2 == len(h) % 2}
 
 
+def test_contains_join_with_a_piece_in_a_third_of_all_texts(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[(i * 7919 + k * k * (i % 13 + 1)) % 26] for k in range(6))
+    hay = [f"{word(i)} {i} bolt" if i % 3 == 0 else f"{word(i)} {i} {word(i * 31 + 5)}" for i in range(6000)]
+    needles = ["bolt", "olt", *hay[1:400]]
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = contains_join(spark.createDataFrame([(t,) for t in needles], "needle string"), spark.createDataFrame([(t,) for t in hay], "haystack string"), share=10_000, floor=25)
+        rows = found.select("needle", "haystack", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert collections.Counter((r.needle, r.haystack) for r in rows) == collections.Counter((n, h) for n in needles for h in hay if n in h)
+    tasks = sorted(collections.Counter(r.task for r in rows).values())
+    assert len(tasks) == 24 and tasks[-1] <= 4 * tasks[len(tasks) // 2]
+
+
 def test_dense_position_equals_rank(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1000).alias("v"))
     numbered = dense_position(df, ["k"], F.floor(F.col("v") / 100), [F.col("v")])
