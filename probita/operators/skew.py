@@ -55,21 +55,19 @@ def skew_join(
     right_hash = F.xxhash64(*[F.col(c) for c in right.columns])
     left_heavy = heavy_keys(left if keys_from is None else keys_from, keys, share, floor, counts)
     left, right = _parts(left, left_heavy, keys, "_lp"), _parts(right, left_heavy, keys, "_lp")
+    scatter = ["_ls"]
     if both:
+        scatter = ["_ls", "_rs"]
         right_heavy = heavy_keys(right.drop("_lp"), keys, share, floor)
         left, right = _parts(left, right_heavy, keys, "_rp"), _parts(right, right_heavy, keys, "_rp")
-    else:
-        left, right = left.withColumn("_rp", F.lit(1)), right.withColumn("_rp", F.lit(1))
-    scattered_left = left.withColumn("_ls", F.pmod(row_hash, F.col("_lp"))).withColumn(
-        "_rs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rp").cast("long") - 1))
-    ).drop("_lp", "_rp")
-    scattered_right = right.withColumn("_rs", F.pmod(right_hash, F.col("_rp"))).withColumn(
-        "_ls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lp").cast("long") - 1))
-    ).drop("_lp", "_rp")
+        left = left.withColumn("_rs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rp").cast("long") - 1))).drop("_rp")
+        right = right.withColumn("_rs", F.pmod(right_hash, F.col("_rp"))).drop("_rp")
+    scattered_left = left.withColumn("_ls", F.when(F.col("_lp") > 1, F.pmod(row_hash, F.col("_lp"))).otherwise(F.lit(0).cast("long"))).drop("_lp")
+    scattered_right = right.withColumn("_ls", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lp").cast("long") - 1))).drop("_lp")
     if spread:
         partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        scattered_left = scattered_left.repartition(partitions, *keys, "_ls", "_rs")
-    return scattered_left.join(scattered_right, [*keys, "_ls", "_rs"], how).drop("_ls", "_rs")
+        scattered_left = scattered_left.repartition(partitions, *keys, *scatter)
+    return scattered_left.join(scattered_right, [*keys, *scatter], how).drop(*scatter)
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -132,7 +130,9 @@ def contains_join(
     needles = needles.where(F.length(text) > 0)
     wanted = needles.select(*by, needle, F.size(own).alias("_pieces"), F.explode(own).alias("_piece"))
     hay = F.col(haystack)
-    filed = haystacks.select(*by, haystack, F.explode(F.concat(pieces(hay, 1), pieces(hay, 2), pieces(hay, 3))).alias("_piece"))
+    filed = haystacks.select(
+        *by, haystack, F.explode(F.concat(pieces(hay, 1), pieces(hay, 2), pieces(hay, 3))).alias("_piece")
+    ).join(wanted.select(*by, "_piece").distinct(), [*by, "_piece"], "left_semi")
     frequency = filed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
     rarest = (
         wanted.join(frequency, [*by, "_piece"])
