@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 SHARE = 200
 FLOOR = 50_000  # below this many rows a key is never worth splitting
+FEW = 10_000  # pairs of texts that are compared without an index
 
 
 def heavy_keys(df: DataFrame, keys: list[str], share: int = SHARE, floor: int = FLOOR, counts: DataFrame | None = None) -> DataFrame:
@@ -39,6 +40,7 @@ def skew_join(
     spread: bool = False,
     keys_from: DataFrame | None = None,
     counts: DataFrame | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """Equi-join whose heavy keys are spread over many tasks.
 
@@ -47,7 +49,7 @@ def skew_join(
     side is scattered as well (inner joins only). ``spread`` keeps the session's full number of
     partitions where a join of few bytes makes much work. ``keys_from`` is a cheaper frame to find
     the left side's heavy keys in, where the left side itself is the result of a shuffle; ``counts``
-    (keys and ``_rows``) saves finding them. The result is the plain join's, row for row.
+    (keys and ``_rows``) saves finding them. ``merge`` never broadcasts a side, where the engine would take it for a smaller one. The result is the plain join's, row for row.
     """
     if both and how != "inner":
         raise ValueError("both sides can only be split for an inner join")
@@ -67,6 +69,8 @@ def skew_join(
     if spread:
         partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         scattered_left = scattered_left.repartition(partitions, *keys, *scatter)
+    if merge:
+        scattered_left, scattered_right = scattered_left.hint("merge"), scattered_right.hint("merge")
     return scattered_left.join(scattered_right, [*keys, *scatter], how).drop(*scatter)
 
 
@@ -113,8 +117,23 @@ def contains_join(
     A piece with more than a ``share``-th of all pieces (by default about what a shuffle partition
     holds, so there are at most as many as partitions) is spread over tasks, its needles repeated.
     Both texts should be distinct (per ``by``); the result has ``by``, needle and haystack.
+    With ``by``, a key with at most ``FEW`` pairs of texts has them compared as they are: that is less than its pieces are.
     """
     by = by or []
+    if by:
+        needles, haystacks = needles.where(F.length(needle) > 0), haystacks.where(F.col(haystack).isNotNull())
+        sizes = needles.groupBy(*by).agg(F.count(F.lit(1)).alias("_a")).hint("merge").join(haystacks.groupBy(*by).agg(F.count(F.lit(1)).alias("_b")), by)
+        sizes = sizes.select(*by, (F.col("_a") * F.col("_b") > FEW).alias("_many"))
+        sized = needles.hint("merge").join(sizes.hint("merge"), by)
+        few = sized.where(~F.col("_many")).drop("_many").hint("merge").join(haystacks.hint("merge"), by).where(F.contains(F.col(haystack), F.col(needle)))
+        many = sizes.where("_many").select(*by)
+        return few.select(*by, needle, haystack).unionByName(_piece_join(
+            sized.where("_many").drop("_many"), haystacks.join(many, by, "left_semi"), by, needle, haystack, share, floor))
+    return _piece_join(needles, haystacks, by, needle, haystack, share, floor)
+
+
+def _piece_join(needles: DataFrame, haystacks: DataFrame, by: list[str], needle: str, haystack: str, share: int | None, floor: int) -> DataFrame:
+    """``contains_join`` by pieces. Joins with pieces are never broadcast: the engine sizes them by the texts they are cut from."""
     if share is None:
         share = max(SHARE, int(needles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -132,14 +151,14 @@ def contains_join(
     hay = F.col(haystack)
     filed = haystacks.select(
         *by, haystack, F.explode(F.concat(pieces(hay, 1), pieces(hay, 2), pieces(hay, 3))).alias("_piece")
-    ).join(wanted.select(*by, "_piece").distinct(), [*by, "_piece"], "left_semi")
+    ).join(wanted.select(*by, "_piece").distinct().hint("merge"), [*by, "_piece"], "left_semi")
     frequency = filed.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_rows"))
     rarest = (
-        wanted.join(frequency, [*by, "_piece"])
+        wanted.hint("merge").join(frequency.hint("merge"), [*by, "_piece"])
         .groupBy(*by, needle)
         .agg(F.min(F.struct("_rows", "_piece")).alias("_best"), F.count(F.lit(1)).alias("_found"), F.first("_pieces").alias("_pieces"))
         .where(F.col("_found") == F.col("_pieces"))
         .select(*by, needle, F.col("_best._piece").alias("_piece"))
     )
-    pairs = skew_join(filed, rarest, [*by, "_piece"], share=share, floor=floor, counts=frequency)
+    pairs = skew_join(filed, rarest, [*by, "_piece"], share=share, floor=floor, counts=frequency, merge=True)
     return pairs.where(F.contains(F.col(haystack), F.col(needle))).select(*by, needle, haystack)

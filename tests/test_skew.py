@@ -6,7 +6,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from probita.operators import quality
+from probita.operators import quality, skew
 from probita.operators.skew import contains_join, dense_position, heavy_keys, skew_join
 
 
@@ -87,3 +87,22 @@ def test_duplicates_with_a_hot_id(spark):
         assert found.count() == 30
         assert quality.entities(found).count() == 19
         assert quality.issues(found).where("issue_code = 'duplicate_client_id'").count() == 10
+
+
+def test_contains_join_compares_few_texts_of_a_key_and_indexes_many(spark, monkeypatch):
+    needles = [(i % 40, t) for i in range(200) for t in (f"txn:{i}", f"{i}")] + [(0, None), (0, ""), (None, "txn")] + [(99, f"n{i}") for i in range(30)]
+    hay = [(i % 40, f"txn:{i * 3}") for i in range(200)] + [(0, None), (None, "txn:1")] + [(99, f"an{i} n{i * 2}") for i in range(30)]
+    expected = collections.Counter((c, n, h) for c, n in set(needles) for d, h in set(hay) if c is not None and c == d and n and h and n in h)
+    frames = [spark.createDataFrame(sorted(set(rows), key=str), f"c int, {name} string") for rows, name in ((needles, "needle"), (hay, "haystack"))]
+    for few in (10_000, 200, 0):
+        monkeypatch.setattr(skew, "FEW", few)
+        assert bag(contains_join(*frames, by=["c"]), ["c", "needle", "haystack"]) == expected
+
+
+def test_pieces_are_not_broadcast(spark):
+    """The engine sizes pieces by the texts they are cut from, so that it would send very many to every executor."""
+    texts = spark.range(500).select((F.col("id") % 50).alias("c"), F.concat(F.lit("txn:"), "id").alias("needle"))
+    joined = contains_join(texts, texts.withColumnRenamed("needle", "haystack"), by=["c"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    on_pieces = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "_piece" in line]
+    assert all("LeftOuter" in line for line in on_pieces)  # the short lists of heavy pieces
