@@ -95,6 +95,42 @@ def test_pruned_screen_equals_full_evaluation(spark):
         assert got == expected and len(got) > 20
 
 
+def many_alike(spark, copies):
+    """Entries of which many are alike, with few and with no profiles that fill their list from the nearest of them."""
+    rng = random.Random(11)
+    names = ["ali reza hosseini", "ali hoseini", "reza ali", "alib corp"]
+    kinds = [(rng.choice(names), [rng.choice(names)] if k % 3 else [], rng.choice([None, "1975", "1980", "15 Mar 1975"]), rng.choice([None, "AE", "IR"]),
+              rng.choice([None, "ali corp ltd", "ali co"]), "x", rng.choice([None, "metal trader", "trader"])) for k in range(30)]
+    entries = [(f"w{i:04}", f"W{(i * 37) % 1000 // 2}", *kinds[i * i % 30 if i % 2 else i % 30]) for i in range(copies)]
+    queries = [(f"Q{i}", rng.choice(names), rng.choice([None, "1975", "1980"]), rng.choice([None, "AE", "iran", "PT"]), rng.choice([None, "ali corp", "abc"]),
+                rng.choice([None, "trader in metals", "metal trader"]), None) for i in range(40)]
+    return spark.createDataFrame(queries, QUERY), spark.createDataFrame(entries, WATCH)
+
+
+@pytest.mark.parametrize("limit", [1, 5, 25])
+def test_first_matches_equal_full_evaluation(spark, limit):
+    """Floors and classes never lose or reorder one of the first matches, ties included."""
+    q, w = many_alike(spark, 300)
+    distinct, keyed = matching.profiles(q)
+    full = matching.evaluate(matching.blocking_pairs(distinct, w)).where("match_score >= 0.55").withColumnRenamed("q_profile_id", "profile_id")
+    rows = sorted((r.entity_id, -r.match_score, r.w_entity_id, r.w_row_id) for r in keyed.join(full, "profile_id").collect())
+    expected = {(e, row[1:], at + 1) for e, own in itertools.groupby(rows, key=lambda r: r[0]) for at, row in enumerate(own) if at < limit}
+    got = matching.screen(q, w, limit).collect()
+    assert {(r.entity_id, (-r.match_score, r.matched_against, r.row_id), r["rank"]) for r in got} == expected and len(got) == len(expected)
+    assert len(expected) > 20
+
+
+def test_pairs_below_the_floor_are_never_rows(spark, monkeypatch):
+    """Twice the entries: no more pairs, where formerly each entry over the threshold was one."""
+    made = []
+    real = matching._first_entries
+    monkeypatch.setattr(matching, "_first_entries", lambda pairs, *rest: made.append(pairs.count()) or real(pairs, *rest))
+    for copies in (300, 600):
+        q, w = many_alike(spark, copies)
+        matching.screen(q, w, 3).count()
+    assert made[1] <= made[0] <= 40 * 30
+
+
 def test_reordered_query_is_found(spark):
     keys = spark.createDataFrame([("Rashid, Mohammad", "Mohammad Al-Rashid")], "q string, w string").select(
         S.query_keys("q").alias("q"), S.index_keys("w", F.array().cast("array<string>")).alias("w")).first()
