@@ -78,6 +78,15 @@ def _pairs(spark, d):
     return matching.blocking_pairs(distinct, tables.watchlist(spark, d).select(*matching.ENTRY_FIELDS)), keyed
 
 
+def _alike_pairs(spark, d, *fields):
+    """Pairs of profiles and groups of entries that are told apart by keys and ``fields`` only; ``w_n`` entries, the first and the last by id, are one group."""
+    distinct, keyed = matching.profiles(_queries(spark, d).select("entity_id", "name", *fields))
+    alike = tables.watchlist(spark, d).groupBy("name", "aliases", *fields).agg(
+        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"))
+    others = [c for c in matching.QUERY_FIELDS if c not in alike.columns]
+    return matching.blocking_pairs(distinct, alike.withColumns({c: F.lit(None).cast("string") for c in others})), keyed
+
+
 def _matches(spark, d, limit=V.MATCH_LIMIT):
     return matching.screen(_queries(spark, d), tables.watchlist(spark, d), limit)
 
@@ -113,9 +122,9 @@ def pair_classes(spark, d):
 
 @query("j2_blocking_join", with_views("SELECT entity_id, count(*) AS candidates, min(row_id) AS first_row, max(row_id) AS last_row FROM candidates GROUP BY entity_id", "candidates"))
 def blocking_join(spark, d):
-    pairs, keyed = _pairs(spark, d)
+    pairs, keyed = _alike_pairs(spark, d)
     counts = pairs.groupBy(F.col("q_profile_id").alias("profile_id")).agg(
-        F.count(F.lit(1)).alias("candidates"), F.min("w_row_id").alias("first_row"), F.max("w_row_id").alias("last_row"))
+        F.sum("w_n").alias("candidates"), F.min("w_first_row").alias("first_row"), F.max("w_last_row").alias("last_row"))
     return keyed.join(counts, "profile_id").drop("profile_id", "evidence_id")
 
 
@@ -172,9 +181,9 @@ SELECT c.entity_id, count(*) AS pairs, round(sum(s.sim), 4) AS total, round(max(
 FROM candidates c JOIN asked q USING (entity_id) JOIN filed w USING (row_id) JOIN sims s ON s.a = lower(q.name) AND s.b = lower(w.name) GROUP BY c.entity_id""",
                                          "candidates", "asked", "filed", "sims"))
 def name_similarity(spark, d):
-    pairs, keyed = _pairs(spark, d)
-    sums = pairs.select(F.col("q_profile_id").alias("profile_id"), sim.prepared_similarity("q_name", "w_name").alias("s")).groupBy("profile_id").agg(
-        F.count(F.lit(1)).alias("pairs"), F.round(F.sum("s"), 4).alias("total"), F.round(F.max("s"), 6).alias("best"))
+    pairs, keyed = _alike_pairs(spark, d)
+    sums = pairs.select(F.col("q_profile_id").alias("profile_id"), "w_n", sim.prepared_similarity("q_name", "w_name").alias("s")).groupBy("profile_id").agg(
+        F.sum("w_n").alias("pairs"), F.round(F.sum(F.col("s") * F.col("w_n")), 4).alias("total"), F.round(F.max("s"), 6).alias("best"))
     return keyed.join(sums, "profile_id").drop("profile_id", "evidence_id")
 
 
@@ -190,9 +199,9 @@ def alias_similarity(spark, d):
 @query("p27_company_similarity", with_views("""
 SELECT entity_id, round(sum(s_company), 4) AS total FROM parts GROUP BY entity_id""", "parts"))
 def company_similarity(spark, d):
-    pairs, keyed = _pairs(spark, d)
-    sums = pairs.select(F.col("q_profile_id").alias("profile_id"), F.when(F.col("q_company_low").isNull() | F.col("w_company_low").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(sim.prepared_similarity("q_company", "w_company")).alias("s")).groupBy("profile_id").agg(
-        F.round(F.sum("s"), 4).alias("total"))
+    pairs, keyed = _alike_pairs(spark, d, "company")
+    sums = pairs.select(F.col("q_profile_id").alias("profile_id"), "w_n", F.when(F.col("q_company_low").isNull() | F.col("w_company_low").isNull(), F.lit(V.UNKNOWN_ATTRIBUTE)).otherwise(sim.prepared_similarity("q_company", "w_company")).alias("s")).groupBy("profile_id").agg(
+        F.round(F.sum(F.col("s") * F.col("w_n")), 4).alias("total"))
     return keyed.join(sums, "profile_id").select("entity_id", "total")
 
 
