@@ -91,14 +91,29 @@ def client_transfers(transfers: DataFrame, mapping: DataFrame) -> DataFrame:
     return sent.unionByName(received)
 
 
+def _amount_order() -> Column:
+    key = F.struct("Date", "Time", "Sender_account", "Receiver_account")
+    return F.struct((-F.col("Amount")).alias("negative"), key.alias("key"))
+
+
 def largest_transfer(client_transfers: DataFrame) -> DataFrame:
     """Largest transfer per client; on equal amounts the smallest key."""
-    key = F.struct("Date", "Time", "Sender_account", "Receiver_account")
-    return (
-        client_transfers.groupBy("client_id")
-        .agg(F.min(F.struct((-F.col("Amount")).alias("negative"), key.alias("key"))).alias("best"))
-        .select("client_id", (-F.col("best.negative")).alias("Amount"), "best.key.*")
-    )
+    best = client_transfers.groupBy("client_id").agg(F.min(_amount_order()).alias("best"))
+    return best.select("client_id", (-F.col("best.negative")).alias("Amount"), "best.key.*")
+
+
+def under_accounts(transfers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Transfers under each of their accounts that a client has, once where both are the same."""
+    sides = transfers.withColumn("account", F.explode(F.array_distinct(F.array(F.trim("Sender_account"), F.trim("Receiver_account")))))
+    return sides.join(mapping.select(F.trim("account").alias("account")).distinct(), "account", "left_semi")
+
+
+def largest_client_transfer(transfers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``largest_transfer`` of ``client_transfers``, from the largest transfer of each account: a transfer is never repeated for the clients of its accounts."""
+    largest = under_accounts(transfers, mapping).groupBy("account").agg(F.min(_amount_order()).alias("best"))
+    pairs = mapping.select("client_id", F.trim("account").alias("account")).distinct()
+    best = pairs.join(largest, "account").groupBy("client_id").agg(F.min("best").alias("best"))
+    return best.select("client_id", (-F.col("best.negative")).alias("Amount"), "best.key.*")
 
 
 #: Positions of transfers whose accounts are numbered together where all are.

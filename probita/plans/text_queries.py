@@ -138,7 +138,7 @@ def egress(spark, d):
 
 
 def _reports(spark, d):
-    largest = tr.largest_transfer(tr.client_transfers(tables.bank_transfers(spark, d), tables.account_mapping(spark, d)))
+    largest = tr.largest_client_transfer(tables.bank_transfers(spark, d), tables.account_mapping(spark, d))
     made = cases.reports(cases.dispositions(tables.clients(spark, d), largest))
     client = F.col("client_id")
     extra = F.concat(F.lit(" Born on 1970-01-02, and first seen at the branch on the harbour road on 2024-05-06. Mail a"), client.cast("string"), F.lit("@mail.example.com, id 123-45-6789, passport AB1234567, call +44 20 7946 0958, client_id=12345678."))
