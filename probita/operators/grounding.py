@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probita import fixed_values as V
 from probita.functions.scalars import plain_number, strip
 from probita.operators.skew import contains_join
+from probita.operators.transactions import under_accounts
 
 
 OWN_VALUES = ["Date", "Sender_account", "Receiver_account", "Amount"]
@@ -39,10 +40,11 @@ def _profile_citations(cited: DataFrame, clients: DataFrame) -> DataFrame:
     return cited.join(known, "client_id", "left").withColumn("reason", reason).drop("_profile")
 
 
-def _transaction_citations(cited: DataFrame, transfers: DataFrame, client_transfers: DataFrame) -> DataFrame:
+def _transaction_citations(cited: DataFrame, transfers: DataFrame, client_transfers: DataFrame, mapping: DataFrame | None) -> DataFrame:
     """Known account anywhere in the text, or one of the client's own dates, accounts or amounts.
 
-    Texts are short; tables are not. The pieces of each text are looked up by equality.
+    Texts are short; tables are not. The pieces of each text are looked up by equality, under the client, or with ``mapping`` under the
+    client's accounts: ``client_transfers`` repeats a transfer for each client of an account, and its values would be so as well.
     """
     body = _without_prefix(strip("source_id"), V.TRANSACTION_PREFIXES)
     accounts = transfers.select(F.explode(F.array(F.trim("Sender_account"), F.trim("Receiver_account"))).alias("piece")).distinct()
@@ -54,12 +56,19 @@ def _transaction_citations(cited: DataFrame, transfers: DataFrame, client_transf
     lengths = transfers.select(F.explode(F.array(*[F.length(_as_text(transfers, c)) for c in OWN_VALUES])).alias("n")).where(
         "n >= 1").agg(F.collect_set("n")).scalar()
     bodies = cited.where("client_id is not null").select("client_id", body.alias("haystack")).distinct()
-    sized = bodies.select("client_id", "haystack", F.explode(lengths).alias("n")).where(F.length("haystack") >= F.col("n"))
-    cut = sized.select("client_id", "haystack", "n", F.explode(F.sequence(F.lit(1), F.length("haystack") - F.col("n") + 1)).alias("at"))
-    cut = cut.select("client_id", "haystack", F.substring(F.col("haystack"), F.col("at"), F.col("n")).alias("needle")).distinct()
-    values = client_transfers.join(bodies.select("client_id").distinct(), "client_id", "left_semi").select(
-        "client_id", F.explode(F.array(*[_as_text(client_transfers, c) for c in OWN_VALUES])).alias("needle"))
-    own = cut.join(values, ["client_id", "needle"], "left_semi")
+    if mapping is None:
+        asked, known = bodies.withColumn("_owner", F.col("client_id")), client_transfers.withColumn("_owner", F.col("client_id"))
+    else:
+        owners = mapping.select("client_id", F.trim("account").alias("_owner")).distinct()
+        asked, known = bodies.join(owners, "client_id"), under_accounts(transfers, mapping).withColumnRenamed("account", "_owner")
+    texts = asked.select("_owner", "haystack").distinct()
+    sized = texts.select("_owner", "haystack", F.explode(lengths).alias("n")).where(F.length("haystack") >= F.col("n"))
+    cut = sized.select("_owner", "haystack", "n", F.explode(F.sequence(F.lit(1), F.length("haystack") - F.col("n") + 1)).alias("at"))
+    cut = cut.select("_owner", "haystack", F.substring(F.col("haystack"), F.col("at"), F.col("n")).alias("needle")).distinct()
+    values = known.join(texts.select("_owner").distinct(), "_owner", "left_semi").select(
+        "_owner", F.explode(F.array(*[_as_text(transfers, c) for c in OWN_VALUES])).alias("needle")).distinct()
+    found = cut.hint("merge").join(values.hint("merge"), ["_owner", "needle"], "left_semi").select("_owner", "haystack").distinct()
+    own = asked.join(found, ["_owner", "haystack"], "left_semi")
     by_value = cited.withColumn("haystack", body).join(own.select("client_id", "haystack").distinct(), ["client_id", "haystack"], "left_semi")
     good = by_account.select("citation_id").unionByName(by_value.select("citation_id")).distinct().withColumn("_good", F.lit(True))
     wrong = F.concat(F.lit("'"), "source_id", F.lit("' does not match any transaction record"))
@@ -96,13 +105,16 @@ def _regulation_citations(cited: DataFrame, regulation: DataFrame) -> DataFrame:
 
 
 def verify_citations(cited: DataFrame, clients: DataFrame, transfers: DataFrame, client_transfers: DataFrame,
-                     entries: DataFrame, regulation: DataFrame) -> DataFrame:
-    """Status (verified, stripped or skipped) and reason of every citation (``citation_id``, ``client_id``, ``source_type``, ``source_id``)."""
+                     entries: DataFrame, regulation: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Status (verified, stripped or skipped) and reason of every citation (``citation_id``, ``client_id``, ``source_type``, ``source_id``).
+
+    ``mapping`` are the accounts that ``client_transfers`` was made with; where it is given, a client's own values are looked up under its accounts.
+    """
     def of(kind: str) -> DataFrame:
         return cited.where(F.col("source_type") == kind)
     checked = (
         _profile_citations(of("kyc_profile"), clients)
-        .unionByName(_transaction_citations(of("transaction"), transfers, client_transfers))
+        .unionByName(_transaction_citations(of("transaction"), transfers, client_transfers, mapping))
         .unionByName(_list_citations(of("sanctions_list"), entries))
         .unionByName(_regulation_citations(of("gdpr"), regulation))
     ).withColumn("status", F.when(F.col("reason") == "", "verified").otherwise("stripped"))

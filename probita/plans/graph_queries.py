@@ -131,7 +131,7 @@ def _checked(spark, d):
     mapping, transfers = tables.account_mapping(spark, d), tables.bank_transfers(spark, d)
     entries = tables.watchlist(spark, d).select("name", F.array_join("aliases", "; ").alias("aliases"))
     return grounding.verify_citations(
-        tables.citations(spark, d), tables.clients(spark, d), transfers, tr.client_transfers(transfers, mapping), entries, tables.regulation(spark, d))
+        tables.citations(spark, d), tables.clients(spark, d), transfers, tr.client_transfers(transfers, mapping), entries, tables.regulation(spark, d), mapping)
 
 
 @query("j8_verified_citations", with_views("""
@@ -182,14 +182,14 @@ def outcomes(spark, d):
     transfers, mapping = tables.bank_transfers(spark, d), tables.account_mapping(spark, d)
     own = tr.client_transfers(transfers, mapping)
     clients = tables.clients(spark, d)
-    made = cases.dispositions(clients, tr.largest_transfer(own))
+    made = cases.dispositions(clients, tr.largest_client_transfer(transfers, mapping))
     invented = F.array(F.struct(F.lit("Unlisted account.").alias("claim"), F.lit("transaction").alias("source_type"),
                                 F.concat(F.lit("txn:9"), F.col("client_id").cast("string"), F.lit("77777777")).alias("source_id"), F.lit("low").alias("confidence")))
     findings = cut_lineage(made.withColumn("evidence", F.when(F.col("client_id") % 9 == 0, F.concat("evidence", invented)).otherwise(F.col("evidence"))))
     items = findings.select("client_id", F.posexplode("evidence").alias("at", "e")).withColumn("citation_id", F.concat_ws("/", F.col("client_id").cast("string"), F.col("at").cast("string")))
     entries = tables.watchlist(spark, d).select("name", F.array_join("aliases", "; ").alias("aliases"))
     cited = items.select("citation_id", "client_id", "e.source_type", "e.source_id")
-    checked = cut_lineage(grounding.verify_citations(cited, clients, transfers, own, entries, tables.regulation(spark, d)).select("citation_id", "client_id", "status"))
+    checked = cut_lineage(grounding.verify_citations(cited, clients, transfers, own, entries, tables.regulation(spark, d), mapping).select("citation_id", "client_id", "status"))
     kept = items.join(checked.where("status <> 'stripped'").select("citation_id"), "citation_id")
     surviving = kept.groupBy("client_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]).alias("evidence"))
     grounded = findings.drop("evidence").join(surviving, "client_id", "left").withColumn("evidence", F.coalesce("evidence", F.filter(invented, lambda e: F.lit(False))))
