@@ -149,3 +149,35 @@ def test_name_alone_never_confirms(spark):
     df = spark.createDataFrame([(0.9, 0.5, 0.5, 0.5, 0.3), (0.9, 1.0, 0.5, 0.5, 0.3), (0.6, 1.0, 1.0, 1.0, 1.0)], "s double, dob double, nationality double, company double, context double")
     parts = {p: F.col(p) for p in ("dob", "nationality", "company", "context")}
     assert [r[0] for r in df.select(matching.decision(F.col("s"), parts)).collect()] == ["needs_review", "confirmed_match", "likely_match"]
+
+
+def test_every_pair_is_scored_by_classes_and_texts_compared_once(spark, monkeypatch):
+    """Sums over classes equal those over pairs, and Python sees a pair of texts once, not once per pair of rows."""
+    q, w = many_alike(spark, 120)
+    distinct, keyed = matching.profiles(q)
+    full = matching.evaluate(matching.blocking_pairs(distinct, w))
+    parts = [f"s_{p}" for p in matching.PARTS]
+
+    def summed(pairs, n):
+        rows = pairs.groupBy("q_profile_id", "classification").agg(
+            F.sum(n).alias("n"), F.max("match_score").alias("best"), *[F.sum(F.col(c) * n).alias(c) for c in ("match_score", *parts)]).collect()
+        return {(r.q_profile_id, r.classification): [r.n, r.best, *[round(r[c], 6) for c in ("match_score", *parts)]] for r in rows}
+
+    made = []
+    similarity = matching._written_texts
+    monkeypatch.setattr(matching, "_written_texts", lambda *a: made.append(similarity(*a)) or made[-1])
+    pairs, again = matching.every_pair(q, w)
+    assert summed(matching.evaluate(pairs), F.col("w_n")) == summed(full, F.lit(1))
+    assert pairs.count() < full.count() / 2
+    assert [t.count() for t in made] == [t.distinct().count() for t in made] and all(t.count() < 20 for t in made)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, keyed.collect()), key=str)
+
+
+def test_name_scores_equal_those_of_pairs(spark):
+    q, w = many_alike(spark, 120)
+    distinct, keyed = matching.profiles(q)
+    full = matching.component_scores(matching.blocking_pairs(distinct, w)).where("s_alias >= 0.5").withColumnRenamed("q_profile_id", "profile_id")
+    want = sorted((r.entity_id, r.w_row_id, r.s_name, r.s_alias) for r in keyed.join(full, "profile_id").collect())
+    for options in ({}, {"share": 5, "floor": 3}):
+        got = matching.name_scores(q, w, F.col("s_alias") >= 0.5, **options).collect()
+        assert sorted((r.entity_id, r.row_id, r.s_name, r.s_alias) for r in got) == want and want
