@@ -224,15 +224,24 @@ def stored_events(chained: DataFrame) -> DataFrame:
     return chained.select("chain_id", "seq", "event_id", line("body", "previous_hash", "hash").alias("line"))
 
 
+def _parsed(lines: DataFrame, *kept: str) -> DataFrame:
+    """The hashes that a line names and what is wrong with it alone, written once: a line itself is never joined or sorted."""
+    own = F.sha2(canonical_json("line"), 256).alias("_own")
+    found = lines.select(*kept, F.get_json_object("line", "$.previous_hash").alias("previous_hash"), F.get_json_object("line", "$.event_hash").alias("hash"), own)
+    fault = F.when(F.col("_own").isNull(), 1).when(F.col("previous_hash").isNull() | F.col("hash").isNull(), 2).when(F.col("hash") != F.col("_own"), 3).otherwise(0)
+    return cut_lineage(found.withColumn("_fault", fault.cast("byte")).drop("_own"))
+
+
 def verify_json_chain(stored: DataFrame, genesis: str = V.ZERO_GENESIS) -> DataFrame:
     """Verifies stored lines (``chain_id``, ``seq``, ``event_id``, ``line``).
 
     Where only the last rows of a chain are kept, the chain starts from the oldest of them. A row whose predecessor is
     missing breaks the chain there. Rows missing at the end can't be seen from the rows that are left.
     """
-    parsed = stored.withColumns({
-        "previous_hash": F.get_json_object("line", "$.previous_hash"), "hash": F.get_json_object("line", "$.event_hash"),
-        "_canonical": canonical_json("line")})
+    return _verified(_parsed(stored, "chain_id", "seq", "event_id"), genesis)
+
+
+def _verified(parsed: DataFrame, genesis: str) -> DataFrame:
     start = parsed.groupBy("chain_id").agg(F.min(F.struct("seq", "previous_hash")).alias("_start"))
     rows = parsed.join(start, "chain_id").withColumn("_complete", F.col("_start.seq") == 1)
     shifted = rows.withColumn("seq", F.col("seq") - F.col("_start.seq") + 1)
@@ -240,11 +249,11 @@ def verify_json_chain(stored: DataFrame, genesis: str = V.ZERO_GENESIS) -> DataF
     linked = shifted.join(before, ["chain_id", "seq"], "left")
     expected = F.when(F.col("seq") > 1, F.col("_before")).when(F.col("_complete"), F.lit(genesis)).otherwise(F.col("_start.previous_hash"))
     reason = (
-        F.when(F.col("_canonical").isNull(), "malformed JSON line")
-        .when(F.col("previous_hash").isNull() | F.col("hash").isNull(), "missing hash-chain fields")
+        F.when(F.col("_fault") == 1, "malformed JSON line")
+        .when(F.col("_fault") == 2, "missing hash-chain fields")
         .when(~F.col("previous_hash").eqNullSafe(expected), "previous_hash mismatch")
-        .when(F.col("hash") != F.sha2("_canonical", 256), "content altered"))
-    judged = linked.withColumn("_reason", reason)
+        .when(F.col("_fault") == 3, "content altered"))
+    judged = linked.select("chain_id", "seq", "event_id", "_complete", reason.alias("_reason"))
     broken = F.min(F.when(F.col("_reason").isNotNull(), F.struct("seq", "event_id", "_reason")))
     first = judged.groupBy("chain_id").agg(broken.alias("b"), F.bool_and("_complete").alias("c"))
     # Rows looked at: those there are up to the first broken one.
@@ -256,9 +265,9 @@ def verify_json_chain(stored: DataFrame, genesis: str = V.ZERO_GENESIS) -> DataF
 
 def verify_lines(lines: DataFrame, genesis: str = V.ZERO_GENESIS) -> DataFrame:
     """Verifies log files read as lines (``chain_id``, ``line_number``, ``line``); blank lines are skipped."""
-    rows = lines.where(F.trim("line") != "")
+    rows = _parsed(lines.where(F.trim("line") != ""), "chain_id", "line_number")
     numbered = dense_position(rows, ["chain_id"], F.floor(F.col("line_number") / 100_000), [F.col("line_number")])
-    result = verify_json_chain(numbered.withColumn("event_id", F.col("line_number")), genesis)
+    result = _verified(numbered.withColumn("event_id", F.col("line_number")), genesis)
     return result.select("chain_id", "valid", F.when(F.col("valid"), F.col("events_checked")).otherwise(F.col("events_checked") - 1).alias("lines_checked"),
                          F.col("broken_at").alias("failed_line"), "reason")
 

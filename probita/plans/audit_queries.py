@@ -74,9 +74,12 @@ def link_check(spark, d):
 
 
 def stored(spark, d):
+    """The log as lines, written once and read back for every check."""
     rows = numbered(spark, d)
     bodies = rows.select("chain_id", "seq", "event_id", F.to_json(F.struct(*audit.PIPE_FIELDS)).alias("body"))
-    return audit.stored_events(audit.write_chain(bodies, V.ZERO_GENESIS, kind="json"))
+    path = scratch_path(spark, "stored")
+    audit.stored_events(audit.write_chain(bodies, V.ZERO_GENESIS, kind="json")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @query("l5_verify_json_chain", with_views("""

@@ -140,3 +140,14 @@ def test_forms_of_odd_letters_and_each_search_of_a_text_once(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.detection_form("t").alias("f"))
     assert [r.f for r in df.orderBy("i").collect()] == [None if t is None else plain(t) for t in texts]
     assert df._jdf.queryExecution().optimizedPlan().toString().upper().count("RLIKE(") == 2
+
+
+def test_lines_are_read_once_and_never_joined(spark):
+    """What joins and aggregates see of a stored line are its hashes; no line is parsed again in the plan of the result."""
+    rows = [("c", i, f"e{i}", json.dumps({"event_id": f"e{i}", "n": i})) for i in range(1, 4)]
+    written = audit.write_chain(spark.createDataFrame(rows, "chain_id string, seq long, event_id string, body string"), "0" * 64, kind="json")
+    stored = audit.stored_events(written)
+    for found in (audit.verify_json_chain(stored, "0" * 64), audit.verify_lines(stored.withColumnRenamed("seq", "line_number"), "0" * 64)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "EvalPython" not in plan and "MapInPandas" not in plan and not re.search(r"\bline#", plan)
+        assert found.first().valid
