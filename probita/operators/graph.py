@@ -18,7 +18,8 @@ MAX_DEPTH = 5
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """First node of each structure that nobody owns (``position`` is the order in the file)."""
     owned = edges.select("structure", F.col("owned_id").alias("entity_id")).distinct()
-    free = nodes.join(owned, ["structure", "entity_id"], "left_anti")
+    # Never broadcast: the engine sizes edges by the compressed files that they come from.
+    free = nodes.join(owned.hint("merge"), ["structure", "entity_id"], "left_anti")
     return free.groupBy("structure").agg(F.min_by("entity_id", F.struct("position", "entity_id")).alias("root_id"))
 
 
@@ -48,15 +49,16 @@ def count_descendants(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """All nodes below each start, whatever the depth.
 
     Rounds go on until none finds a new node. Each is written out, so that neither the plan nor the
-    work to repeat after a lost executor grows with the depth.
+    work to repeat after a lost executor grows with the depth. No join is broadcast, so that what passes through the driver does
+    not grow with edges, nodes or rounds; the engine sizes edges by the compressed files that they come from.
     """
-    steps = edges.select("structure", "owner_id", "owned_id").distinct()
+    steps = cut_lineage(edges.select("structure", "owner_id", "owned_id").distinct())
     frontier = cut_lineage(starts.select("structure", "root_id", F.col("root_id").alias("node_id")).distinct())
     seen = frontier
     while True:
-        reached = frontier.withColumnRenamed("node_id", "owner_id").join(steps, ["structure", "owner_id"]).select(
+        reached = frontier.withColumnRenamed("node_id", "owner_id").hint("merge").join(steps.hint("merge"), ["structure", "owner_id"]).select(
             "structure", "root_id", F.col("owned_id").alias("node_id")).distinct()
-        frontier = cut_lineage(reached.join(seen, ["structure", "root_id", "node_id"], "left_anti"))
+        frontier = cut_lineage(reached.hint("merge").join(seen.hint("merge"), ["structure", "root_id", "node_id"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(frontier))

@@ -107,3 +107,15 @@ def test_batches_read_the_prepared_list_only(spark, tmp_path, monkeypatch):
     for batch in (1, 2):
         write(queries, batch)
         assert sorted(map(str, spark.read.parquet(f"{tmp_path}/out/batch={batch}").collect())) == once
+
+
+def test_ownership_walks_send_no_tables_through_the_driver(spark, monkeypatch):
+    from probita.operators import graph
+    plans, cut = [], graph.cut_lineage
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([("s", f"n{i // 2}", f"n{i}") for i in range(1, 8)], "structure string, owner_id string, owned_id string")
+    nodes = spark.createDataFrame([("s", f"n{i}", i) for i in range(8)], "structure string, entity_id string, position int")
+    starts = graph.roots(nodes, edges)
+    assert "Broadcast" not in starts._jdf.queryExecution().executedPlan().toString()
+    assert [(r.root_id, r.nodes_traversed) for r in graph.count_descendants(starts, edges).collect()] == [("n0", 7)]
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
