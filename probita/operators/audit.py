@@ -179,6 +179,44 @@ def write_chain(events: DataFrame, genesis: str = V.WORD_GENESIS, tails: DataFra
     return ordered.mapInPandas(lambda batches: _fold(batches, genesis, digest), schema)
 
 
+def _continue(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers and links rows that arrive sorted by chain; only the last link is held."""
+    chain, seq, last = object(), 0, ""
+    for batch in batches:
+        numbers, previous, hashes = [], [], []
+        for row in batch.to_dict("records"):
+            if row["chain_id"] != chain:
+                chain, seq, last = row["chain_id"], row["_seq"], row["_tail"]
+            seq += 1
+            numbers.append(seq)
+            previous.append(last)
+            last = pipe_digest(row, last)
+            hashes.append(last)
+        yield batch.drop(columns=["_seq", "_tail"]).assign(seq=numbers, previous_hash=previous, hash=hashes)
+
+
+def continued_chain(events: DataFrame, tails: DataFrame | None = None) -> DataFrame:
+    """Events numbered and linked by time and id, each chain going on from its tail (``chain_id``, ``seq``, ``hash``) where there is one.
+
+    Rows without a chain are a chain of their own. The chains of a task are sorted by the engine and walked batch by batch.
+    """
+    rows = events.select("chain_id", *PIPE_FIELDS)
+    seq, last = F.lit(0).cast("long"), F.lit(V.WORD_GENESIS)
+    if tails is not None:
+        known = tails.select(F.col("chain_id").alias("_chain"), F.col("seq").alias("_last_seq"), F.col("hash").alias("_last_hash"))
+        rows = rows.join(known, F.col("chain_id").eqNullSafe(F.col("_chain")), "left")
+        seq, last = F.coalesce("_last_seq", seq), F.coalesce("_last_hash", last)
+    order = ["chain_id", F.col("timestamp").asc_nulls_last(), F.col("event_id").asc_nulls_last()]
+    ordered = rows.select("chain_id", *PIPE_FIELDS, seq.alias("_seq"), last.alias("_tail")).repartition("chain_id").sortWithinPartitions(*order)
+    fields = ", ".join(f"{f} string" for f in PIPE_FIELDS)
+    linked = ordered.mapInPandas(_continue, f"chain_id string, {fields}, seq long, previous_hash string, hash string")
+    return linked.select("chain_id", "seq", *PIPE_FIELDS, "previous_hash", "hash")
+
+
+def last_links(chained: DataFrame) -> DataFrame:
+    return chained.groupBy("chain_id").agg(F.max(F.struct("seq", "hash")).alias("_last")).select("chain_id", "_last.seq", "_last.hash")
+
+
 def chain_tails(chained: DataFrame) -> DataFrame:
     return chained.groupBy("chain_id").agg(F.max_by("hash", "seq").alias("hash"))
 

@@ -206,4 +206,6 @@ def guarded_articles(spark, d):
 @query("m4_chained_stream", with_views("SELECT chain_id, seq, event_id, previous_hash, hash FROM chained", "chained"))
 def chained_stream(spark, d):
     events = monitors.file_stream(spark, d, "events.parquet", tables.table(spark, d, "events").schema)
-    return monitors.run_to_table(monitors.chained_events(tables.as_audit_rows(events)), "chained").select("chain_id", "seq", "event_id", "previous_hash", "hash")
+    path = scratch_path(spark, "chained")
+    monitors.run_batches(tables.as_audit_rows(events), monitors.chain_sink(path), "chained")
+    return spark.read.schema(monitors.CHAIN_SCHEMA).parquet(f"{path}/rows").select("chain_id", "seq", "event_id", "previous_hash", "hash")

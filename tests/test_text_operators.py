@@ -1,6 +1,7 @@
 """Attack and benign texts, identifiers, redaction, chains and sanitising."""
 
 import json
+import random
 import re
 import unicodedata
 
@@ -151,3 +152,26 @@ def test_lines_are_read_once_and_never_joined(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "EvalPython" not in plan and "MapInPandas" not in plan and not re.search(r"\bline#", plan)
         assert found.first().valid
+
+
+def test_chains_go_on_from_batch_to_batch(spark, tmp_path, monkeypatch):
+    """Also past a gathering of the tails, for rows without a chain, and where a batch is repeated; no chain is a group of its own."""
+    from probita.streaming import monitors
+
+    monkeypatch.setattr(monitors, "TAILS_AT_ONCE", 2)
+    rng, fields = random.Random(8), "chain_id string, event_id string, actor string, action string, resource string, reason string, timestamp string"
+    batches = [[(rng.choice(["c1", "c2", f"n{n}", None]), f"e{n}-{i}", "a", rng.choice(["x", None]), "r", "w", rng.choice(["1", "2", None])) for i in range(12)] for n in range(5)]
+    write = monitors.chain_sink(str(tmp_path))
+    for n, rows in enumerate(batches):
+        for _ in range(2):
+            write(spark.createDataFrame(rows, fields), n)
+    expected, last = {}, {}
+    for rows in batches:
+        for chain, *r in sorted(rows, key=lambda r: (r[6] is None, r[6], r[1])):
+            seq, before = last.get(chain, (0, audit.V.WORD_GENESIS))
+            last[chain] = seq + 1, audit.pipe_digest(dict(zip(audit.PIPE_FIELDS, r, strict=True)), before)
+            expected[r[0]] = (chain, seq + 1, before, last[chain][1])
+    got = spark.read.schema(monitors.CHAIN_SCHEMA).parquet(f"{tmp_path}/rows").collect()
+    assert {r.event_id: (r.chain_id, r.seq, r.previous_hash, r.hash) for r in got} == expected and len(got) == 60
+    plan = audit.continued_chain(spark.createDataFrame(batches[0], fields))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Group" not in plan
