@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probita.functions.scalars import half_even, lenient_flag, number_or
@@ -91,6 +91,37 @@ def client_transfers(transfers: DataFrame, mapping: DataFrame) -> DataFrame:
     return sent.unionByName(received)
 
 
+def _totals(transfers: DataFrame, key: str) -> DataFrame:
+    return transfers.groupBy(key).agg(F.count(F.lit(1)).alias("transfers"), F.sum("Amount").alias("amount"), F.min("Date").alias("first_date"), F.max("Receiver_account").alias("last_receiver"))
+
+
+def client_transfer_totals(transfers: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``client_transfers`` counted and summed per client: ``transfers``, ``amount``, ``first_date``, ``last_receiver``.
+
+    Transfers are summed under each of their accounts and the accounts' totals under their clients, so a transfer is never
+    repeated for an account's clients. Only a client that owns both accounts of a transfer would count it twice: the
+    transfers of such clients are looked up one by one.
+    """
+    sides = F.array_distinct(F.array(F.trim("Sender_account"), F.trim("Receiver_account")))
+    totals = _totals(transfers.select(*TRANSFER_KEYS).distinct().select("Date", "Amount", "Receiver_account", F.explode(sides).alias("account")), "account")
+    pairs = mapping.select("client_id", F.trim("account").alias("account")).where("account is not null").distinct()
+    several = pairs.where("client_id is not null").groupBy("client_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    owned = cut_lineage(pairs.join(several, "client_id", "left_semi"))
+    rows = []
+    if not owned.isEmpty():
+        between = transfers.select(F.trim("Sender_account").alias("_from"), F.trim("Receiver_account").alias("_to")).where("_from <> _to").distinct()
+        accounts = owned.select("account").distinct()
+        for side in ("_from", "_to"):
+            between = between.join(accounts.withColumnRenamed("account", side), side, "left_semi")
+        crossed = between.join(owned.withColumnRenamed("account", "_from"), "_from").join(owned.withColumnRenamed("account", "_to"), ["client_id", "_to"])
+        both = cut_lineage(crossed.select("client_id").distinct())
+        rows.append(_totals(client_transfers(transfers, pairs.join(both, "client_id", "left_semi")), "client_id"))
+        pairs = pairs.join(both, "client_id", "left_anti")
+    summed = pairs.join(totals, "account").groupBy("client_id").agg(
+        F.sum("transfers").alias("transfers"), F.sum("amount").alias("amount"), F.min("first_date").alias("first_date"), F.max("last_receiver").alias("last_receiver"))
+    return summed.unionByName(rows[0]) if rows else summed
+
+
 def _amount_order() -> Column:
     key = F.struct("Date", "Time", "Sender_account", "Receiver_account")
     return F.struct((-F.col("Amount")).alias("negative"), key.alias("key"))

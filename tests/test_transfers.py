@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from probita.operators import grounding
 from probita.operators import transactions as tx
 from probita.plans import match_queries
@@ -32,6 +34,26 @@ def test_no_account_is_joined_with_all_its_clients_transfers(spark):
     assert tx.largest_client_transfer(transfers, mapping).count() == 200
 
 
+def test_totals_by_account_equal_those_by_client(spark):
+    """Clients with several accounts, some with both of a transfer, and no client; every transfer of the eight accounts repeated for 200 more clients."""
+    transfers, mapping = frames(spark)
+    for owners in (mapping, mapping.unionByName(spark.range(200).selectExpr("cast(id + 100 as int) client_id", "'1000000001' account"))):
+        expected = tx._totals(tx.client_transfers(transfers, owners), "client_id")
+        rounded = [sorted(str(r) for r in t.withColumn("amount", F.round("amount", 2)).collect()) for t in (expected, tx.client_transfer_totals(transfers, owners))]
+        assert rounded[0] == rounded[1] and len(rounded[0]) > 8
+
+
+def test_totals_join_accounts_and_not_transfers(spark):
+    """Where no client has two accounts, what meets the clients is a row for each account; formerly it was one for each transfer."""
+    transfers, _ = frames(spark)
+    mapping = spark.range(200).selectExpr("cast(id as int) client_id", "'1000000001' account")
+    found = tx.client_transfer_totals(transfers, mapping)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    assert plan.count("Join") == 1 and "Aggregate [account" in plan[join:] and "Generate explode" in plan[plan.index("Aggregate [account"):]
+    assert found.count() == 200
+
+
 def test_citations_under_accounts_equal_those_under_clients(spark):
     transfers, mapping = frames(spark)
     texts = ["on 2024-01-03 paid", "paid 999.25", "12.5", "70.0|a", "a 1000000003", "nothing", "", None, "2024-01-99"]
