@@ -1,10 +1,12 @@
 """Near copies by exact Jaccard similarity of word shingles.
 
-Candidates come from banded minima: texts with similarity s share one of BANDS bands of ROWS minima with probability
-1 - (1 - s ** ROWS) ** BANDS, which is 0.999997 at 0.8. What is linked is decided by the shingles themselves. Two passes
-keep the pairs of a large group few: in the first every bucket's members meet one leader (each bucket has its own, so a
-text of a group meets up to BANDS of them); in the second only members that are still in different components meet, in
-tiles of bounded size. A pair leaves a tile only if its parity maps allow the similarity: a map flips one of PARITY bits
+Candidates come first from ball hashing of SimHash fingerprints of the same shingles (``simhash.links``), at most DISTANCE
+bits apart, which is how closely texts agree that are similar by some 0.95. For the texts that this leaves apart the search
+is widened by banded minima: texts with similarity s share one of BANDS bands of ROWS minima with probability
+1 - (1 - s ** ROWS) ** BANDS, which is 0.999997 at 0.8. What is linked is decided by the shingles themselves. The passes
+keep the pairs of a large group few: fingerprints that share a variant meet the smallest of them; then every bucket's
+members meet one leader (each bucket has its own, so a text of a group meets up to BANDS of them) if they are in different
+components; at last only members that are still in different components meet, in tiles of bounded size. A pair leaves a tile only if its parity maps allow the similarity: a map flips one of PARITY bits
 for every shingle, so two maps differ in at most as many bits as the sets differ in shingles, and similar sets differ in
 few. That bound is exact and for texts of some hundred words close, so texts of a group that stay unlinked cost a
 comparison of two maps and are neither joined nor compared shingle by shingle.
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probita.llm.components import components
-from probita.llm.simhash import one_of_each, row_keys, with_components
+from probita.llm.simhash import DISTANCE, links, majority, one_of_each, row_keys, with_components
 from probita.session import cut_lineage
 
 WORDS = 5
@@ -34,6 +36,8 @@ SLACK = 0.16
 PARITY = 2048
 #: Members of a bucket that meet in one tile, about; a larger bucket is cut into tiles of two such parts each.
 TILE = 1024
+#: Leading bits by which variants of fingerprints are dealt: a fingerprint is sent to 79 of 4,096 buckets.
+PREFIX_BITS = 12
 #: Shingles whose minima are formed at a time: 160 numbers each.
 SHINGLES_AT_ONCE = 2048
 #: Bits of the bitmap of rows whose shingles are wanted: for each row, at least, and at most (32 MB). A full one only lets more rows pass.
@@ -46,9 +50,19 @@ _TERMS = _random.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Distinct hashes of a text's word shingles, ascending; texts of fewer words are one shingle, and so are NULL and blank ones."""
+    return np.unique(occurrences(text, words))
+
+
+def occurrences(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of a text's word shingles in their order, repeats included."""
     found = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(b" ".join(found[i:i + words]), SEED) for i in range(max(1, len(found) - words + 1))], np.uint64))
+    return np.array([hashed(b" ".join(found[i:i + words]), SEED) for i in range(max(1, len(found) - words + 1))], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a text's shingles: ``simhash.fingerprint`` of the same number of words, without hashing them again."""
+    return majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8))
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -71,21 +85,23 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def _nodes(keyed: DataFrame) -> DataFrame:
-    """``doc_id``, ``fp`` (hash of the whole set of shingles), ``size`` and ``sketch`` (a byte of each minimum, then the parity map)."""
+    """``doc_id``, ``fp`` (hash of the whole set of shingles), ``print`` (SimHash), ``size`` and ``sketch`` (a byte of each minimum, then the parity map)."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            prints, sizes, sketches = [], [], []
+            whole, prints, sizes, sketches = [], [], [], []
             for text in part.column(1):
-                found = shingles(text.as_py())
-                prints.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                said = occurrences(text.as_py())
+                found = np.unique(said)
+                whole.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                prints.append(fingerprint(said))
                 sizes.append(len(found))
                 sketches.append((minima(found) >> np.uint64(24)).astype(np.uint8).tobytes() + parity(found).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_signed(prints)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())],
-                                             names=["doc_id", "fp", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_signed(whole)), pa.array(_signed(prints)), pa.array(sizes, pa.int32()),
+                                              pa.array(sketches, pa.binary())], names=["doc_id", "fp", "print", "size", "sketch"])
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    return keyed.mapInArrow(batches, f"doc_id {kind}, fp bigint, size int, sketch binary")
+    return keyed.mapInArrow(batches, f"doc_id {kind}, fp bigint, print bigint, size int, sketch binary")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -200,6 +216,23 @@ def _verified(close: DataFrame, keyed: DataFrame, distinct: DataFrame) -> DataFr
     return both.where(shared >= F.lit(SIMILARITY) * (F.size("a") + F.size("b") - shared) - 1e-9).select("u", "v")
 
 
+def _by_fingerprint(distinct: DataFrame) -> DataFrame:
+    """Pairs ``u``, ``v`` of texts whose fingerprints ball hashing links: the least texts of two fingerprints, and the least and every other one of the same."""
+    least = cut_lineage(distinct.groupBy("print").agg(F.min("fp").alias("least")))
+    same = distinct.select("print", "fp").join(least, "print").where("fp <> least").select(F.col("least").alias("u"), F.col("fp").alias("v"))
+    linked = links(least.select(F.col("print").alias("fp")), DISTANCE, PREFIX_BITS).distinct()
+    one, other = (least.select(F.col("print").alias(f"p_{n}"), F.col("least").alias(f"t_{n}")) for n in ("u", "v"))
+    near = linked.join(one, F.col("u") == F.col("p_u")).join(other, F.col("v") == F.col("p_v")).select(F.least("t_u", "t_v").alias("u"), F.greatest("t_u", "t_v").alias("v"))
+    return cut_lineage(near.unionByName(same))
+
+
+def _close(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Those of the pairs that are in different components (``root``) and that sizes, maps and minima allow to be similar."""
+    one, other = (sketched.select(F.col("fp").alias(n), F.col("root").alias(f"r_{n}"), F.col("size").alias(f"n_{n}"), F.col("sketch").alias(f"s_{n}")) for n in ("u", "v"))
+    apart = pairs.join(one, "u").join(other, "v").where("r_u <> r_v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
+    return cut_lineage(apart.mapInArrow(_alike, "u bigint, v bigint"))
+
+
 def near_copies(keyed: DataFrame) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` of every row of ``keyed`` (``doc_id``, ``text``): components of texts that are similar by SIMILARITY or more.
 
@@ -208,27 +241,30 @@ def near_copies(keyed: DataFrame) -> DataFrame:
     matter; repeated rows are each returned, and an empty table gives an empty result.
     """
     nodes = cut_lineage(_nodes(keyed))
-    distinct = cut_lineage(nodes.select("fp", F.xxhash64("doc_id").alias("key"), "size", "sketch").dropDuplicates(["fp"]))
+    distinct = cut_lineage(nodes.select("fp", F.xxhash64("doc_id").alias("key"), "print", "size", "sketch").dropDuplicates(["fp"]))
+    near = _close(_by_fingerprint(distinct), distinct.withColumn("root", F.col("fp")))
+    found = cut_lineage(_verified(near, keyed, distinct))
+    roots = components(found)
+
     band = lambda b: F.xxhash64(F.col("sketch").substr(b * ROWS + 1, F.lit(ROWS)), b).bitwiseAND(F.lit(-BANDS)).bitwiseOR(b.cast("long"))
     members = distinct.select(F.explode(F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), band)).alias("bucket"), "fp")
     # A bucket's leader is the member with the least fp ^ bucket: another one in each bucket, and one number in the aggregate.
     shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.col("bucket"))).alias("least")).where("n > 1")
     buckets = cut_lineage(members.join(shared, "bucket").select("bucket", "fp", F.col("least").bitwiseXOR(F.col("bucket")).alias("leader")))
-    sketched = cut_lineage(distinct.drop("key").join(buckets.select("fp").distinct(), "fp", "left_semi"))
+    sketched = distinct.select("fp", "size", "sketch").join(buckets.select("fp").distinct(), "fp", "left_semi").join(roots, F.col("fp") == F.col("node"), "left")
+    sketched = cut_lineage(sketched.select("fp", "size", "sketch", F.coalesce("root", "fp").alias("root")))
 
     led = buckets.where("fp <> leader").select(F.least("fp", "leader").alias("u"), F.greatest("fp", "leader").alias("v")).distinct()
-    one, other = (sketched.select(F.col("fp").alias(n), F.col("size").alias(f"n_{n}"), F.col("sketch").alias(f"s_{n}")) for n in ("u", "v"))
-    close = led.join(one, "u").join(other, "v").select("u", "v", "n_u", "n_v", "s_u", "s_v").mapInArrow(_alike, "u bigint, v bigint")
-    links = cut_lineage(_verified(cut_lineage(close), keyed, distinct))
+    found = cut_lineage(found.unionByName(_verified(_close(led, sketched), keyed, distinct)))
 
-    rooted = buckets.join(components(links), F.col("fp") == F.col("node"), "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
+    rooted = buckets.join(components(found), F.col("fp") == F.col("node"), "left").select("bucket", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     open_ = rooted.join(mixed.select("bucket", tiles.alias("tiles")), "bucket").withColumn("side", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
-    placed = open_.join(sketched, "fp").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+    placed = open_.join(sketched.drop("root"), "fp").withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "bucket", F.least("side", "meets").alias("low"), F.greatest("side", "meets").alias("high"), "side", "fp", "root", "size", "sketch")
     close = cut_lineage(placed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_tiles, "u bigint, v bigint"))
-    return with_components(nodes.select("doc_id", "fp"), links.unionByName(_verified(close, keyed, distinct)))
+    return with_components(nodes.select("doc_id", "fp"), found.unionByName(_verified(close, keyed, distinct)))
 
 
 def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

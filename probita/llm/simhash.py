@@ -44,7 +44,11 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
         starts = ends - lengths
         hashed = xxhash.xxh64_digest
         digests = b"".join([hashed(joined[a:b], SEED) for a, b in zip(starts[: len(found) - words + 1].tolist(), ends[words - 1:].tolist(), strict=True)])
-    rows = np.frombuffer(digests, np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(digests, np.uint8).reshape(-1, 8))
+
+
+def majority(rows: np.ndarray) -> int:
+    """The fingerprint of hashes of eight bytes each, highest first: a bit is 1 if it is set in over half of them."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(rows), 65536):  # bounded memory for very long texts
         counts += np.unpackbits(rows[at:at + 65536], axis=1).sum(axis=0, dtype=np.int64)

@@ -5,7 +5,7 @@ import pytest
 from corpus_cases import awkward, nothing
 
 import corpus_pipeline
-from probita.llm import jaccard
+from probita.llm import jaccard, simhash
 
 
 def plain_shingles(text):
@@ -113,3 +113,16 @@ def test_every_pair_of_a_bucket_meets_in_one_tile_only():
                 met += list(zip(*pairs.tolist(), strict=True))
     assert sorted(met) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
     assert not jaccard._tile(1, False, side, fp, fp, size, least, maps), "the pair is left to the first band that it shares"
+
+
+def test_ball_hashing_of_fingerprints_links_before_minima_do(spark, monkeypatch):
+    """Pairs at most four bits apart are linked by ball hashing alone, and what it links the minima don't compare again."""
+    rows = near_texts()
+    assert all(jaccard.fingerprint(jaccard.occurrences(t)) == simhash.fingerprint(t, jaccard.WORDS) for _, t in rows[:20] + [(0, "a b"), (1, "A b c d E f")])
+    seen, close = [], jaccard._close
+    monkeypatch.setattr(jaccard, "_close", lambda pairs, sketched: seen.append(close(pairs, sketched)) or seen[-1])
+    jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    by_print, by_minima = ({(r.u, r.v) for r in part.collect()} for part in seen)
+    print_of = {int(jaccard._signed([jaccard.xxhash.xxh64_intdigest(jaccard.shingles(t).tobytes(), jaccard.SEED)])[0]): simhash.fingerprint(t, jaccard.WORDS) for _, t in rows}
+    assert len(by_print) > 10 and all((print_of[u] ^ print_of[v]).bit_count() <= simhash.DISTANCE for u, v in by_print)
+    assert by_minima and not by_print & by_minima
