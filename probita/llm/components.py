@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probita.session import cut_lineage
+from probita.session import cut_lineage, released
 
 
 def _rewired(edges: DataFrame, small: bool) -> DataFrame:
@@ -28,8 +28,8 @@ def _rewired(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
-    return tuple(row)
+    sums = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")))
+    return tuple(released(sums).collect()[0])
 
 
 def components(edges: DataFrame) -> DataFrame:

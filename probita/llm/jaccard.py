@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from probita.llm.components import components
 from probita.llm.simhash import DISTANCE, links, majority, one_of_each, row_keys, with_components
-from probita.session import cut_lineage
+from probita.session import cut_lineage, released
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -106,11 +106,11 @@ def _nodes(keyed: DataFrame) -> DataFrame:
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """Bits that are set at the places of the ``key`` column; what comes to the driver is the bitmap, of ``MOST_BITS`` at most."""
-    size = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS * keys.count()).bit_length()))
+    size = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS * released(keys.agg(F.count("*"))).collect()[0][0]).bit_length()))
     place = F.col("key").bitwiseAND(F.lit(size - 1)) + 1
     found = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     bits = np.zeros(size // 8, np.uint8)
-    for bucket, some in found.collect():
+    for bucket, some in released(found).collect():
         bits[(bucket - 1) * 4096:bucket * 4096] = np.frombuffer(some, np.uint8)
     return bits
 
