@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from probita import fixed_values as V
 from probita.functions import scalars as S
 from probita.functions import similarity as sim
-from probita.operators import matching, risk
+from probita.operators import matching, risk, tally
 from probita.plans.catalog import query
 from probita.plans.portfolio import payloads
 from probita.plans.views_sql import VIEWS, he, with_views
@@ -105,9 +105,8 @@ SELECT entity_id, count(*) AS pairs, round(sum(s_name), 4) AS s_name, round(sum(
   round(sum(s_company), 4) AS s_company, round(sum(s_context), 4) AS s_context FROM gated GROUP BY entity_id""", "gated"))
 def component_scores(spark, d):
     """Scores of every pair, summed up per customer."""
-    pairs, keyed = _pairs(spark, d)
-    sums = matching.component_scores(pairs).groupBy(F.col("q_profile_id").alias("profile_id")).agg(
-        F.sum("w_n").alias("pairs"), *[F.round(F.sum(F.col(f"s_{p}") * F.col("w_n")), 4).alias(f"s_{p}") for p in matching.PARTS])
+    sums, keyed = tally.tallies(_queries(spark, d), tables.watchlist(spark, d))
+    sums = sums.select("profile_id", (F.col("n0") + F.col("n1") + F.col("n2")).alias("pairs"), *[F.round(f"s_{p}", 4).alias(f"s_{p}") for p in matching.PARTS])
     return keyed.join(sums, "profile_id").drop("profile_id", "evidence_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from probita.functions import scalars as S
 from probita.functions import similarity as sim
-from probita.operators import matching
+from probita.operators import matching, tally
 
 NAME_PAIRS = [
     ("Oluwaseun Adeyemi", "Oluwaseyi Adeyemi"), ("Adeyemi, Oluwaseun", "Oluwaseun Adeyemi"), ("Brunhilde Kestrel", "B. Kestrel"), ("Tern Island Shipping GmbH", "ISLAND"),
@@ -181,3 +181,43 @@ def test_name_scores_equal_those_of_pairs(spark):
     for options in ({}, {"share": 5, "floor": 3}):
         got = matching.name_scores(q, w, F.col("s_alias") >= 0.5, **options).collect()
         assert sorted((r.entity_id, r.row_id, r.s_name, r.s_alias) for r in got) == want and want
+
+
+def test_tallies_equal_those_of_pairs(spark):
+    """Blocks and cells leave out no pair and count none twice, NULLs and dates in parts included."""
+    q, w = many_alike(spark, 120)
+    q = q.unionByName(q.limit(9).withColumns({"entity_id": F.concat("entity_id", F.lit("n")), "dob": F.lit("sometime"), "company": F.lit("")}))
+    w = w.unionByName(w.limit(9).withColumns({"row_id": F.concat("row_id", F.lit("n")), "dob": F.lit("sometime"), "context": F.lit(None).cast("string")}))
+    distinct, keyed = matching.profiles(q)
+    full = matching.evaluate(matching.blocking_pairs(distinct, w)).groupBy(F.col("q_profile_id").alias("profile_id")).agg(
+        *[F.count(F.when(F.col("classification") == c, 1)).alias(f"n{k}") for k, c in enumerate(tally.CLASSES)],
+        *[F.max(F.when(F.col("classification") == c, F.col("match_score"))).alias(f"best{k}") for k, c in enumerate(tally.CLASSES)],
+        F.sum("match_score").alias("total"), *[F.sum(f"s_{p}").alias(f"s_{p}") for p in matching.PARTS])
+    columns = ["profile_id", *[f"{c}{k}" for c in ("n", "best") for k in range(3)], "total", *[f"s_{p}" for p in matching.PARTS]]
+
+    def said(df):
+        return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*columns).collect())
+
+    want = said(full)
+    assert want and any(r[1] for r in want) and any(r[3] for r in want)
+    for options in ({}, {"profiles": 2, "entries": 3, "share": 5, "floor": 3}):
+        got, again = tally.tallies(q, w, **options)
+        assert said(got) == want and again.count() == q.count()
+
+
+def test_scores_are_summed_without_a_row_per_pair(spark, monkeypatch):
+    """Entries that differ in date and country only meet a profile as counts: profiles times entries are never rows."""
+    seen = []
+    real = tally._block
+    q, w = many_alike(spark, 300)
+    pairs, _ = matching.every_pair(q, w)
+    wide = pairs.count()
+    tables = spark.sparkContext.accumulator(0)
+
+    def block(left, right):
+        tables.add(left.num_rows + right.num_rows)
+        return real(left, right)
+
+    monkeypatch.setattr(tally, "_block", block)
+    seen.append(tally.tallies(q, w)[0].count())
+    assert seen[0] and tables.value < wide / 2
