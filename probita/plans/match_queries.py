@@ -113,9 +113,9 @@ def component_scores(spark, d):
 @query("e2_pair_classes", with_views("""
 SELECT entity_id, classification, count(*) AS pairs, round(max(match_score), 4) AS best FROM evaluated GROUP BY ALL""", "evaluated"))
 def pair_classes(spark, d):
-    pairs, keyed = _pairs(spark, d)
-    classes = matching.evaluate(pairs).groupBy(F.col("q_profile_id").alias("profile_id"), "classification").agg(
-        F.sum("w_n").alias("pairs"), F.max("match_score").alias("best"))
+    found, keyed = tally.tallies(_queries(spark, d), tables.watchlist(spark, d))
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("classification"), F.col(f"n{k}").alias("pairs"), F.col(f"best{k}").alias("best")) for k, c in enumerate(tally.CLASSES)]))
+    classes = found.select("profile_id", each).where(F.col("pairs") > 0)
     return keyed.join(classes, "profile_id").drop("profile_id", "evidence_id")
 
 
